@@ -37,14 +37,25 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get(CHECKPOINT_DIR, None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="motefield-checkpoint-")
+    sc.setCheckpointDir(folder)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the folder named by ``spark.checkpoint.dir``."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get(CHECKPOINT_DIR, None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="motefield-checkpoint-")
-        sc.setCheckpointDir(folder)
+    _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that every executor can reach, for tables a job writes and reads again."""
+    _ensure_checkpoint_dir(spark)
+    return spark.sparkContext.getCheckpointDir()
