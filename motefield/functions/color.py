@@ -55,7 +55,7 @@ def lookup(df: DataFrame, t: str, name: str) -> DataFrame:
     The table has a fixed 256 entries, so it travels as an array literal, not as a join.
     """
     u = F.greatest(F.lit(0.0), F.least(F.lit(float(SIZE - 1)), F.col(t) * float(SIZE) - 0.5))
-    df = df.withColumn("_u", u).withColumn("_k", F.floor("_u").cast("int"))
+    df = df.withColumn("_u", F.when(F.col(t).isNotNull(), u)).withColumn("_k", F.floor("_u").cast("int"))
     table = levels(name)
     out = {}
     for c in "rgb":

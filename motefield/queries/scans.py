@@ -149,10 +149,10 @@ def a07(spark, folder):
 
 
 @query("a08_mesh_particles", FACE_CELLS + """SELECT block_id, cell, round(cbrt(volume), 9) AS SmoothingLength,
-round(rho*volume, 9) AS Masses, rho AS Density, press AS Pressure, round(x, 9) AS x, round(vx, 8) AS vx FROM vel""")
+round(rho*volume, 11) AS Masses, rho AS Density, press AS Pressure, round(x, 9) AS x, round(vx, 8) AS vx FROM vel""")
 def a08(spark, folder):
     p = mesh.mesh_particles(face_cells(spark, folder), F.col("system"), list(FACE_VARS), keep=["block_id", "cell"])
-    return p.select("block_id", "cell", F.round("SmoothingLength", 9).alias("SmoothingLength"), F.round("Masses", 9).alias("Masses"),
+    return p.select("block_id", "cell", F.round("SmoothingLength", 9).alias("SmoothingLength"), F.round("Masses", 11).alias("Masses"),
                     "Density", "Pressure", F.round(F.get("Coordinates", F.lit(0)), 9).alias("x"),
                     F.round(F.get("Velocities", F.lit(0)), 8).alias("vx"))
 
@@ -347,7 +347,7 @@ def sql_ramp(name, channel, i):
 
 def sql_lookup(name, src, keep, tag=""):
     """CTE ``colored<tag>`` with r, g, b for column t of ``src``."""
-    ch = ", ".join(f"({sql_ramp(name, c, 'k')} + ({sql_ramp(name, c, 'least(k+1, 255)')} - {sql_ramp(name, c, 'k')})*(u-k))/255e0 AS {c}" for c in "rgb")
+    ch = ", ".join(f"CASE WHEN t IS NOT NULL THEN ({sql_ramp(name, c, 'k')} + ({sql_ramp(name, c, 'least(k+1, 255)')} - {sql_ramp(name, c, 'k')})*(u-k))/255e0 END AS {c}" for c in "rgb")
     return f"""colored{tag} AS (SELECT {keep}, t, {ch} FROM (
   SELECT *, floor(u) AS k FROM (SELECT *, CASE WHEN t IS NULL THEN NULL ELSE greatest(0e0, least(255e0, t*256e0-0.5e0)) END AS u FROM {src})))"""
 
