@@ -83,12 +83,20 @@ def search_radius(points: DataFrame, box, k: int, period: float | None) -> DataF
 
 
 def _level(radius: Column, side: float) -> Column:
-    """Finest grid whose cell edge is no smaller than the radius."""
-    return sum((F.when(radius <= side / 2.0**j, 1).otherwise(0) for j in range(1, MAX_LEVEL + 1)), F.lit(0)).cast("int")
+    """Finest grid whose cell edge is no smaller than the radius (with room for rounding)."""
+    steps = F.floor(F.log2(side / F.greatest(radius * (1 + 1e-9), F.lit(side * 2.0**-MAX_LEVEL))))
+    return F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), steps)).cast("int")
+
+
+def _cells(level: Column) -> Column:
+    """Cells per axis at a grid level."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), level)
 
 
 def _cell(v: Column, low: float, side: float, level: Column) -> Column:
-    return F.floor((v - low) / side * F.shiftleft(F.lit(1).cast("long"), level)).cast("long")
+    cell = F.floor((v - low) / side * _cells(level)).cast("long")
+    # never null: a join key that could be null makes Spark filter it again below every projection
+    return F.coalesce(cell, F.lit(0).cast("long"))
 
 
 def nearest(df: DataFrame, k: int = K, period: float | None = None, only: DataFrame | None = None) -> DataFrame:
@@ -117,10 +125,9 @@ def nearest(df: DataFrame, k: int = K, period: float | None = None, only: DataFr
         hi = _cell(F.col(a) + F.col("radius"), box[a], box["side"], F.col("level"))
         cells = F.sequence(lo, hi)
         if period is not None:
-            n = F.shiftleft(F.lit(1).cast("long"), F.col("level"))
-            cells = F.array_distinct(F.transform(cells, lambda c, n=n: F.pmod(c, n)))
+            cells = F.array_distinct(F.transform(cells, lambda c: F.pmod(c, _cells(F.col("level")))))
         else:
-            n = F.shiftleft(F.lit(1).cast("long"), F.col("level"))
+            n = _cells(F.col("level"))
             cells = F.sequence(F.greatest(lo, F.lit(0)), F.least(hi, n - 1))
         visits = visits.withColumn(f"c{a}", F.explode(cells))
     visits = visits.select("qid", "radius", "level", "cx", "cy", "cz")

@@ -179,3 +179,8 @@ def track_overlay(segs: DataFrame, cam: Camera, order: Sequence[str], width: flo
     hit = px.where((F.col("off") <= half) & (F.col("along") >= 0) & (F.col("along") <= F.col("len")))
     last = F.max_by(F.struct(*[F.col(c).alias(n) for c, n in zip(color, "rgb")]), F.struct(*order)).alias("c")
     return hit.groupBy("px", "py").agg(last).select("px", "py", "c.r", "c.g", "c.b", F.lit(1.0).alias("cover"))
+
+
+def star_field(stars: DataFrame, name: str | None, fallback):
+    """The named per-star field, or the fallback when it is none or absent."""
+    return F.col(name).cast("double") if name and name != "None" and name in stars.columns else fallback

@@ -30,7 +30,7 @@ def _directions(df: DataFrame, eye: Sequence[float]) -> DataFrame:
 
 def _edge(level):
     """Cell edge at a level: level 0 is one cell for the whole sky, then 1, 1/2, 1/4, ..."""
-    return F.shiftright(F.lit(1 << 40), level - 1) / float(1 << 40)
+    return F.get(F.lit([2.0] + [2.0 ** (1 - k) for k in range(1, LEVELS + 1)]), level)
 
 
 def gas_cells(gas: DataFrame, eye: Sequence[float], mass: str = "mass", hsml: str = "hsml",
@@ -38,15 +38,17 @@ def gas_cells(gas: DataFrame, eye: Sequence[float], mass: str = "mass", hsml: st
     """Gas with its sky cell: the finest level whose cells are no smaller than its disc."""
     h = F.col(hsml)
     rel = _directions(gas.where(h > 0), eye)
-    ratio = F.least(h / F.col("d"), F.lit(1.0))
-    chord = ratio * F.sqrt(2.0 / (1.0 + F.sqrt(1.0 - ratio * ratio))) * SLACK
+    ratio = F.when(h < F.col("d"), h / F.col("d")).otherwise(1.0)
+    rel = rel.withColumn("ratio", ratio)
+    ratio = F.col("ratio")
     # a gas row around or at the eye can cover any direction
-    rel = rel.withColumn("chord", F.when(h < F.col("d"), chord).otherwise(2.0))
-    ladder = sum((F.when(F.col("chord") <= 2.0 ** (1 - k), 1).otherwise(0) for k in range(1, LEVELS + 1)), F.lit(0))
-    rel = rel.withColumn("level", ladder.cast("int"))
+    chord = F.when(ratio < 1.0, ratio * F.sqrt(2.0 / (1.0 + F.sqrt(1.0 - ratio * ratio))) * SLACK).otherwise(2.0)
+    level = F.greatest(F.lit(0), F.least(F.lit(LEVELS), F.floor(1.0 - F.log2(chord)))).cast("int")
+    # keys are never null: Spark would filter nullable join keys again below every projection
+    rel = rel.withColumn("level", F.coalesce(level, F.lit(0)))
+    edge = _edge(F.col("level"))
     cells = {
-        f"c{a}": F.when(F.col("level") == 0, 0).otherwise(F.floor(F.col(f"n{a}") / _edge(F.col("level")))).cast("int")
-        for a in "xyz"
+        f"c{a}": F.coalesce(F.when(F.col("level") > 0, F.floor(F.col(f"n{a}") / edge)).cast("int"), F.lit(0)) for a in "xyz"
     }
     return rel.withColumns(cells).select(
         *key, "level", "cx", "cy", "cz", "dx", "dy", "dz", F.col(mass).alias("m"), (h * h).alias("h2")

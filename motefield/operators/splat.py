@@ -15,23 +15,24 @@ EDGE = 1e-9  # pixel ranges are widened by this much; the exact r <= 1 test deci
 
 def projected(df: DataFrame, cam, mass: Column, hsml: Column, qty: Column | None = None,
               keep: Sequence[str] = (), xyz: Sequence[str] = ("x", "y", "z"),
-              width=None, height=None) -> DataFrame:
+              width=None, height=None, carry: Sequence[str] = ()) -> DataFrame:
     """Screen geometry of each particle in pixels: centre ``cx, cy``, radii ``rx, ry``, and ``a`` = m/h².
 
     Pixel centres are the integers: column i of W has NDC 2(i+1/2)/W-1, row j of H has 1-2(j+1/2)/H.
     Only the columns the splat needs survive, so the scan is pruned and the explode stays narrow.
-    A particle outside the depth range gets null geometry and yields no pixel below.
+    A particle outside the depth range gets null geometry and yields no pixel below. ``keep`` columns
+    stay to the end; ``carry`` columns (a camera struct) only until the geometry is done.
     """
     width = cam.width if width is None else width
     height = cam.height if height is None else height
     x, y, z = (F.col(c) for c in xyz)
-    cols = [F.col(c) for c in keep]
+    cols, more = [F.col(c) for c in keep], [F.col(c) for c in carry]
     extra = ["q"] if qty is not None else []
-    base = df.select(*cols, *[c.alias(n) for n, c in view(cam, x, y, z).items()],
+    base = df.select(*cols, *more, *[c.alias(n) for n, c in view(cam, x, y, z).items()],
                      mass.alias("m"), hsml.alias("h"), *([qty.alias("q")] if qty is not None else []))
     depth, h = F.col("depth"), F.col("h")
     seen = in_depth_range(cam, depth) & (h > 0)
-    base = base.select(*cols, F.when(seen, depth).alias("depth"), "right_d", "up_d", "m", "h", *extra)
+    base = base.select(*cols, *more, F.when(seen, depth).alias("depth"), "right_d", "up_d", "m", "h", *extra)
     at = ndc(cam, depth, F.col("right_d"), F.col("up_d"))
     return base.select(
         *cols, ((at["nx"] + 1.0) * width / 2 - 0.5).alias("cx"), ((1.0 - at["ny"]) * height / 2 - 0.5).alias("cy"),
@@ -79,11 +80,11 @@ def cut_pixels(rows: DataFrame, width) -> DataFrame:
 
 def contributions(df: DataFrame, cam, mass: Column, hsml: Column, qty: Column | None = None,
                   kernel: str = "cubic_spline", keep: Sequence[str] = (), width=None, height=None,
-                  xyz: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+                  xyz: Sequence[str] = ("x", "y", "z"), carry: Sequence[str] = ()) -> DataFrame:
     """Per particle and pixel: ``sigma`` = m·W(r)/h², and ``q`` if a quantity is given."""
     width = cam.width if width is None else width
     height = cam.height if height is None else height
-    shape = projected(df, cam, mass, hsml, qty, keep, xyz, width, height)
+    shape = projected(df, cam, mass, hsml, qty, keep, xyz, width, height, carry)
     px = cut_pixels(cut_rows(shape, width, height), width)
     sigma = F.when(F.col("r2") <= 1.0, F.col("a") * kernel_value(kernel, F.col("r2")))
     return px.select(*keep, "px", "py", sigma.alias("sigma"), *(["q"] if qty is not None else []))

@@ -69,8 +69,13 @@ def sql_hits(cam: Camera, src: str = "particle", mass: str = "mass", hsml: str =
 geom{tag} AS (SELECT {k} {sql_view(cam)}, {mass} AS m, {hsml} AS h, {qty} AS q FROM {src}),
 shape{tag} AS (SELECT {k} ({fx}*right_d/depth + 1e0)*{w}/2e0 - 0.5e0 AS cx, (1e0 - {fy}*up_d/depth)*{h}/2e0 - 0.5e0 AS cy,
   {fx}*h/depth*{w}/2e0 AS rx, {fy}*h/depth*{h}/2e0 AS ry, m/(h*h) AS a, q
-  FROM geom{tag} WHERE depth >= {lit(v['near'])} AND depth <= {lit(v['far'])} AND h > 0),
-rows{tag} AS (SELECT *, unnest(range(greatest(ceil(cy-ry),0)::BIGINT, least(floor(cy+ry),{h}-1)::BIGINT+1)) AS py
+  FROM geom{tag} WHERE depth >= {lit(v['near'])} AND depth <= {lit(v['far'])} AND h > 0)""" + ",\n" + sql_discs(w, h, kernel, keep, tag)
+
+
+def sql_discs(w, h, kernel: str = "cubic_spline", keep: str = "", tag: str = "") -> str:
+    """CTEs from ``shape<tag>`` (cx, cy, rx, ry, a, q) to ``hits<tag>``."""
+    k = keep + "," if keep else ""
+    return f"""rows{tag} AS (SELECT *, unnest(range(greatest(ceil(cy-ry),0)::BIGINT, least(floor(cy+ry),{h}-1)::BIGINT+1)) AS py
   FROM shape{tag} WHERE cx+rx >= 0 AND cx-rx <= {w}-1 AND cy+ry >= 0 AND cy-ry <= {h}-1),
 cells{tag} AS (SELECT *, unnest(range(greatest(ceil(cx-rx),0)::BIGINT, least(floor(cx+rx),{w}-1)::BIGINT+1)) AS px FROM rows{tag}),
 disc{tag} AS (SELECT *, ((px-cx)/rx)*((px-cx)/rx) + ((py-cy)/ry)*((py-cy)/ry) AS r2 FROM cells{tag}),

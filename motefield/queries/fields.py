@@ -320,13 +320,13 @@ def sql_rgb(src, keep, tag=""):
 
 @query("b31_hsv_round_trip", ctes("particle", more="rgb0 AS (SELECT pid, x AS r, y AS g, z AS b FROM particle)," + sql_hsv("rgb0", "pid") +
        ", dim AS (SELECT pid, h, s, v*0.5e0 AS v, h AS hue FROM hsv)," + sql_rgb("dim", "pid, hue, s")) + """
-SELECT pid, round(hue, 8) AS h, round(s, 8) AS s, round(r, 8) AS r, round(g, 8) AS g, round(b, 8) AS b FROM rgb""")
+SELECT pid, round(hue, 7) AS h, round(s, 7) AS s, round(r, 7) AS r, round(g, 7) AS g, round(b, 7) AS b FROM rgb""")
 def b31(spark, folder):
     p = particle(spark, folder)
     h, s, v = rgb_to_hsv(F.col("x"), F.col("y"), F.col("z"))
     p = p.select("pid", h.alias("h"), s.alias("s"), v.alias("v"))
     r, g, b = hsv_to_rgb(F.col("h"), F.col("s"), F.col("v") * 0.5)
-    return rounded(p.select("pid", "h", "s", r.alias("r"), g.alias("g"), b.alias("b")), 8, "h", "s", "r", "g", "b")
+    return rounded(p.select("pid", "h", "s", r.alias("r"), g.alias("g"), b.alias("b")), 7, "h", "s", "r", "g", "b")
 
 
 SPEC1 = FieldSpec(low=3.0, high=7.0, log=True)

@@ -149,10 +149,10 @@ def a07(spark, folder):
 
 
 @query("a08_mesh_particles", FACE_CELLS + """SELECT block_id, cell, round(cbrt(volume), 9) AS SmoothingLength,
-round(rho*volume, 11) AS Masses, rho AS Density, press AS Pressure, round(x, 9) AS x, round(vx, 8) AS vx FROM vel""")
+floor(rho*volume*1e9 + 0.5e0)/1e9 AS Masses, rho AS Density, press AS Pressure, round(x, 9) AS x, round(vx, 8) AS vx FROM vel""")
 def a08(spark, folder):
     p = mesh.mesh_particles(face_cells(spark, folder), F.col("system"), list(FACE_VARS), keep=["block_id", "cell"])
-    return p.select("block_id", "cell", F.round("SmoothingLength", 9).alias("SmoothingLength"), F.round("Masses", 11).alias("Masses"),
+    return p.select("block_id", "cell", F.round("SmoothingLength", 9).alias("SmoothingLength"), (F.floor(F.col("Masses") * 1e9 + 0.5) / 1e9).alias("Masses"),
                     "Density", "Pressure", F.round(F.get("Coordinates", F.lit(0)), 9).alias("x"),
                     F.round(F.get("Velocities", F.lit(0)), 8).alias("vx"))
 

@@ -71,12 +71,17 @@ def main(argv):
     con, sql = duck(folder), e.oracle_sql()
     failed = []
     for name, query in e.queries().items():
-        if argv[1:] and not any(name.startswith(p) for p in argv[1:]):
+        wanted = [p for p in argv[1:] if p != "-v"]
+        if wanted and not any(name.startswith(p) for p in wanted):
             continue
         try:
             verdict, n, t, d = compare(spark, con, folder, name, query, sql.get(name))
         except Exception as err:  # noqa: BLE001
-            verdict, n, t, d = f"{type(err).__name__}: {str(err)[:1500]}", 0, 0.0, 0.0
+            verdict, n, t, d = f"{type(err).__name__}: {str(err)[:600]}", 0, 0.0, 0.0
+            if "-v" in argv:
+                import traceback
+
+                traceback.print_exc()
         if verdict not in ("ok", "rows only"):
             failed.append(name)
         print(f"{name:36s} {n:8d} rows  spark {t:6.2f}s  duck {d:6.2f}s  {verdict}", flush=True)
