@@ -54,8 +54,9 @@ def flat_plane_density(df: DataFrame, center, distance: float, res: int, fov: fl
 
 def step_ratios(log: DataFrame, run: str = "run", frame: str = "frame", value: str = "ms") -> DataFrame:
     """Adds ``step``: log2 of each value over the one before it in its run."""
-    before = F.greatest(F.lag(value).over(Window.partitionBy(run).orderBy(frame)), F.lit(1.0))
-    return log.withColumn("step", F.log2(F.greatest(F.col(value) / before, F.lit(1e-9))))
+    before = F.lag(value).over(Window.partitionBy(run).orderBy(frame))
+    ratio = F.greatest(F.col(value) / F.greatest(before, F.lit(1.0)), F.lit(1e-9))
+    return log.withColumn("step", F.when(before.isNotNull(), F.log2(ratio)))
 
 
 def summarize(log: DataFrame, run: str = "run", frame: str = "frame", value: str = "ms") -> DataFrame:
