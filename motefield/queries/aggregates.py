@@ -122,7 +122,6 @@ def e09_scatter(spark, folder):
 
 def sql_entropy(src, value="value", weight="weight"):
     """CTE ``best(lo, hi, entropy)`` for rows of ``src``."""
-    frac = lambda x: f"SELECT f.k, f.f, q.x0 + CASE WHEN q.c1 > q.c0 THEN (q.x1-q.x0)*(f.f-q.c0)/(q.c1-q.c0) ELSE 0e0 END AS v FROM {x}"
     return f"""wt AS (SELECT sum({weight}) AS total FROM {src}),
 vals AS (SELECT {value} AS x, sum({weight}) AS w, min({weight}) AS wf FROM {src} GROUP BY {value}),
 knot AS (SELECT x, (upto-w+wf)/total AS yl, upto/total AS yr FROM (SELECT *, sum(w) OVER (ORDER BY x) AS upto FROM vals), wt),
@@ -133,10 +132,10 @@ lim AS (SELECT k, CASE WHEN t.c0 IS NULL THEN (SELECT min(x) FROM knot) WHEN t.c
   FROM frac ASOF LEFT JOIN turned t ON f >= t.c0),
 edge AS (SELECT i.k AS i, j.k-32 AS j, i.v AS lo, j.v AS hi, t, i.v + t/128e0*(j.v-i.v) AS x FROM lim i, lim j, range(129) r(t) WHERE i.k < 32 AND j.k >= 32),
 seg AS (SELECT x AS x0, yr AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(yl) OVER (ORDER BY x) AS y1 FROM knot),
-at AS (SELECT i, j, lo, hi, t, CASE WHEN s.x0 IS NULL THEN (SELECT yl FROM knot ORDER BY x LIMIT 1) WHEN s.x1 IS NULL THEN s.y0 ELSE s.y0 + (e.x-s.x0)*((s.y1-s.y0)/(s.x1-s.x0)) END AS y
+cdf AS (SELECT i, j, lo, hi, t, CASE WHEN s.x0 IS NULL THEN (SELECT yl FROM knot ORDER BY x LIMIT 1) WHEN s.x1 IS NULL THEN s.y0 ELSE s.y0 + (e.x-s.x0)*((s.y1-s.y0)/(s.x1-s.x0)) END AS y
   FROM edge e ASOF LEFT JOIN seg s ON e.x >= s.x0),
 prob AS (SELECT i, j, lo, hi, lead(y) OVER (PARTITION BY i, j ORDER BY t) - y + CASE WHEN t = 0 THEN y ELSE 0 END
-  + CASE WHEN t = 127 THEN 1e0 - lead(y) OVER (PARTITION BY i, j ORDER BY t) ELSE 0 END AS p, t FROM at),
+  + CASE WHEN t = 127 THEN 1e0 - lead(y) OVER (PARTITION BY i, j ORDER BY t) ELSE 0 END AS p, t FROM cdf),
 ent AS (SELECT i, j, any_value(lo) AS lo, any_value(hi) AS hi, sum(CASE WHEN p > 0 THEN -p*log2(p) ELSE 0 END) AS entropy FROM prob WHERE t < 128 GROUP BY i, j),
 best AS (SELECT * FROM ent ORDER BY hi > lo DESC, round(entropy, 9) DESC, i, j LIMIT 1)"""
 
@@ -209,8 +208,8 @@ def e16(spark, folder):
 
 
 @query("e17_compare_maps", ctes("particle", more=sql_map(CAM) + "," + sql_flat((0.5, 0.5, 0.5), 1.0, 128)) + """,
-both AS (SELECT a.den AS va, b.den AS vb FROM accum a FULL JOIN accumF b USING (px, py)),
-logs AS (SELECT va, vb, CASE WHEN va > 0 AND vb > 0 THEN log10(va) END AS la, CASE WHEN va > 0 AND vb > 0 THEN log10(vb) END AS lb FROM both)
+pair AS (SELECT a.den AS va, b.den AS vb FROM accum a FULL JOIN accumF b USING (px, py)),
+logs AS (SELECT va, vb, CASE WHEN va > 0 AND vb > 0 THEN log10(va) END AS la, CASE WHEN va > 0 AND vb > 0 THEN log10(vb) END AS lb FROM pair)
 SELECT round(sum(vb)/sum(va), 8) AS mass_ratio, count(la) AS overlap, round(corr(la, lb), 7) AS log_corr, round(quantile_cont(abs(la-lb), 0.5), 8) AS median_dlog FROM logs""")
 def e17(spark, folder):
     p = particle(spark, folder)

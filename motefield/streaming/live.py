@@ -37,11 +37,14 @@ def windowed_map(stream: DataFrame, cam: Camera, time: str, width: str, late: st
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "px", "py", *sums)
 
 
-def run_available(stream_map: DataFrame, name: str, mode: str, checkpoint: str | None = None) -> DataFrame:
-    """Processes what is there now into an in-memory table: for tests and small demonstrations."""
-    writer = stream_map.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    query = writer.start()
-    query.awaitTermination()
-    return stream_map.sparkSession.table(name)
+def run_to_table(stream_map: DataFrame, path: str) -> DataFrame:
+    """Processes what is there now; each batch replaces the table at ``path`` with the whole map.
+
+    The map is written by the executors; the driver holds none of it.
+    """
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/map")
+
+    writer = stream_map.writeStream.outputMode("complete").foreachBatch(replace).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{path}/state").start().awaitTermination()
+    return stream_map.sparkSession.read.parquet(f"{path}/map")
