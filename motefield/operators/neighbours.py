@@ -2,7 +2,7 @@
 
 1. Positions are merged, so copies of a particle are one row with a multiplicity.
 2. Positions are put in Morton order. The k-th smallest distance to the rows around a position on
-   that curve bounds its true k-th distance from above: a proven search radius, from one sort.
+   that curve bounds its true k-th distance from above: a proven search radius, from one range sort.
 3. Each position visits the grid cells its ball touches, at the grid level that fits the radius.
    Data rows meet it there by equi-join, and distances beyond the radius are dropped.
 4. ``row_number() <= k`` keeps the nearest; Spark limits each group before the exchange.
@@ -12,17 +12,21 @@ The result is exact, no candidate is capped, and one pass finishes every row.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from motefield.operators.ordering import bounds_of, in_bucket
 from motefield.operators.skew import salted_join
 from motefield.session import checkpoint
 
+# the Arrow helpers travel with the job, so executors need no installed copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 K = 50
 TARGET = 32
 MORTON_BITS = 20
@@ -51,10 +55,10 @@ def box_of(df: DataFrame) -> dict[str, float]:
     return {"n": row["n"], **{a: row["lo" + a] for a in "xyz"}, "side": side * (1 + 1e-9)}
 
 
-def morton(box: dict[str, float]) -> Column:
+def morton(box: dict[str, float], scale: float = 1.0, shift: float = 0.0) -> Column:
     bits = []
     for i, a in enumerate("xyz"):
-        cell = F.floor((F.col(a) - box[a]) / box["side"] * float(1 << MORTON_BITS)).cast("long")
+        cell = F.floor(((F.col(a) - box[a]) / box["side"] * scale + shift) * float(1 << MORTON_BITS)).cast("long")
         bits.append(F.shiftleft(_spread_bits(cell), i))
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
@@ -64,27 +68,58 @@ def _gap(a: Column, b: Column, period: float | None) -> Column:
     return d if period is None else F.least(d, F.lit(period) - d)
 
 
-def search_radius(points: DataFrame, box, k: int, period: float | None) -> DataFrame:
-    """Adds ``radius``: k-th smallest distance among the 2k rows around on the Morton curve."""
-    buckets = int(max(1, min(1024, box["n"] // (16 * k))))
-    coded = points.withColumn("code", morton(box))
-    cut = in_bucket(coded, "code", bounds_of(coded, "code", buckets)) if buckets > 1 else coded.withColumn("_b", F.lit(0))
-    around = Window.partitionBy("_b").orderBy("code", "x", "y", "z").rowsBetween(-(k - 1), k - 1)
-    rows = cut.withColumn("near", F.collect_list(F.struct("x", "y", "z")).over(around))
+def _radii(block: np.ndarray, first: int, ks: Sequence[int], reach: int, period: float | None) -> np.ndarray:
+    """k-th smallest distance from each row (from ``first`` on) to the rows within ``reach`` in curve order."""
+    n = len(block)
+    rows = np.arange(first, n)
+    around = rows[:, None] + np.arange(-reach, reach + 1)[None, :]
+    inside = (around >= 0) & (around < n)
+    gap = np.abs(block[np.clip(around, 0, n - 1)] - block[rows][:, None, :])
+    if period is not None:
+        gap = np.minimum(gap, period - gap)
+    d2 = np.where(inside, (gap * gap).sum(axis=2), np.inf)
+    d2.sort(axis=1)
+    return np.sqrt(np.stack([d2[:, min(k, 2 * reach + 1) - 1] for k in ks], axis=1))
+
 
-    def dist2(p):
-        gaps = [_gap(p[a], F.col(a), period) for a in "xyz"]
-        return gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
+def search_radius(points: DataFrame, box, ks: Sequence[int], period: float | None) -> DataFrame:
+    """Adds ``radii``: an upper bound of the k-th distance for every k.
 
-    d2 = F.get(F.array_sort(F.transform("near", dist2)), F.lit(k - 1))
-    # a range with fewer than k rows proves nothing: search the whole box
+    The curve is cut by range; each task walks its sorted rows in Arrow batches and keeps the last
+    rows of a batch as context for the next, so it holds a few thousand rows at a time. Two curves
+    with different origins are walked and the smaller bound counts: where one jumps across the box
+    just behind the start of a range, the other runs on.
+    """
+    reach = 2 * max(ks)
+    step = 2048
     whole = 2.0 * box["side"]
-    return rows.select("x", "y", "z", "copies", F.coalesce(F.sqrt(d2) * (1 + 1e-9), F.lit(whole)).alias("radius"))
+    tasks = max(1, min(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), box["n"] // (8 * reach) or 1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        context = np.empty((0, 3))
+        for pdf in batches:
+            for start in range(0, len(pdf), step):
+                part = pdf.iloc[start : start + step]
+                xyz = np.concatenate([context, part[["x", "y", "z"]].to_numpy()])
+                r = _radii(xyz, len(context), ks, reach, period) * (1 + 1e-9)
+                # too few rows prove nothing: search the whole box
+                r = np.where(np.isfinite(r), r, whole)
+                if "radii" in part:
+                    r = np.minimum(r, np.stack(part["radii"].to_numpy()))
+                yield part[["x", "y", "z", "copies"]].assign(radii=list(r))
+                context = xyz[-2 * reach :]
+
+    out = points
+    for scale, shift in ((1.0, 0.0), (0.5, 0.29)):
+        coded = out.withColumn("code", morton(box, scale, shift))
+        ordered = coded.repartitionByRange(tasks, "code").sortWithinPartitions("code", "x", "y", "z").drop("code")
+        out = ordered.mapInPandas(run, "x double, y double, z double, copies long, radii array<double>")
+    return out
 
 
 def _level(radius: Column, side: float) -> Column:
-    """Finest grid whose cell edge is no smaller than the radius (with room for rounding)."""
-    steps = F.floor(F.log2(side / F.greatest(radius * (1 + 1e-9), F.lit(side * 2.0**-MAX_LEVEL))))
+    """Grid whose cell edge is between half the radius and the radius: a ball touches some 20 to 85 cells."""
+    steps = F.ceil(F.log2(side / F.greatest(radius, F.lit(side * 2.0**-MAX_LEVEL))))
     return F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), steps)).cast("int")
 
 
@@ -99,59 +134,74 @@ def _cell(v: Column, low: float, side: float, level: Column) -> Column:
     return F.coalesce(cell, F.lit(0).cast("long"))
 
 
-def nearest(df: DataFrame, k: int = K, period: float | None = None, only: DataFrame | None = None) -> DataFrame:
-    """``x, y, z, distances``: sorted distances to the k nearest rows of each position, itself included.
-
-    With a period L the box is periodic on every axis. ``only`` restricts the positions asked for. Fewer than k entries come back only if the
-    table has fewer rows.
-    """
+def prepare(df: DataFrame, ks: Sequence[int], period: float | None) -> tuple[DataFrame, dict]:
+    """Merged positions with a row id and a search radius for every k, and their box."""
     points = checkpoint(merged_positions(df))
     box = box_of(points)
     if period is not None:
         box = {**box, "x": 0.0, "y": 0.0, "z": 0.0, "side": float(period)}
-    spark = df.sparkSession
-    wanted = search_radius(points, box, k, period)
-    if only is not None:
-        wanted = wanted.join(only, ["x", "y", "z"], "left_semi")
-    wanted = checkpoint(wanted.withColumn("level", _level(F.col("radius"), box["side"])))
+    # ids are given once and stored: a task that is run again must not number its rows anew
+    marked = search_radius(points, box, ks, period).withColumn("id", F.monotonically_increasing_id())
+    return checkpoint(marked), box
 
+
+def nearest(df: DataFrame, k: int = K, period: float | None = None) -> DataFrame:
+    """``x, y, z, distances``: sorted distances to the k nearest rows of each position, itself included.
+
+    With a period L the box is periodic on every axis. Fewer than k entries come back only if the
+    table has fewer rows.
+    """
+    points, box = prepare(df, [k], period)
+    return nearest_of(points, box, k, 0, period)
+
+
+def nearest_of(points: DataFrame, box: dict, k: int, slot: int, period: float | None = None,
+               only: DataFrame | None = None) -> DataFrame:
+    """As :func:`nearest`, on prepared points with the radius in ``slot``, for all or ``only`` some ids."""
+    asked = points if only is None else points.join(only.select("id"), "id", "left_semi")
+    asked = asked.withColumn("radius", F.get("radii", F.lit(slot)))
+    asked = asked.withColumn("level", _level(F.col("radius"), box["side"]))
     # positions with k or more copies are done: all k distances are 0
-    done = wanted.where(F.col("copies") >= k).select("x", "y", "z", F.array_repeat(F.lit(0.0), k).alias("distances"))
-    open_rows = wanted.where(F.col("copies") < k).withColumn("qid", F.struct("x", "y", "z"))
+    done = asked.where(F.col("copies") >= k).select("id", F.array_repeat(F.lit(0.0), k).alias("distances"))
 
-    visits = open_rows
+    visits = asked.where(F.col("copies") < k).select("id", "x", "y", "z", "radius", "level")
+    edge = F.lit(box["side"]) / _cells(F.col("level"))
+    miss = F.lit(0.0)
     for a in "xyz":
         lo = _cell(F.col(a) - F.col("radius"), box[a], box["side"], F.col("level"))
         hi = _cell(F.col(a) + F.col("radius"), box[a], box["side"], F.col("level"))
-        cells = F.sequence(lo, hi)
-        if period is not None:
-            cells = F.array_distinct(F.transform(cells, lambda c: F.pmod(c, _cells(F.col("level")))))
-        else:
-            n = _cells(F.col("level"))
-            cells = F.sequence(F.greatest(lo, F.lit(0)), F.least(hi, n - 1))
-        visits = visits.withColumn(f"c{a}", F.explode(cells))
-    visits = visits.select("qid", "radius", "level", "cx", "cy", "cz")
-
-    levels = [r["level"] for r in open_rows.select("level").distinct().collect()]  # at most MAX_LEVEL + 1
-    if not levels:
-        return done
-    data = points.withColumn("level", F.explode(F.array(*[F.lit(v) for v in sorted(levels)])))
+        if period is None:
+            lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, _cells(F.col("level")) - 1)
+        else:  # no cell twice, should the ball be wider than the box
+            hi = F.least(hi, lo + _cells(F.col("level")) - 1)
+        visits = visits.withColumn(f"c{a}", F.explode(F.sequence(lo, hi)))
+        gap = F.greatest(box[a] + F.col(f"c{a}") * edge - F.col(a), F.col(a) - box[a] - (F.col(f"c{a}") + 1) * edge, F.lit(0.0))
+        miss = miss + gap * gap
+    if period is None:  # cells the ball does not reach
+        visits = visits.where(miss <= F.col("radius") * F.col("radius") * (1 + 1e-6))
+    else:
+        visits = visits.withColumns({f"c{a}": F.pmod(F.col(f"c{a}"), _cells(F.col("level"))) for a in "xyz"})
+    visits = visits.select("id", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"),
+                           (F.col("radius") * F.col("radius")).alias("reach2"), "level", "cx", "cy", "cz")
+
+    levels = [r["level"] for r in asked.select("level").distinct().collect()]  # at most MAX_LEVEL + 1
+    data = points.select("x", "y", "z", "copies", F.explode(F.array(*[F.lit(v) for v in sorted(levels) or [0]])).alias("level"))
     data = data.withColumns({f"c{a}": _cell(F.col(a), box[a], box["side"], F.col("level")) for a in "xyz"})
     keys = ["level", "cx", "cy", "cz"]
-    # cells nobody visits are dropped before the data moves to the join
-    data = data.join(visits.select(*keys).distinct(), keys, "left_semi")
+    if only is not None:  # few positions are asked: cells nobody visits stay out of the join
+        data = data.join(visits.select(*keys).distinct(), keys, "left_semi")
 
     pairs = salted_join(data, visits, keys, ["x", "y", "z"])
-    gaps = [_gap(F.col(a), F.col(f"qid.{a}"), period) for a in "xyz"]
+    gaps = [_gap(F.col(a), F.col(f"q{a}"), period) for a in "xyz"]
     d2 = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
-    pairs = pairs.select("qid", "radius", "copies", d2.alias("d2")).where(F.col("d2") <= F.col("radius") * F.col("radius"))
-    order = Window.partitionBy("qid").orderBy("d2")
+    pairs = pairs.select("id", "reach2", "copies", d2.alias("d2")).where("d2 <= reach2").drop("reach2")
+    order = Window.partitionBy("id").orderBy("d2")
     near = pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
     # at most k rows per position from here on
-    entry = F.struct(F.sqrt("d2").alias("d"), "copies")
-    lists = near.groupBy("qid").agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    lists = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.sqrt("d2").alias("d"), "copies"))).alias("e"))
     flat = F.flatten(F.transform("e", lambda e: F.array_repeat(e["d"], F.least(e["copies"], F.lit(k)).cast("int"))))
-    return lists.select("qid.x", "qid.y", "qid.z", F.slice(flat, 1, k).alias("distances")).unionByName(done)
+    lists = lists.select("id", F.slice(flat, 1, k).alias("distances")).unionByName(done)
+    return points.select("id", "x", "y", "z").join(lists, "id")
 
 
 def usable_period(df: DataFrame, box_size: float | None) -> float | None:
@@ -188,7 +238,7 @@ def solve_lengths(lists: DataFrame, target: float = TARGET, steps: int = 40) ->
 
     ``solved`` is false where the neighbour number at the last distance is still below the target.
     """
-    schema = "x double, y double, z double, hsml double, solved boolean"
+    schema = "id long, x double, y double, z double, hsml double, solved boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -197,9 +247,9 @@ def solve_lengths(lists: DataFrame, target: float = TARGET, steps: int = 40) ->
                 dist = np.full((len(pdf), sizes.max()), np.inf)
                 dist[np.arange(sizes.max()) < sizes[:, None]] = np.concatenate(pdf["distances"].to_numpy())
                 h, ok = _solve(dist, target, steps)
-                yield pdf[["x", "y", "z"]].assign(hsml=h, solved=ok)
+                yield pdf[["id", "x", "y", "z"]].assign(hsml=h, solved=ok)
 
-    return lists.select("x", "y", "z", "distances").mapInPandas(run, schema)
+    return lists.select("id", "x", "y", "z", "distances").mapInPandas(run, schema)
 
 
 def smoothing_lengths(df: DataFrame, k: int = K, target: float = TARGET, box_size: float | None = None,
@@ -210,20 +260,27 @@ def smoothing_lengths(df: DataFrame, k: int = K, target: float = TARGET, box_siz
     table size; a row that cannot reach it at all gets its farthest distance.
     """
     period = usable_period(df, box_size)
-    out, todo, n = None, None, k
     total = df.count()
-    for _ in range(rounds):
-        lists = nearest(df, n, period, todo)
+    sizes = [min(k * 2**i, total) for i in range(rounds)]
+    sizes = sizes[: sizes.index(total) + 1] if total in sizes else sizes
+    points, box = prepare(df, sizes[:2], period)
+    out = todo = None
+    for i, n in enumerate(sizes):
+        if i == 2:  # few rows, if any, get here: bounds for all remaining sizes
+            again, box = prepare(df, sizes[2:], period)
+            todo = again.join(todo.select("x", "y", "z"), ["x", "y", "z"], "left_semi").select("id", "x", "y", "z")
+            points = again
+        lists = nearest_of(points, box, n, i if i < 2 else i - 2, period, todo)
         solved = checkpoint(solve_lengths(lists, target))
-        good = solved if n >= total else solved.where("solved")
+        last = i == len(sizes) - 1
+        good = (solved if last else solved.where("solved")).select("x", "y", "z", "hsml")
         out = good if out is None else out.unionByName(good)
-        todo = solved.where("not solved").select("x", "y", "z")
-        if n >= total or todo.isEmpty():
+        if last:
             break
-        n *= 2
-    else:
-        out = out.unionByName(solved.where("not solved"))
-    return out.select("x", "y", "z", "hsml")
+        todo = solved.where("not solved").select("id", "x", "y", "z")
+        if todo.isEmpty():
+            break
+    return out
 
 
 def with_smoothing_lengths(df: DataFrame, keep: Sequence[str] | None = None, **args) -> DataFrame:

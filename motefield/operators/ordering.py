@@ -13,19 +13,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+def default_buckets(df: DataFrame) -> int:
+    """As many ranges as the session has shuffle partitions: each range is sorted by one task."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def bounds_of(df: DataFrame, key: str, buckets: int = BUCKETS) -> Column:
-    """Approximate quantiles of ``key`` as a scalar subquery: ``buckets - 1`` range bounds."""
-    at = [i / buckets for i in range(1, buckets)]
-    return df.agg(F.percentile_approx(key, at, 10 * buckets)).scalar()
+def bounds_of(df: DataFrame, key: str, buckets: int | None = None) -> Column:
+    """Approximate quantiles of ``key`` as a scalar subquery: sorted range bounds."""
+    n = buckets or default_buckets(df)
+    at = [i / n for i in range(1, n)]
+    return df.agg(F.percentile_approx(key, at, 10 * n)).scalar()
 
 
-def in_bucket(df: DataFrame, key: str, bounds: Column, name: str = "_b") -> DataFrame:
+def in_bucket(df: DataFrame, key: str, bounds: Column, buckets: int | None = None, name: str = "_b") -> DataFrame:
+    """Adds the number of bounds below ``key``: first among every step-th bound, then in one step."""
+    step = max(1, int((buckets or default_buckets(df)) ** 0.5))
+    below = lambda arr: F.size(F.filter(arr, lambda b: b < F.col(key)))
     df = df.withColumn("_bounds", bounds)
-    rank = F.coalesce(F.size(F.filter("_bounds", lambda b: b < F.col(key))), F.lit(0))
-    return df.withColumn(name, rank).drop("_bounds")
+    coarse = F.filter("_bounds", lambda b, i: (i % step == step - 1) & (b < F.col(key)))
+    df = df.withColumn("_c", F.size(coarse) * step)
+    rank = F.col("_c") + below(F.slice("_bounds", F.col("_c") + 1, step))
+    return df.withColumn(name, F.coalesce(rank, F.lit(0))).drop("_bounds", "_c")
 
 
 def _offsets(df: DataFrame, amount: str) -> DataFrame:
@@ -36,28 +44,28 @@ def _offsets(df: DataFrame, amount: str) -> DataFrame:
     return F.broadcast(totals.select("_b", F.coalesce(F.sum("_t").over(before), zero).alias("_off")))
 
 
-def running(df: DataFrame, key: str, amount: str, buckets: int = BUCKETS) -> DataFrame:
+def running(df: DataFrame, key: str, amount: str, buckets: int | None = None) -> DataFrame:
     """Adds ``before``: the sum of ``amount`` over rows with a smaller ``key``. Keys must be unique."""
-    cut = in_bucket(df, key, bounds_of(df, key, buckets))
+    cut = in_bucket(df, key, bounds_of(df, key, buckets), buckets)
     here = Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.sum(amount).over(here), F.lit(0).cast(df.schema[amount].dataType))
     return cut.join(_offsets(cut, amount), "_b").withColumn("before", F.col("_off") + own).drop("_b", "_off")
 
 
-def numbered(df: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+def numbered(df: DataFrame, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
     """Adds ``pos``: 0-based position of each row in the order of ``keys`` over the whole table.
 
     Ranges are cut on the first key; the rest break its ties, so the first key should be nearly unique.
     """
     first = keys[0]
-    cut = in_bucket(df, first, bounds_of(df, first, buckets)).withColumn("_one", F.lit(1).cast("long"))
+    cut = in_bucket(df, first, bounds_of(df, first, buckets), buckets).withColumn("_one", F.lit(1).cast("long"))
     rn = F.row_number().over(Window.partitionBy("_b").orderBy(*keys)).cast("long")
     return cut.withColumn("pos", rn - 1).join(_offsets(cut, "_one"), "_b").withColumn(
         "pos", F.col("pos") + F.col("_off")
     ).drop("_b", "_off", "_one")
 
 
-def value_cdf(df: DataFrame, value: str, weight: str, buckets: int = BUCKETS) -> DataFrame:
+def value_cdf(df: DataFrame, value: str, weight: str, buckets: int | None = None) -> DataFrame:
     """Running weight per distinct value: ``v, w_first, w, n, before``.
 
     ``before`` is the weight below the value; within equal values the lightest row comes first.
@@ -68,7 +76,7 @@ def value_cdf(df: DataFrame, value: str, weight: str, buckets: int = BUCKETS) ->
     return running(merged, "v", "w", buckets)
 
 
-def pick_ranks(df: DataFrame, value: str, ranks: dict[str, Column], buckets: int = BUCKETS) -> DataFrame:
+def pick_ranks(df: DataFrame, value: str, ranks: dict[str, Column], buckets: int | None = None) -> DataFrame:
     """One row with the values at 0-based ranks; each rank is a Column of ``n``, the row count."""
     merged = df.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c"))
     ranked = running(merged, "v", "c", buckets).withColumn("n", df.agg(F.count(F.lit(1))).scalar())
@@ -76,14 +84,14 @@ def pick_ranks(df: DataFrame, value: str, ranks: dict[str, Column], buckets: int
     return ranked.agg(*[F.max(F.when(hit(k), F.col("v"))).alias(name) for name, k in ranks.items()])
 
 
-def weighted_median(df: DataFrame, value: str, weight: str, buckets: int = BUCKETS) -> DataFrame:
+def weighted_median(df: DataFrame, value: str, weight: str, buckets: int | None = None) -> DataFrame:
     """One row ``median``: the first value at which the running weight reaches half the total."""
     cdf = value_cdf(df, value, weight, buckets)
     half = df.agg(F.sum(weight) * 0.5).scalar()
     return cdf.where(F.col("before") + F.col("w") >= half).agg(F.min("v").alias("median"))
 
 
-def interpolate(knots: DataFrame, probes: DataFrame, x: str = "x", buckets: int = BUCKETS) -> DataFrame:
+def interpolate(knots: DataFrame, probes: DataFrame, x: str = "x", buckets: int | None = None) -> DataFrame:
     """Piecewise-linear lookup of every probe, clamped at the ends; adds ``y``.
 
     ``knots`` has distinct ``x`` with ``yl``, the value reached from the left, and ``yr``, the value
@@ -95,12 +103,13 @@ def interpolate(knots: DataFrame, probes: DataFrame, x: str = "x", buckets: int
     k = knots.select(F.col("x").alias("_x"), F.struct("x", "yr").alias("_lo"), F.struct("x", "yl").alias("_hi"),
                      F.lit(0).alias("_probe"))
     p = probes.select(F.col(x).alias("_x"), F.lit(1).alias("_probe"), *others)
-    rows = in_bucket(k.unionByName(p, allowMissingColumns=True), "_x", bounds)
+    rows = in_bucket(k.unionByName(p, allowMissingColumns=True), "_x", bounds, buckets)
 
-    span = Window.partitionBy("_b").orderBy("_x", "_probe")
-    back = span.rowsBetween(Window.unboundedPreceding, 0)
-    ahead = span.rowsBetween(0, Window.unboundedFollowing)
-    near = rows.withColumns({"_lo": F.last("_lo", True).over(back), "_hi": F.first("_hi", True).over(ahead)})
+    # both neighbours with running frames: a frame that ends at the range's end is quadratic in Spark
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    back = Window.partitionBy("_b").orderBy("_x", "_probe").rowsBetween(*so_far)
+    ahead = Window.partitionBy("_b").orderBy(F.col("_x").desc(), F.col("_probe").desc()).rowsBetween(*so_far)
+    near = rows.withColumns({"_lo": F.last("_lo", True).over(back), "_hi": F.last("_hi", True).over(ahead)})
 
     per = rows.groupBy("_b").agg(F.max("_lo").alias("_lo_b"), F.min("_hi").alias("_hi_b"))
     order = Window.orderBy("_b")

@@ -163,8 +163,8 @@ def e11(spark, folder):
 
 
 @query("e12_auto_range", ctes("particle", more=PIXELS + ", lv AS (SELECT log10(value) AS value, weight FROM px WHERE value > 0)," + sql_entropy("lv")) + """,
-lim AS (SELECT log10(greatest(pow(1e1, lo), 1e-30)) AS lo, log10(greatest(pow(1e1, hi), 1e-30)) AS hi FROM best)
-SELECT round(CASE WHEN hi-lo < 0.1e0 THEN (lo+hi)/2-1 ELSE lo END, 7) AS lo, round(CASE WHEN hi-lo < 0.1e0 THEN (lo+hi)/2+1 ELSE hi END, 7) AS hi, true AS log FROM lim""")
+shown AS (SELECT log10(greatest(pow(1e1, lo), 1e-30)) AS lo, log10(greatest(pow(1e1, hi), 1e-30)) AS hi FROM best)
+SELECT round(CASE WHEN hi-lo < 0.1e0 THEN (lo+hi)/2-1 ELSE lo END, 7) AS lo, round(CASE WHEN hi-lo < 0.1e0 THEN (lo+hi)/2+1 ELSE hi END, 7) AS hi, true AS log FROM shown""")
 def e12(spark, folder):
     return rounded(ranges.auto_range(splat(particle(spark, folder), CAM), 0, log=True), 7, "lo", "hi")
 
