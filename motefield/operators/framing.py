@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motefield.operators.camera import Camera
-from motefield.operators.ordering import numbered, weighted_median
+from motefield.operators.ordering import numbered, weighted_medians
+from motefield.session import checkpoint
 
 
 def bounding_box(df: DataFrame) -> DataFrame:
@@ -26,13 +27,12 @@ def every_nth(df: DataFrame, keys: list[str], want: int = 100) -> DataFrame:
 
 def medians(df: DataFrame, weight: str = "mass") -> DataFrame:
     """One row ``x, y, z`` of exact weighted medians over all rows."""
-    parts = [weighted_median(df, a, weight).select(F.col("median").alias(a)) for a in "xyz"]
-    return parts[0].withColumns({a: p.scalar() for a, p in zip("yz", parts[1:])})
+    return weighted_medians(df, ["x", "y", "z"], weight)
 
 
 def frame(df: DataFrame, keys: list[str], weight: str = "mass") -> DataFrame:
     """One row: camera position above the sampled median at the top of the data, speed, clip planes."""
-    sample = every_nth(df, keys)
+    sample = checkpoint(every_nth(df, keys).select("x", "y", "z", weight))  # at most a few hundred rows
     at = medians(sample, weight).select(F.col("x").alias("px"), F.col("y").alias("py"))
     box = bounding_box(df)
     at = at.withColumns({"pz": box.select("max_z").scalar(), "extent": box.select("extent").scalar()})
