@@ -32,7 +32,7 @@ def projected(df: DataFrame, cam, mass: Column, hsml: Column, qty: Column | None
                      mass.alias("m"), hsml.alias("h"), *([qty.alias("q")] if qty is not None else []))
     depth, h = F.col("depth"), F.col("h")
     seen = in_depth_range(cam, depth) & (h > 0)
-    base = base.select(*cols, *more, F.when(seen, depth).alias("depth"), "right_d", "up_d", "m", "h", *extra)
+    base = base.select(*cols, *more, F.when(seen, depth).alias("depth"), "right_d", "up_d", "m", F.when(seen, h).alias("h"), *extra)
     at = ndc(cam, depth, F.col("right_d"), F.col("up_d"))
     return base.select(
         *cols, ((at["nx"] + 1.0) * width / 2 - 0.5).alias("cx"), ((1.0 - at["ny"]) * height / 2 - 0.5).alias("cy"),
