@@ -109,6 +109,24 @@ def weighted_medians(df: DataFrame, columns: Sequence[str], weight: str, buckets
     return found.agg(*[F.max(F.when(F.col("axis") == i, F.col("v"))).alias(c) for i, c in enumerate(columns)])
 
 
+def interpolate_at(knots: DataFrame, xs: Sequence[float]) -> DataFrame:
+    """Lookup at a few ascending positions: ``slot, x, y``. One scan and one hash aggregate, no sort.
+
+    Knots are as for :func:`interpolate`, but one ``x`` may come several times.
+    """
+    points = F.lit([float(x) for x in xs])
+    cut = in_bucket(knots, "x", points, len(xs) + 1, "_g")
+    ends = cut.groupBy("_g").agg(F.max(F.struct("x", "yr")).alias("lo"), F.min(F.struct("x", "yl")).alias("hi"))
+    row = ends.agg(F.collect_list(F.struct("_g", "lo", "hi")).alias("all"))  # at most one entry per position
+    at = row.select("all", F.posexplode(points).alias("slot", "x"))
+    lo = F.array_max(F.transform(F.filter("all", lambda e: e["_g"] <= F.col("slot")), lambda e: e["lo"]))
+    hi = F.array_min(F.transform(F.filter("all", lambda e: e["_g"] > F.col("slot")), lambda e: e["hi"]))
+    at = at.select("slot", "x", lo.alias("lo"), hi.alias("hi"))
+    lo, hi = F.col("lo"), F.col("hi")
+    y = lo["yr"] + (F.col("x") - lo["x"]) * ((hi["yl"] - lo["yr"]) / (hi["x"] - lo["x"]))
+    return at.select("slot", "x", F.when(lo.isNull(), hi["yl"]).when(hi.isNull(), lo["yr"]).otherwise(y).alias("y"))
+
+
 def interpolate(knots: DataFrame, probes: DataFrame, x: str = "x", buckets: int | None = None) -> DataFrame:
     """Piecewise-linear lookup of every probe, clamped at the ends; adds ``y``.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motefield.operators.ordering import interpolate, pick_ranks, value_cdf
+from motefield.operators.ordering import interpolate, interpolate_at, pick_ranks, value_cdf
 from motefield.operators.resolve import resolved
 from motefield.session import checkpoint
 
@@ -24,22 +24,21 @@ def cdf_knots(df: DataFrame, value: str, weight: str) -> DataFrame:
     )
 
 
-def quantile_values(knots: DataFrame, fractions: DataFrame) -> DataFrame:
-    """Value at each weight fraction: the running-weight curve read the other way round."""
-    turned = knots.select(F.explode(F.array("yl", "yr")).alias("x"), F.col("x").alias("v"))
-    turned = turned.groupBy("x").agg(F.min("v").alias("yl"), F.max("v").alias("yr"))
-    return interpolate(turned, fractions)
+def quantile_values(knots: DataFrame, fractions: list[float]) -> DataFrame:
+    """``slot, x, y``: the value at each weight fraction, the running-weight curve read the other way round."""
+    ends = F.explode(F.array("yl", "yr"))
+    return interpolate_at(knots.select(ends.alias("x"), F.col("x").alias("yl"), F.col("x").alias("yr")), fractions)
 
 
-def _candidates(spark, n: int) -> DataFrame:
-    """Weight fractions tried for the limits: n from 0 to 0.45 (low), n from 0.55 to 1 (high)."""
-    frac = F.when(F.col("id") < n, F.col("id") * 0.45 / (n - 1)).otherwise(0.55 + (F.col("id") - n) * 0.45 / (n - 1))
-    return spark.range(2 * n).select(F.col("id").cast("int").alias("slot"), F.least(frac, F.lit(1.0)).alias("x"))
+def candidates(n: int) -> list[float]:
+    """Weight fractions tried for the limits: n from 0 to 0.45 (low), then n from 0.55 to 1 (high)."""
+    steps = [i * 0.45 / (n - 1) for i in range(n)]
+    return steps + [min(0.55 + s, 1.0) for s in steps]
 
 
 def entropy_table(knots: DataFrame, n_bins: int = BINS, n_search: int = SEARCH) -> DataFrame:
     """Entropy of the n_bins histogram for every pair of limits: ``i, j, lo, hi, entropy``."""
-    limits = quantile_values(knots, _candidates(knots.sparkSession, n_search))
+    limits = quantile_values(knots, candidates(n_search))
     # 2 x n_search scalars: gathered in one row and expanded again by generators
     row = limits.agg(F.array_sort(F.collect_list(F.struct("slot", "y"))).alias("all"))
     pairs = row.select("all", F.explode(F.sequence(F.lit(0), F.lit(n_search - 1))).alias("i"))
