@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motefield.operators.ordering import neighbour_row, percentiles
 from motefield.operators.splat import accumulate, cut_pixels, cut_rows
 from motefield.functions.kernels import kernel as kernel_value
 
@@ -18,12 +19,14 @@ def compare_maps(a: DataFrame, b: DataFrame, value: str = "den") -> DataFrame:
     la, lb = F.when(hit, F.log10("va")), F.when(hit, F.log10("vb"))
     logs = both.select("va", "vb", la.alias("la"), lb.alias("lb"))
     gap = F.abs(F.col("la") - F.col("lb"))
-    return logs.agg(
+    logs = logs.withColumn("gap", gap)
+    median = percentiles(logs.select("gap", F.lit(0).alias("all")), ["all"], "gap", {"m": 0.5}).select("m").scalar()
+    out = logs.agg(
         (F.sum("vb") / F.sum("va")).alias("mass_ratio"),
         F.count("la").alias("overlap"),
         F.corr("la", "lb").alias("log_corr"),
-        F.percentile(gap, F.lit(0.5)).alias("median_dlog"),
     )
+    return out.withColumn("median_dlog", median)
 
 
 def flat_plane_density(df: DataFrame, center, distance: float, res: int, fov: float = 90.0,
@@ -54,26 +57,25 @@ def flat_plane_density(df: DataFrame, center, distance: float, res: int, fov: fl
 
 def step_ratios(log: DataFrame, run: str = "run", frame: str = "frame", value: str = "ms") -> DataFrame:
     """Adds ``step``: log2 of each value over the one before it in its run."""
-    before = F.lag(value).over(Window.partitionBy(run).orderBy(frame))
+    rows = neighbour_row(log, [run], frame, [value], step=-1, name="_last")
+    before = F.col("_last")[value]
     ratio = F.greatest(F.col(value) / F.greatest(before, F.lit(1.0)), F.lit(1e-9))
-    return log.withColumn("step", F.when(before.isNotNull(), F.log2(ratio)))
+    return rows.withColumn("step", F.when(before.isNotNull(), F.log2(ratio))).drop("_last")
 
 
 def summarize(log: DataFrame, run: str = "run", frame: str = "frame", value: str = "ms") -> DataFrame:
     """Per run: frames, mean, median, population deviation, 5th and 95th percentile, step deviation."""
     v = F.col(value)
-    return step_ratios(log, run, frame, value).groupBy(run).agg(
-        F.count(F.lit(1)).alias("frames"), F.avg(v).alias("mean"),
-        F.percentile(v, F.lit(0.5)).alias("median"), F.stddev_pop(v).alias("std"),
-        F.percentile(v, F.lit(0.05)).alias("p5"), F.percentile(v, F.lit(0.95)).alias("p95"),
-        F.stddev_pop("step").alias("step_std"),
-    )
+    sums = step_ratios(log, run, frame, value).groupBy(run).agg(
+        F.count(F.lit(1)).alias("frames"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
+        F.stddev_pop("step").alias("step_std"))
+    return sums.join(percentiles(log, [run], value, {"median": 0.5, "p5": 0.05, "p95": 0.95}), run)
 
 
 def sweep(log: DataFrame, run: str = "run", value: str = "ms") -> DataFrame:
     """Per run: mean, median, total, and speed-up against the first run in name order."""
     v = F.col(value)
-    per = log.groupBy(run).agg(F.avg(v).alias("mean"), F.percentile(v, F.lit(0.5)).alias("median"),
-                               F.sum(v).alias("total"), F.count(F.lit(1)).alias("frames"))
-    # one row per run from here on
-    return per.withColumn("speedup", F.first("mean").over(Window.orderBy(run)) / F.col("mean"))
+    per = log.groupBy(run).agg(F.avg(v).alias("mean"), F.sum(v).alias("total"), F.count(F.lit(1)).alias("frames"))
+    per = per.join(percentiles(log, [run], value, {"median": 0.5}), run)
+    first = per.agg(F.min_by("mean", run)).scalar()
+    return per.withColumn("speedup", first / F.col("mean"))

@@ -84,6 +84,58 @@ def pick_ranks(df: DataFrame, value: str, ranks: dict[str, Column], buckets: int
     return ranked.agg(*[F.max(F.when(hit(k), F.col("v"))).alias(name) for name, k in ranks.items()])
 
 
+def neighbour_row(df: DataFrame, by: Sequence[str], order: str, columns: Sequence[str], step: int = 1,
+                  name: str = "next", buckets: int | None = None) -> DataFrame:
+    """Adds a struct of the following (step 1) or preceding (step -1) row's columns in each group.
+
+    Groups are cut into ranges of ``order``, so a group that holds a third of all rows is sorted by
+    many tasks; the row across a range's edge comes from a table with one row per group and range.
+    ``order`` is numeric and unique in a group.
+    """
+    n = buckets or default_buckets(df)
+    cut = in_bucket(df, order, bounds_of(df, order, n), n)
+    row = F.struct(*columns)
+    shift = F.lead if step > 0 else F.lag
+    near = cut.withColumn("_near", shift(row).over(Window.partitionBy(*by, "_b").orderBy(order)))
+    pick = F.min_by if step > 0 else F.max_by
+    edges = cut.groupBy(*by, "_b").agg(pick(row, order).alias("_edge"))
+    edges = edges.withColumn("_edge", shift("_edge").over(Window.partitionBy(*by).orderBy("_b")))
+    out = near.join(edges, [*by, "_b"])
+    return out.withColumn(name, F.coalesce("_near", "_edge")).drop("_near", "_edge", "_b")
+
+
+def percentiles(df: DataFrame, by: Sequence[str], value: str, fractions: dict[str, float],
+                buckets: int | None = None) -> DataFrame:
+    """Exact interpolated percentiles per group: ``by`` columns and one column per fraction.
+
+    Value ranges are counted per group; only the ranges that hold a wanted rank are read again, with
+    equal values merged, so no group's values are gathered in one place.
+    """
+    n = buckets or default_buckets(df)
+    cut = in_bucket(df.where(F.col(value).isNotNull()), value, bounds_of(df, value, n), n)
+    counts = cut.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*by)
+    counts = counts.withColumns({"_before": F.sum("_n").over(group.orderBy("_b")) - F.col("_n"), "_all": F.sum("_n").over(group)})
+    ranks = []
+    for f in sorted(set(fractions.values())):
+        at = F.lit(f) * (F.col("_all") - 1)
+        ranks += [F.floor(at), F.ceil(at)]
+    held = F.filter(F.array(*ranks), lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n")))
+    wanted = counts.withColumn("_ranks", F.array_distinct(held)).where(F.size("_ranks") > 0).drop("_n")
+    merged = cut.join(wanted, [*by, "_b"]).groupBy(*by, "_b", F.col(value).alias("_v")).agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_before").alias("_before"), F.first("_all").alias("_all"), F.first("_ranks").alias("_ranks"))
+    first = F.col("_before") + F.sum("_n").over(Window.partitionBy(*by, "_b").orderBy("_v")) - F.col("_n")
+    merged = merged.withColumn("_first", first)
+    hit = merged.withColumn("_r", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_first")) & (r < F.col("_first") + F.col("_n")))))
+    at = lambda r: F.max(F.when(F.col("_r") == r, F.col("_v")))
+    outs = []
+    for name, f in fractions.items():
+        pos = F.lit(f) * (F.col("_all") - 1)
+        lo, hi = at(F.floor(pos)), at(F.ceil(pos))
+        outs.append((lo + (hi - lo) * F.max(pos - F.floor(pos))).alias(name))
+    return hit.groupBy(*by).agg(*outs)
+
+
 def weighted_medians(df: DataFrame, columns: Sequence[str], weight: str, buckets: int | None = None) -> DataFrame:
     """One row with each column's first value at which the running weight reaches half the total.
 

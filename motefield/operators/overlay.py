@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from motefield.functions.photometry import BANDS, RGB_BANDS, attenuated, kappa, marker_radius, psf_shade
 from motefield.operators.camera import Camera, in_depth_range, literal, ndc, view
-from motefield.operators.ordering import bounds_of, in_bucket
+from motefield.operators.ordering import bounds_of, in_bucket, neighbour_row
 from motefield.operators.splat import EDGE, cut_pixels, cut_rows, projected
 
 
@@ -116,9 +116,9 @@ def cut_tracks(tracks: DataFrame, start: float, time: str = "aexp", key: str = "
 
 def segments(tracks: DataFrame, key: str = "sink_id", order: str = "nstep") -> DataFrame:
     """Consecutive points of a track as segments ``x, y, z`` to ``x1, y1, z1``."""
-    ahead = Window.partitionBy(key).orderBy(order)
-    nxt = tracks.withColumns({f"{a}1": F.lead(a).over(ahead) for a in "xyz"})
-    return nxt.where(F.col("x1").isNotNull()).select(key, order, "x", "y", "z", "x1", "y1", "z1")
+    nxt = neighbour_row(tracks, [key], order, ["x", "y", "z"])
+    nxt = nxt.where(F.col("next").isNotNull()).withColumns({f"{a}1": F.col("next")[a] for a in "xyz"})
+    return nxt.select(key, order, "x", "y", "z", "x1", "y1", "z1")
 
 
 def slots(tracks: DataFrame, n: int, chosen: dict[int, int] | None = None, key: str = "sink_id") -> DataFrame:
