@@ -10,12 +10,18 @@ from pyspark.sql import functions as F
 PARTS = 256
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], parts: int = PARTS) -> DataFrame:
+def default_parts(df: DataFrame) -> int:
+    """At least 256, and no fewer than the session's shuffle partitions."""
+    return max(PARTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> DataFrame:
     """Keys with more than 1/parts of all rows, and the number of salts that splits each evenly.
 
     At most ``parts`` keys can pass the test, whatever the data: this is the proven bound that lets
     the table be broadcast.
     """
+    parts = parts or default_parts(df)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = df.agg(F.count(F.lit(1))).scalar()
     return counts.where(F.col("_n") * parts > total).select(
@@ -24,7 +30,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], parts: int = PARTS) -> DataFram
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_by: Sequence[str],
-                parts: int = PARTS) -> DataFrame:
+                parts: int | None = None) -> DataFrame:
     """Inner equi-join; rows of ``big`` under a hot key are split, the matching ``small`` rows copied.
 
     ``salt_by`` must tell rows apart even if they are copies of each other. The salt is a hash of it,

@@ -80,12 +80,23 @@ def cut_pixels(rows: DataFrame, width) -> DataFrame:
 
 def contributions(df: DataFrame, cam, mass: Column, hsml: Column, qty: Column | None = None,
                   kernel: str = "cubic_spline", keep: Sequence[str] = (), width=None, height=None,
-                  xyz: Sequence[str] = ("x", "y", "z"), carry: Sequence[str] = ()) -> DataFrame:
-    """Per particle and pixel: ``sigma`` = m·W(r)/h², and ``q`` if a quantity is given."""
+                  xyz: Sequence[str] = ("x", "y", "z"), carry: Sequence[str] = (),
+                  large: float | None = None) -> DataFrame:
+    """Per particle and pixel: ``sigma`` = m·W(r)/h², and ``q`` if a quantity is given.
+
+    With ``large``, discs of a bigger radius (in pixels) are cut to pixel rows first and those are
+    spread over all tasks, so that a few partitions near the camera do not draw most of the pixels.
+    """
     width = cam.width if width is None else width
     height = cam.height if height is None else height
     shape = projected(df, cam, mass, hsml, qty, keep, xyz, width, height, carry)
-    px = cut_pixels(cut_rows(shape, width, height), width)
+    if large is None:
+        rows = cut_rows(shape, width, height)
+    else:
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        big = cut_rows(shape.where(F.col("ry") > large), width, height).repartition(parts)
+        rows = cut_rows(shape.where(F.col("ry") <= large), width, height).unionByName(big)
+    px = cut_pixels(rows, width)
     sigma = F.when(F.col("r2") <= 1.0, F.col("a") * kernel_value(kernel, F.col("r2")))
     return px.select(*keep, "px", "py", sigma.alias("sigma"), *(["q"] if qty is not None else []))
 
@@ -105,9 +116,9 @@ def accumulate(hits: DataFrame, by: Sequence[str] = ("px", "py"), with_qty: bool
 
 def splat(df: DataFrame, cam: Camera, mass: Column | str = "mass", hsml: Column | str = "hsml",
           qty: Column | str | None = None, kernel: str = "cubic_spline",
-          xyz: Sequence[str] = ("x", "y", "z")) -> DataFrame:
+          xyz: Sequence[str] = ("x", "y", "z"), large: float | None = None) -> DataFrame:
     """The accumulator of one camera: ``px, py, [num,] den[, sq]`` for every touched pixel."""
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     q = None if qty is None else as_col(qty)
-    hits = contributions(df, literal(cam), as_col(mass), as_col(hsml), q, kernel, xyz=xyz)
+    hits = contributions(df, literal(cam), as_col(mass), as_col(hsml), q, kernel, xyz=xyz, large=large)
     return accumulate(hits, with_qty=qty is not None)

@@ -125,3 +125,9 @@ def test_average_and_deviation(spark):
     a = splat(df, CAM, qty="q")
     assert resolved(a, 1).first()["value"] == pytest.approx(5.0)
     assert resolved(a, 2).first()["value"] == pytest.approx(math.sqrt(28 - 25))
+
+
+def test_spreading_large_discs_changes_nothing(cube):
+    cam = replace(EYE, position=(0.5, 0.5, 0.55))
+    a, b = (splat(cube, cam, large=n).toPandas().set_index(["px", "py"])["den"].sort_index() for n in (None, 8.0))
+    assert list(a.index) == list(b.index) and a.to_numpy() == pytest.approx(b.to_numpy())
