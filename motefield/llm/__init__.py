@@ -1,0 +1,8 @@
+"""Text operators for training corpora. Their functions travel to the workers by value, so executors need
+numpy and pyarrow but not this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
