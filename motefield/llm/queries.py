@@ -60,3 +60,12 @@ def op6_decontamination(spark, folder):
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join(names, ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"))
+
+
+@query("op9_packing")
+def op9_packing(spark, folder):
+    import public_tokenizers
+
+    from motefield.llm.packing import packed
+
+    return packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
