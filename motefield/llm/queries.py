@@ -69,3 +69,21 @@ def op9_packing(spark, folder):
     from motefield.llm.packing import packed
 
     return packed(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+@query("op5_substring_dedup", """
+    WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    g AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h
+          FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM w WHERE len(w) >= 35)),
+    rep AS (SELECT doc_id, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)),
+    cut AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM rep),
+    words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM w),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n
+             FROM words ANTI JOIN cut USING (doc_id, k) GROUP BY 1)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (doc_id)""")
+def op5_substring_dedup(spark, folder):
+    from motefield.llm.substring_dedup import substring_dedup
+
+    found = substring_dedup(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
