@@ -87,3 +87,22 @@ def op5_substring_dedup(spark, folder):
 
     found = substring_dedup(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op2_minhash_dedup", """
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 2], ' ')) AS s
+          FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    link AS (SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+    sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a),
+    comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM comp LEFT JOIN n USING (doc_id)""")
+def op2_minhash_dedup(spark, folder):
+    from motefield.llm.minhash import near_duplicates
+
+    found = near_duplicates(table(spark, folder, "documents"), shingle=3, share=85)
+    return found.withColumnRenamed("id", "doc_id")
