@@ -106,3 +106,10 @@ def op2_minhash_dedup(spark, folder):
 
     found = near_duplicates(table(spark, folder, "documents"), shingle=3, share=85)
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query("op1_quality_discriminant")
+def op1_quality_discriminant(spark, folder):
+    from motefield.llm.quality import classified
+
+    return classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
