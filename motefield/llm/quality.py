@@ -28,6 +28,8 @@ FEATURES = (
     "capital_words", "short_words", "commas", "longest_run",
 )
 
+SHORT = 20  # words at which deviations count half
+
 
 def _lut(chars: bytes) -> np.ndarray:
     out = np.zeros(256, bool)
@@ -124,6 +126,8 @@ class Discriminant:
         if self.constant is not None:
             return np.full(len(x), self.constant)
         z = np.clip((x - self.centre) / self.scale, -8, 8)
+        words = np.expm1(x[:, :1])  # statistics of a few words say little: they move towards the mean
+        z *= words / (words + SHORT)
         dens = []
         for m, f, d, p in zip(self.means, self.factors, self.logdets, self.priors):
             y = np.linalg.solve(f, (z - m).T)  # f is triangular
