@@ -113,3 +113,12 @@ def op1_quality_discriminant(spark, folder):
     from motefield.llm.quality import classified
 
     return classified(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op4_language_id")
+def op4_language_id(spark, folder):
+    import public_tokenizers
+
+    from motefield.llm.langid import identified
+
+    return identified(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
