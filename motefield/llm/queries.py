@@ -122,3 +122,18 @@ def op4_language_id(spark, folder):
     from motefield.llm.langid import identified
 
     return identified(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op7_warc_revisits", """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    d AS (SELECT page_id, html, min(page_id) OVER (PARTITION BY html) AS first,
+                 list_transform(range(0, 32), lambda i: ('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')[1 + CAST(
+                   (('0x' || substr(h, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31 AS BIGINT)]) AS c FROM p)
+    SELECT page_id, octet_length(encode(html)) AS payload_bytes, array_to_string(c, '') AS payload_digest,
+           CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM d""")
+def op7_warc_revisits(spark, folder):
+    from motefield.llm.warc import archived
+
+    return archived(table(spark, folder, "pages")).drop("archive")
