@@ -137,3 +137,11 @@ def op7_warc_revisits(spark, folder):
     from motefield.llm.warc import archived
 
     return archived(table(spark, folder, "pages")).drop("archive")
+
+
+@query("op10_main_text")
+def op10_main_text(spark, folder):
+    from motefield.llm.extract import main_text
+
+    found = main_text(table(spark, folder, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
