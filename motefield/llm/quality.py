@@ -215,3 +215,19 @@ def training(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label:
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(id_col).agg(F.max(label).alias("label"))
     return stats.join(known, id_col)
+
+
+def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality",
+                   threshold: float = 0.3) -> DataFrame:
+    """Rows of ``docs`` that score ``threshold`` or more, columns as they are. Rows are scored where they are,
+    so ids may repeat or be null."""
+    stats = staged(measured(docs.select(id_col, F.col(text).cast("string").alias(text)), id_col, text, [id_col]), "statistics")
+    model = fit(training(stats, labels, id_col, label))
+
+    def make():
+        def fn(texts, batch):
+            return {"_score": pa.array(model.score(statistics(texts)))}
+
+        return fn
+
+    return per_text(docs, make, "_score double", text).where(F.col("_score") >= threshold).select(*docs.columns)

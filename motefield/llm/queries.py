@@ -145,3 +145,23 @@ def op10_main_text(spark, folder):
 
     found = main_text(table(spark, folder, "pages"))
     return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op8_line_dedup", r"""
+    WITH l AS (SELECT doc_id, k, list_extract(x, k) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS k)),
+    t AS (SELECT doc_id, k, raw, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line FROM l),
+    s AS (SELECT doc_id, k, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS p FROM t WHERE line <> ''),
+    d AS (SELECT doc_id, list(line ORDER BY p) AS lines, list(w ORDER BY p) AS ws FROM s GROUP BY 1),
+    r AS (SELECT doc_id, p, n, array_to_string(lines[p:p + n - 1], chr(10)) AS run FROM (SELECT *, unnest(range(1, len(lines) - n + 2)) AS p
+          FROM (SELECT *, unnest([CAST(pow(2, e) AS BIGINT) for e in range(0, 30) if pow(2, e) <= len(lines)]) AS n FROM d)) WHERE list_sum(ws[p:p + n - 1]) >= 10),
+    later AS (SELECT doc_id, p, n FROM (SELECT *, row_number() OVER (PARTITION BY n, md5(run) ORDER BY doc_id, p) AS c FROM r) WHERE c > 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS p FROM later),
+    kept AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY k) AS txt FROM t WHERE NOT EXISTS (SELECT 1 FROM s JOIN gone USING (doc_id, p) WHERE s.doc_id = t.doc_id AND s.k = t.k) GROUP BY 1),
+    c AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1)
+    SELECT doc_id, coalesce(len(lines), 0) AS n_lines, coalesce(n, 0) AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256
+    FROM documents LEFT JOIN d USING (doc_id) LEFT JOIN c USING (doc_id) LEFT JOIN kept USING (doc_id)""")
+def op8_line_dedup(spark, folder):
+    from motefield.llm.line_dedup import line_dedup
+
+    found = line_dedup(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
