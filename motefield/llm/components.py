@@ -21,13 +21,25 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _print(e)
     while seen[0]:
         both = e.union(e.select("v", "u"))
-        least = staged(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = staged(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        least = staged(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = staged(moved.union(least).distinct(), "links")
         now = _print(e)
         if now == seen:
-            return e
+            break
         seen = now
     return e
+
+
+def merged(top: DataFrame, links: DataFrame) -> DataFrame:
+    """``top`` of `components` after more ``links``: only the groups they join are contracted again."""
+    for c in ("a", "b"):
+        at = top.select(F.col("u").alias(c), F.col("v").alias("_v"))
+        links = links.join(at, c, "left").withColumn(c, F.coalesce("_v", c)).drop("_v")
+    over = components(links)
+    if over.isEmpty():
+        return top
+    at = over.select(F.col("u").alias("v"), F.col("v").alias("_v"))
+    return staged(top.join(at, "v", "left").select("u", F.coalesce("_v", "v").alias("v")).union(over), "components")

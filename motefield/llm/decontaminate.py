@@ -156,29 +156,29 @@ def _shuffled(docs: DataFrame, wins: DataFrame, sizes: list[int], text: str, id_
                 for col, v in zip(cols, (doc, at - w.first[doc], np.full(len(at), m), g.astype(np.int64), c.astype(np.int64))):
                     col.append(v)
             doc, at, m, g, c = (np.concatenate(x) for x in cols)
-            return {"_id": ids.take(pa.array(doc)), "at": pa.array(at.astype(np.int32)), "m": pa.array(m.astype(np.int32)), "gram": pa.array(g), "check": pa.array(c)}
+            return {"__id": ids.take(pa.array(doc)), "at": pa.array(at.astype(np.int32)), "m": pa.array(m.astype(np.int32)), "gram": pa.array(g), "check": pa.array(c)}
 
         return fn
 
-    spots = per_text(docs.select(id_col, text), make, "_id long, at int, m int, gram long, check long", text, rows=False)
+    spots = per_text(docs.select(id_col, text), make, "__id long, at int, m int, gram long, check long", text, rows=False)
     items = staged(wins.groupBy("m", "gram", "check").agg(F.collect_set("item_id").alias("ids")), "windows")
-    found = spots.join(items, ["m", "gram", "check"]).groupBy("_id").agg(
-        F.collect_set(F.struct("at", "m")).alias("_at"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("_items"))
+    found = spots.join(items, ["m", "gram", "check"]).groupBy("__id").agg(
+        F.collect_set(F.struct("at", "m")).alias("__at"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("__items"))
     added = [c for c in ("n_words", "n_hit", "items", "spans")]
     base = docs.select(*[c for c in docs.columns if c not in added])
-    joined = base.join(found, base[id_col] == found["_id"], "left").drop("_id")
+    joined = base.join(found, base[id_col] == found["__id"], "left").drop("__id")
     names = [c for c in base.columns if keep is None or c in keep]
 
     def finish():
         def fn(texts, batch):
             w = texts.lower().words(ALNUM)
             at, size = [], []
-            for d, spots in enumerate(batch.column("_at").to_pylist()):
+            for d, spots in enumerate(batch.column("__at").to_pylist()):
                 for s in spots or ():
                     at.append(w.first[d] + s["at"]), size.append(s["m"])
             hit = _marked(len(w.start), np.array(at, np.int64), np.array(size, np.int64))
             sums = np.concatenate([[0], np.cumsum(hit)])
-            items = pa.array([sorted(x or ()) for x in batch.column("_items").to_pylist()], pa.list_(pa.int64()))
+            items = pa.array([sorted(x or ()) for x in batch.column("__items").to_pylist()], pa.list_(pa.int64()))
             return {"n_words": pa.array(w.count.astype(np.int64)), "n_hit": pa.array(sums[w.first[1:]] - sums[w.first[:-1]]), "items": items, "spans": _spans(hit, w.first)}
 
         return fn

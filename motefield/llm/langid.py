@@ -252,10 +252,10 @@ def predicted(docs: DataFrame, model: LanguageModel, vocabulary: str, text: str
 
         return fn
 
-    got = per_text(docs.withColumn("_letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))), make, "lang_pred string, score double",
-                   text, None if keep is None else [*keep, "_letter"])
-    return got.withColumn("lang_pred", F.when(F.col("_letter"), F.col("lang_pred")).otherwise("und")).withColumn(
-        "score", F.when(F.col("_letter"), F.col("score")).otherwise(0.0)).drop("_letter")
+    got = per_text(docs.withColumn("__letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))), make, "lang_pred string, score double",
+                   text, None if keep is None else [*keep, "__letter"])
+    return got.withColumn("lang_pred", F.when(F.col("__letter"), F.col("lang_pred")).otherwise("und")).withColumn(
+        "score", F.when(F.col("__letter"), F.col("score")).otherwise(0.0)).drop("__letter")
 
 
 def held_out(id_col: str = "doc_id"):

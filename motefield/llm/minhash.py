@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from motefield.llm.common import NOT_SPACE, Texts, gram_hashes, gram_starts, per_text, staged
-from motefield.llm.components import components
+from motefield.llm.components import components, merged
 
 PERMUTATIONS, TREES, DEPTH, SHALLOW, LEAF, NEXT = 128, 24, 12, 4, 16, 3
 
@@ -241,9 +241,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80, id_col:
     mine = staged(mine, "candidate-texts")
 
     best = pairs.groupBy("b").agg(F.max(F.struct("c", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
-    links = staged(confirmed(best, mine, shingle, share), "links")
+    top = components(staged(confirmed(best, mine, shingle, share), "links"))
     for last in (False, True):
-        top = components(links)
         apart = pairs
         for c in ("a", "b"):
             at = top.select(F.col("u").alias(c), F.col("v").alias(f"_{c}"))
@@ -252,9 +251,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80, id_col:
         if not last:
             one = F.max(F.struct("c", "a", "b")).alias("x")
             apart = apart.groupBy(F.least("_a", "_b").alias("p"), F.greatest("_a", "_b").alias("q")).agg(one).select("x.a", "x.b")
-        more = staged(confirmed(_likely(apart, nodes, share), mine, shingle, share), "links")
-        links = links.union(more)
-    top = staged(components(links), "components")
+        apart = staged(_likely(apart, nodes, share), "apart")
+        top = merged(top, staged(confirmed(apart, mine, shingle, share), "links"))
     named = members.select("id", "node").distinct().join(top, F.col("node") == F.col("u"), "left").groupBy("id").agg(
         F.min(F.coalesce("v", "node")).alias("component_id"))
     named = staged(named, "named")

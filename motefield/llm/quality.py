@@ -226,8 +226,8 @@ def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     def make():
         def fn(texts, batch):
-            return {"_score": pa.array(model.score(statistics(texts)))}
+            return {"__score": pa.array(model.score(statistics(texts)))}
 
         return fn
 
-    return per_text(docs, make, "_score double", text).where(F.col("_score") >= threshold).select(*docs.columns)
+    return per_text(docs, make, "__score double", text).where(F.col("__score") >= threshold).select(*docs.columns)

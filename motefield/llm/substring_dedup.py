@@ -141,16 +141,16 @@ def substring_dedup(docs: DataFrame, n: int = 35, k: int = 8, id_col: str = "doc
                     keep: list[str] | None = None) -> DataFrame:
     """Adds ``n_words, n_removed, repeats`` (flat list of first word and end of each removed run) and
     ``kept_text`` (kept words joined by one space) to each row of ``docs``."""
-    keyed = docs.withColumn("_key", F.xxhash64(F.col(id_col), F.col(text))).withColumn("_text", F.col(text).cast("string"))
-    runs = staged(repeats(keyed.select("_key", "_text"), n, k), "runs")
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text))).withColumn("__text", F.col(text).cast("string"))
+    runs = staged(repeats(keyed.select(F.col("__key").alias("_key"), F.col("__text").alias("_text")), n, k), "runs")
     names = [c for c in docs.columns if keep is None or c in keep]
-    texts = keyed.select("_key", "_text", *names).join(runs, "_key", "left")
+    texts = keyed.select("__key", "__text", *names).join(runs.select(F.col("_key").alias("__key"), F.col("runs").alias("__runs")), "__key", "left")
 
     def make():
         def fn(texts, batch):
             w = texts.words(NOT_SPACE)
             at, size = [], []
-            for first, own in zip(w.first.tolist(), batch.column("runs").to_pylist()):
+            for first, own in zip(w.first.tolist(), batch.column("__runs").to_pylist()):
                 for r in own or ():
                     at.append(first + r["lo"]), size.append(r["n"] + n - 1)
             step = np.zeros(len(w.start) + 1, np.int32)
@@ -166,7 +166,7 @@ def substring_dedup(docs: DataFrame, n: int = 35, k: int = 8, id_col: str = "doc
 
         return fn
 
-    return per_text(texts, make, ADDED, "_text", names)
+    return per_text(texts, make, ADDED, "__text", names)
 
 
 def _runs_of(gone: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
