@@ -8,10 +8,10 @@ all its pairs; a larger one is split by the next value, down to the whole label,
 next neighbours. With 24 trees a pair at similarity 0.85 shares four values in some tree with
 1 - (1 - 0.85^4)^24 > 0.999 999 98.
 
-Candidates are confirmed on full shingle sets, in three rounds so that large groups of copies stay cheap:
-first each node with its most frequent partner, then one candidate for each pair of groups that are still
-apart, then every candidate between groups still apart. A candidate inside one group needs no check, as it
-cannot change the groups; so no link is lost that the forest finds.
+Candidates whose set sizes or min-hashes rule the share out are dropped (`_likely`). The others are confirmed on
+full shingle sets, in two rounds so that large groups of copies stay cheap: first each node with its most
+frequent partner, then every candidate between groups that are still apart. A candidate inside one group needs
+no check, as it cannot change the groups; so no link is lost that the forest finds.
 
 Null and empty texts, and texts without words, have the empty set and are linked with nothing. Rows with a
 null id are not linked either: their component is null and they are kept. Rows that repeat an id are one
@@ -205,21 +205,21 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, share: int) -> D
 
 
 def _likely(pairs: DataFrame, nodes: DataFrame, share: int) -> DataFrame:
-    """Drops pairs that cannot reach the share: by set sizes (exact), and by min-hashes 8 deviations below it."""
+    """Drops pairs that cannot reach the share: by set sizes (exact), and by min-hashes 6 deviations below it."""
     expect = share / 100
-    least = int(PERMUTATIONS * expect - 8 * (PERMUTATIONS * expect * (1 - expect)) ** 0.5)
+    least = int(PERMUTATIONS * expect - 6 * (PERMUTATIONS * expect * (1 - expect)) ** 0.5)
 
     def check(batches):
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, PERMUTATIONS) for c in ("_sa", "_sb"))
                 keep = pa.array((x == y).sum(1) >= least)
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b", "c")], ["a", "b", "c"])
 
     side = lambda c: nodes.select(F.col("id").alias(c), F.col("sig").alias(f"_s{c}"), F.col("n_shingles").alias(f"_n{c}"))
-    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
     both = both.where(100 * F.least("_na", "_nb") >= share * F.greatest("_na", "_nb"))
-    return both.select("a", "b", "_sa", "_sb").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "c", "_sa", "_sb").mapInArrow(check, "a long, b long, c long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80, id_col: str = "doc_id", text: str = "text",
@@ -235,24 +235,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80, id_col:
     members = staged(sets.where(real).join(groups, ["d1", "d2"]).select(
         "id", "n_shingles", "node", F.when(F.col("id") == F.col("node"), F.col("sig")).alias("sig")), "members")
     nodes = members.where("id = node").dropDuplicates(["id"])
-    pairs = staged(candidates(nodes), "candidates")
+    pairs = staged(_likely(candidates(nodes), nodes, share), "candidates")
     used = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
     mine = texts.join(F.broadcast(used) if used.count() <= few else used, "id", "left_semi").dropDuplicates(["id"])
     mine = staged(mine, "candidate-texts")
 
     best = pairs.groupBy("b").agg(F.max(F.struct("c", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
     top = components(staged(confirmed(best, mine, shingle, share), "links"))
-    for last in (False, True):
-        apart = pairs
-        for c in ("a", "b"):
-            at = top.select(F.col("u").alias(c), F.col("v").alias(f"_{c}"))
-            apart = apart.join(at, c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
-        apart = apart.where("_a != _b")
-        if not last:
-            one = F.max(F.struct("c", "a", "b")).alias("x")
-            apart = apart.groupBy(F.least("_a", "_b").alias("p"), F.greatest("_a", "_b").alias("q")).agg(one).select("x.a", "x.b")
-        apart = staged(_likely(apart, nodes, share), "apart")
-        top = merged(top, staged(confirmed(apart, mine, shingle, share), "links"))
+    apart = pairs
+    for c in ("a", "b"):
+        at = top.select(F.col("u").alias(c), F.col("v").alias(f"_{c}"))
+        apart = apart.join(at, c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
+    top = merged(top, staged(confirmed(apart.where("_a != _b"), mine, shingle, share), "links"))
     named = members.select("id", "node").distinct().join(top, F.col("node") == F.col("u"), "left").groupBy("id").agg(
         F.min(F.coalesce("v", "node")).alias("component_id"))
     named = staged(named, "named")
