@@ -103,18 +103,22 @@ def los_global(v: Sequence[Column], forward: Sequence[float]) -> Column:
 
 def los_per_row(v: Sequence[Column], at: Sequence[Column], eye: Sequence[float]) -> Column:
     """Component along the unit vector from the eye to each row's position."""
-    d = [a - F.lit(float(e)) for a, e in zip(at, eye)]
+    d = [a - (e if isinstance(e, Column) else F.lit(float(e))) for a, e in zip(at, eye)]
     return los_global(v, d) / F.greatest(norm(d), F.lit(1e-30))
 
 
-def project_vector(v, projection: str, forward=None, eye=None, at=None) -> Column:
+def project_vector(vec: Column, projection: str, forward=None, eye=None, at=None) -> Column:
+    """A vector column projected: along the line of sight (3-vectors), or its norm or squared norm over all
+    components, however many."""
     if projection == "LOS":
-        return los_per_row(v, at, eye) if eye is not None and at is not None else los_global(v, forward)
-    return norm(v) if projection == "|v|" else squared(v)
+        return los_per_row(xyz(vec), at, eye) if eye is not None and at is not None else los_global(xyz(vec), forward)
+    total = F.aggregate(vec, F.lit(0.0), lambda sum_, c: sum_ + c.cast("double") * c.cast("double"))
+    return F.sqrt(total) if projection == "|v|" else total
 
 
 def combine(w: Column, w2: Column, op: str) -> Column:
-    """Two scalars with one operator; ``/`` never fails and gives 0 over 0; unknown means ``*``."""
+    """Two scalars with one operator; ``/`` never fails and gives 0 over 0; unknown means ``*``. Null if
+    either is null (a missing field)."""
     if op == "+":
         return w + w2
     if op == "-":
@@ -122,9 +126,9 @@ def combine(w: Column, w2: Column, op: str) -> Column:
     if op == "/":
         return w / F.greatest(F.abs(w2), F.lit(1e-30)) * F.signum(w2)
     if op == "min":
-        return F.least(w, w2)
+        return F.when(w.isNotNull() & w2.isNotNull(), F.least(w, w2))
     if op == "max":
-        return F.greatest(w, w2)
+        return F.when(w.isNotNull() & w2.isNotNull(), F.greatest(w, w2))
     return w * w2
 
 
@@ -163,7 +167,7 @@ def resolve_field(df: DataFrame, field: str, projection: str = "LOS", forward=(0
     if not is_vector(df, field):
         return read_field(df, field, header)
     at = xyz(read_field(df, "Coordinates", header)) if eye is not None else None
-    return project_vector(xyz(read_field(df, field, header)), projection, forward, eye, at)
+    return project_vector(read_field(df, field, header), projection, forward, eye, at)
 
 
 def single_field(df: DataFrame, spec: FieldSpec, forward=(0.0, 0.0, -1.0), eye=None, header=None):
@@ -189,26 +193,38 @@ def slot_field(df: DataFrame, spec: FieldSpec, forward=(0.0, 0.0, -1.0), eye=Non
 # ---- field lists -----------------------------------------------------------------------------
 
 
+def vector_widths(df: DataFrame) -> dict[str, int]:
+    """Width of every array column, from a one-row aggregate (the schema does not hold it). 0: no rows."""
+    names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    if not names:
+        return {}
+    row = df.agg(*[F.max(F.size(F.col(f"`{n}`"))).alias(n) for n in names]).first()
+    return {n: max(row[n] or 0, 0) for n in names}
+
+
 def scalar_fields(df: DataFrame, widths: Mapping[str, int] | None = None) -> set[str]:
     """Scalar names of one type; a vector of width k is listed as ``Name[0]``..``Name[k-1]``.
 
-    ``widths`` gives the width of array columns (3 when not given): the schema does not hold it.
+    ``widths`` gives the width of array columns; without it they are read from the data.
     """
+    widths = vector_widths(df) if widths is None else widths
     out = {"Masses"}
     for f in df.schema.fields:
         if f.name in SKIP_FIELDS:
             continue
         if isinstance(f.dataType, T.ArrayType):
-            out.update(f"{f.name}[{i}]" for i in range((widths or {}).get(f.name, 3)))
+            out.update(f"{f.name}[{i}]" for i in range(widths[f.name]))
         elif isinstance(f.dataType, T.NumericType):
             out.add(f.name)
     return out
 
 
 def vector_fields(df: DataFrame, widths: Mapping[str, int] | None = None) -> set[str]:
+    """Arrays of width 3."""
+    widths = vector_widths(df) if widths is None else widths
     return {
         f.name for f in df.schema.fields
-        if isinstance(f.dataType, T.ArrayType) and f.name not in SKIP_FIELDS and (widths or {}).get(f.name, 3) == 3
+        if isinstance(f.dataType, T.ArrayType) and f.name not in SKIP_FIELDS and widths[f.name] == 3
     }
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 from types import SimpleNamespace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PATH_FRAMES = 4096
+#: frames in one array literal; a longer path is an array of such arrays
+FRAMES_PER_LITERAL = 512
 
 
 def _cross(a, b):
@@ -78,16 +80,20 @@ def literal(cam: Camera) -> SimpleNamespace:
 def fan_out(df: DataFrame, path: list[Camera], name: str = "cam") -> DataFrame:
     """One copy of each row per frame of a camera path, as a ``cam`` struct with ``cam_id``.
 
-    The path is configuration: it becomes an array literal that is exploded inside the scan stage,
+    The path is configuration: it becomes array literals that are exploded inside the scan stage,
     so no join and no exchange is planned.
     """
-    if len(path) > MAX_PATH_FRAMES:
-        raise ValueError(f"a camera path holds at most {MAX_PATH_FRAMES} frames per job")
     frames = [
         F.struct(F.lit(i).alias("cam_id"), *[F.lit(v).alias(k) for k, v in cam.values().items()])
         for i, cam in enumerate(path)
     ]
-    return df.withColumn(name, F.explode(F.array(*frames)))
+    n = FRAMES_PER_LITERAL
+    parts = [F.array(*frames[i : i + n]) for i in range(0, len(frames), n)]
+    if len(parts) == 1:
+        return df.withColumn(name, F.explode(parts[0]))
+    return df.withColumn(name, F.explode(F.array(*[F.lit(i) for i in range(len(parts))]))).withColumn(
+        name, F.explode(reduce(lambda rest, i: F.when(F.col(name) == i, parts[i]).otherwise(rest), range(len(parts) - 1), parts[-1]))
+    )
 
 
 def fields_of(name: str = "cam") -> SimpleNamespace:

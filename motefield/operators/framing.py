@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from motefield.operators.camera import Camera
 from motefield.operators.ordering import numbered, weighted_medians
-from motefield.session import checkpoint
 
 
 def bounding_box(df: DataFrame) -> DataFrame:
@@ -30,17 +29,16 @@ def medians(df: DataFrame, weight: str = "mass") -> DataFrame:
     return weighted_medians(df, ["x", "y", "z"], weight)
 
 
-def frame(df: DataFrame, keys: list[str], weight: str = "mass") -> DataFrame:
-    """One row: camera position above the sampled median at the top of the data, speed, clip planes."""
-    sample = checkpoint(every_nth(df, keys).select("x", "y", "z", weight))  # at most a few hundred rows
-    at = medians(sample, weight).select(F.col("x").alias("px"), F.col("y").alias("py"))
+def frame(df: DataFrame, weight: str = "mass") -> DataFrame:
+    """One row: camera position above the weighted median at the top of the data, speed, clip planes."""
+    at = medians(df, weight).select(F.col("x").alias("px"), F.col("y").alias("py"))
     box = bounding_box(df)
     at = at.withColumns({"pz": box.select("max_z").scalar(), "extent": box.select("extent").scalar()})
     return at.select("px", "py", "pz", (F.col("extent") / 20).alias("speed"), (F.col("extent") * 1e-6).alias("near"),
                      (F.col("extent") * 10).alias("far"))
 
 
-def framed_camera(df: DataFrame, keys: list[str], **view) -> Camera:
+def framed_camera(df: DataFrame, **view) -> Camera:
     """The framing row as a :class:`Camera` (one small action)."""
-    row = frame(df, keys).first()
+    row = frame(df).first()
     return Camera((row["px"], row["py"], row["pz"]), near=row["near"], far=row["far"], **view)

@@ -7,7 +7,8 @@
    Data rows meet it there by equi-join, and distances beyond the radius are dropped.
 4. ``row_number() <= k`` keeps the nearest; Spark limits each group before the exchange.
 
-The result is exact, no candidate is capped, and one pass finishes every row.
+The result is exact, no candidate is capped, and one pass finishes every row. Smoothing lengths that lie beyond
+the k-th neighbour are solved over all rows in reach, by sums instead of lists.
 """
 
 from __future__ import annotations
@@ -78,8 +79,8 @@ def _radii(block: np.ndarray, first: int, ks: Sequence[int], reach: int, period:
     if period is not None:
         gap = np.minimum(gap, period - gap)
     d2 = np.where(inside, (gap * gap).sum(axis=2), np.inf)
-    d2.sort(axis=1)
-    return np.sqrt(np.stack([d2[:, min(k, 2 * reach + 1) - 1] for k in ks], axis=1))
+    at = [min(k, 2 * reach + 1) - 1 for k in ks]
+    return np.sqrt(np.partition(d2, sorted(set(at)), axis=1)[:, at])
 
 
 def search_radius(points: DataFrame, box, ks: Sequence[int], period: float | None) -> DataFrame:
@@ -136,7 +137,7 @@ def _cell(v: Column, low: float, side: float, level: Column) -> Column:
 
 def prepare(df: DataFrame, ks: Sequence[int], period: float | None) -> tuple[DataFrame, dict]:
     """Merged positions with a row id and a search radius for every k, and their box."""
-    points = checkpoint(merged_positions(df))
+    points = checkpoint(merged_positions(df.where("x is not null and y is not null and z is not null")))
     box = box_of(points)
     if period is not None:
         box = {**box, "x": 0.0, "y": 0.0, "z": 0.0, "side": float(period)}
@@ -164,7 +165,20 @@ def nearest_of(points: DataFrame, box: dict, k: int, slot: int, period: float |
     # positions with k or more copies are done: all k distances are 0
     done = asked.where(F.col("copies") >= k).select("id", F.array_repeat(F.lit(0.0), k).alias("distances"))
 
-    visits = asked.where(F.col("copies") < k).select("id", "x", "y", "z", "radius", "level")
+    pairs = _pairs(points, box, asked.where(F.col("copies") < k), period, thin=only is not None)
+    order = Window.partitionBy("id").orderBy("d2")
+    near = pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
+    # at most k rows per position from here on
+    lists = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.sqrt("d2").alias("d"), "copies"))).alias("e"))
+    flat = F.flatten(F.transform("e", lambda e: F.array_repeat(e["d"], F.least(e["copies"], F.lit(k)).cast("int"))))
+    lists = lists.select("id", F.slice(flat, 1, k).alias("distances")).unionByName(done)
+    return points.select("id", "x", "y", "z").join(lists, "id")
+
+
+def _pairs(points: DataFrame, box: dict, asked: DataFrame, period: float | None, thin: bool, carry: Sequence[str] = ()) -> DataFrame:
+    """``id, copies, d2`` and the ``carry`` columns: every row of ``points`` within ``radius`` of an asked
+    position (``id, x, y, z, radius, level``). ``thin``: few are asked, so cells nobody visits are dropped first."""
+    visits = asked.select("id", "x", "y", "z", "radius", "level", *carry)
     edge = F.lit(box["side"]) / _cells(F.col("level"))
     miss = F.lit(0.0)
     for a in "xyz":
@@ -182,26 +196,19 @@ def nearest_of(points: DataFrame, box: dict, k: int, slot: int, period: float |
     else:
         visits = visits.withColumns({f"c{a}": F.pmod(F.col(f"c{a}"), _cells(F.col("level"))) for a in "xyz"})
     visits = visits.select("id", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"),
-                           (F.col("radius") * F.col("radius")).alias("reach2"), "level", "cx", "cy", "cz")
+                           (F.col("radius") * F.col("radius")).alias("reach2"), "level", "cx", "cy", "cz", *carry)
 
     levels = [r["level"] for r in asked.select("level").distinct().collect()]  # at most MAX_LEVEL + 1
     data = points.select("x", "y", "z", "copies", F.explode(F.array(*[F.lit(v) for v in sorted(levels) or [0]])).alias("level"))
     data = data.withColumns({f"c{a}": _cell(F.col(a), box[a], box["side"], F.col("level")) for a in "xyz"})
     keys = ["level", "cx", "cy", "cz"]
-    if only is not None:  # few positions are asked: cells nobody visits stay out of the join
+    if thin:
         data = data.join(visits.select(*keys).distinct(), keys, "left_semi")
 
     pairs = salted_join(data, visits, keys, ["x", "y", "z"])
     gaps = [_gap(F.col(a), F.col(f"q{a}"), period) for a in "xyz"]
     d2 = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
-    pairs = pairs.select("id", "reach2", "copies", d2.alias("d2")).where("d2 <= reach2").drop("reach2")
-    order = Window.partitionBy("id").orderBy("d2")
-    near = pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
-    # at most k rows per position from here on
-    lists = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.sqrt("d2").alias("d"), "copies"))).alias("e"))
-    flat = F.flatten(F.transform("e", lambda e: F.array_repeat(e["d"], F.least(e["copies"], F.lit(k)).cast("int"))))
-    lists = lists.select("id", F.slice(flat, 1, k).alias("distances")).unionByName(done)
-    return points.select("id", "x", "y", "z").join(lists, "id")
+    return pairs.select("id", "reach2", "copies", d2.alias("d2"), *carry).where("d2 <= reach2").drop("reach2")
 
 
 def usable_period(df: DataFrame, box_size: float | None) -> float | None:
@@ -220,25 +227,37 @@ def _neighbour_number(h: np.ndarray, dist: np.ndarray) -> np.ndarray:
     return (32.0 / 3.0) * np.where(np.isfinite(dist), w, 0.0).sum(axis=1)
 
 
-def _solve(dist: np.ndarray, target: float, steps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Smallest bracketed h with neighbour number ``target``; False where the list is too short."""
-    last = np.nanmax(np.where(np.isfinite(dist), dist, np.nan), axis=1)
-    last = np.maximum(last, 1e-300)
-    ok = _neighbour_number(last, dist) >= target
-    lo, hi = np.zeros(len(dist)), last.copy()
+def _farthest(target: float, n: np.ndarray) -> np.ndarray:
+    """How many times the last distance a solution can be: with n rows at it, the kernel w(x) counts n·w(x)."""
+    need = np.minimum(3.0 * target / (32.0 * n), 1.0)
+    lo, hi = np.zeros(len(n)), np.ones(len(n))
+    for _ in range(60):  # w falls from 1 to 0 on [0, 1]
+        x = 0.5 * (lo + hi)
+        w = np.where(x <= 0.5, 1 - 6 * x * x * (1 - x), 2 * (1 - x) ** 3)
+        lo, hi = np.where(w >= need, x, lo), np.where(w >= need, hi, x)
+    return np.where(need < 1, 1 / np.maximum(lo, 1e-9), 1.0)
+
+
+def _solve(dist: np.ndarray, sizes: np.ndarray, k: int, target: float, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Smallest bracketed h with neighbour number ``target``; False where the list is too short for it; and the
+    last distance. A list of fewer than k holds the whole table, so its solution may lie beyond its end."""
+    last = np.maximum(np.nanmax(np.where(np.isfinite(dist), dist, np.nan), axis=1), 1e-300)
+    top = np.where(sizes < k, last * _farthest(target, sizes.astype(float)), last)
+    ok = (_neighbour_number(top, dist) >= target) | (sizes < k)
+    lo, hi = np.zeros(len(dist)), top.copy()
     for _ in range(steps):
         mid = 0.5 * (lo + hi)
         over = _neighbour_number(np.maximum(mid, 1e-300), dist) >= target
         hi, lo = np.where(over, mid, hi), np.where(over, lo, mid)
-    return 0.5 * (lo + hi), ok
+    return 0.5 * (lo + hi), ok, last
 
 
-def solve_lengths(lists: DataFrame, target: float = TARGET, steps: int = 40) -> DataFrame:
+def solve_lengths(lists: DataFrame, k: int, target: float = TARGET, steps: int = 40) -> DataFrame:
     """Bisection for the smoothing length on each row's own distance list, one Arrow batch at a time.
 
     ``solved`` is false where the neighbour number at the last distance is still below the target.
     """
-    schema = "id long, x double, y double, z double, hsml double, solved boolean"
+    schema = "id long, x double, y double, z double, hsml double, solved boolean, last double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -246,44 +265,58 @@ def solve_lengths(lists: DataFrame, target: float = TARGET, steps: int = 40) ->
                 sizes = pdf["distances"].str.len().to_numpy()
                 dist = np.full((len(pdf), sizes.max()), np.inf)
                 dist[np.arange(sizes.max()) < sizes[:, None]] = np.concatenate(pdf["distances"].to_numpy())
-                h, ok = _solve(dist, target, steps)
-                yield pdf[["id", "x", "y", "z"]].assign(hsml=h, solved=ok)
+                h, ok, last = _solve(dist, sizes, k, target, steps)
+                yield pdf[["id", "x", "y", "z"]].assign(hsml=h, solved=ok, last=last)
 
     return lists.select("id", "x", "y", "z", "distances").mapInPandas(run, schema)
 
 
-def smoothing_lengths(df: DataFrame, k: int = K, target: float = TARGET, box_size: float | None = None,
-                      rounds: int = 6) -> DataFrame:
-    """``x, y, z, hsml`` per position: neighbour number ``target`` within the k nearest.
+TRIALS = 32
+
 
-    Rows whose k neighbours do not reach the target are asked again with twice as many, up to the
-    table size; a row that cannot reach it at all gets its farthest distance.
+def _narrowed(points: DataFrame, box: dict, open_: DataFrame, period: float | None, target: float) -> DataFrame:
+    """One pass over the brackets ``lo..hi``: the neighbour number at TRIALS + 1 radii of each, summed over all
+    rows within ``hi`` by a hash aggregate (no lists, so no limit); the step that reaches the target is kept."""
+    asked = open_.withColumn("radius", F.col("hi")).withColumn("level", _level(F.col("hi"), box["side"]))
+    pairs = _pairs(points, box, asked, period, thin=True, carry=["lo", "hi"])
+    trial = pairs.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(TRIALS))))
+    h = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("j") / TRIALS
+    u = F.sqrt("d2") / h
+    w = F.when(u <= 0.5, 1 - 6 * u * u * (1 - u)).when(u < 1, 2 * (1 - u) * (1 - u) * (1 - u)).otherwise(0.0)
+    sums = trial.groupBy("id", "j").agg((F.sum(F.col("copies") * w) * (32.0 / 3.0)).alias("n"))
+    steps = sums.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("j", "n"))).alias("s"))  # TRIALS + 1 each
+    first = F.coalesce(F.array_min(F.transform(F.filter("s", lambda e: (e["n"] >= target) & (e["j"] > 0)), lambda e: e["j"])), F.lit(TRIALS))
+    steps = steps.withColumn("j", first).select("id", "j", F.get("s", F.col("j") - 1)["n"].alias("n_lo"), F.get("s", F.col("j"))["n"].alias("n_hi"))
+    width = (F.col("hi") - F.col("lo")) / TRIALS
+    out = open_.drop("n_lo", "n_hi").join(steps, "id")
+    return out.select("id", "x", "y", "z", (F.col("lo") + width * (F.col("j") - 1)).alias("lo"), (F.col("lo") + width * F.col("j")).alias("hi"), "n_lo", "n_hi")
+
+
+def smoothing_lengths(df: DataFrame, k: int = K, target: float = TARGET, box_size: float | None = None, passes: int = 4) -> DataFrame:
+    """``x, y, z, hsml`` per position: the h at which the neighbour number over *all* rows is ``target``.
+
+    Most rows find it within their k nearest. For the others it lies beyond the k-th distance d, and below 2d
+    (k rows at half of h count k·8/3, more than the target): their brackets are narrowed over all rows they
+    hold, 32 times a pass, and the last one is cut by a line, an error of about 1e-12 of h after four.
+    A table of so few rows that none can reach the target gives the farthest distance. Rows with a null
+    coordinate have no neighbours and no row here.
     """
     period = usable_period(df, box_size)
-    total = df.count()
-    sizes = [min(k * 2**i, total) for i in range(rounds)]
-    sizes = sizes[: sizes.index(total) + 1] if total in sizes else sizes
-    points, box = prepare(df, sizes[:2], period)
-    out = todo = None
-    for i, n in enumerate(sizes):
-        if i == 2:  # few rows, if any, get here: bounds for all remaining sizes
-            again, box = prepare(df, sizes[2:], period)
-            todo = again.join(todo.select("x", "y", "z"), ["x", "y", "z"], "left_semi").select("id", "x", "y", "z")
-            points = again
-        lists = nearest_of(points, box, n, i if i < 2 else i - 2, period, todo)
-        solved = checkpoint(solve_lengths(lists, target))
-        last = i == len(sizes) - 1
-        good = (solved if last else solved.where("solved")).select("x", "y", "z", "hsml")
-        out = good if out is None else out.unionByName(good)
-        if last:
-            break
-        todo = solved.where("not solved").select("id", "x", "y", "z")
-        if todo.isEmpty():
-            break
-    return out
+    k = max(k, int(np.ceil(3 * target / 8)) + 1)
+    points, box = prepare(df, [k], period)
+    solved = checkpoint(solve_lengths(nearest_of(points, box, k, 0, period), k, target))
+    out = solved.where("solved").select("x", "y", "z", "hsml")
+    open_ = solved.where("not solved").select("id", "x", "y", "z", F.col("last").alias("lo"), (F.col("last") * 2).alias("hi"))
+    if open_.isEmpty():
+        return out
+    for _ in range(passes):
+        open_ = checkpoint(_narrowed(points, box, open_, period, target))
+    cut = (F.lit(float(target)) - F.col("n_lo")) / (F.col("n_hi") - F.col("n_lo"))
+    cut = F.when(F.col("n_hi") > F.col("n_lo"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), cut))).otherwise(0.5)
+    return out.unionByName(open_.select("x", "y", "z", (F.col("lo") + (F.col("hi") - F.col("lo")) * cut).alias("hsml")))
 
 
 def with_smoothing_lengths(df: DataFrame, keep: Sequence[str] | None = None, **args) -> DataFrame:
-    """``df`` with an ``hsml`` column from its own neighbours."""
+    """``df`` with an ``hsml`` column from its own neighbours; null where a coordinate is null."""
     keep = [c for c in (keep or df.columns) if c != "hsml"]
-    return df.select(*keep).join(smoothing_lengths(df.select("x", "y", "z"), **args), ["x", "y", "z"])
+    return df.select(*keep).join(smoothing_lengths(df.select("x", "y", "z"), **args), ["x", "y", "z"], "left")

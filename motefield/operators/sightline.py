@@ -123,5 +123,6 @@ def octave_histogram(gas: DataFrame, hsml: str = "hsml") -> DataFrame:
     h = F.col(hsml)
     low = gas.agg(F.min(F.when(h > 0, h))).scalar()
     rel = gas.where(h > 0).select(h.alias("h"), (h / low).alias("ratio"))
-    octave = sum((F.when(F.col("ratio") >= float(2**k), 1).otherwise(0) for k in range(1, 41)), F.lit(0))
+    guess = F.floor(F.log2("ratio"))  # may be one off next to a power of two: a comparison decides
+    octave = guess + F.when(F.col("ratio") >= F.pow(F.lit(2.0), guess + 1), 1).when(F.col("ratio") < F.pow(F.lit(2.0), guess), -1).otherwise(0)
     return rel.groupBy(octave.cast("int").alias("octave")).agg(F.count(F.lit(1)).alias("n"), F.max("h").alias("h_max"))

@@ -102,12 +102,14 @@ def contributions(df: DataFrame, cam, mass: Column, hsml: Column, qty: Column |
 
 
 def accumulate(hits: DataFrame, by: Sequence[str] = ("px", "py"), with_qty: bool = True) -> DataFrame:
-    """Additive sums per pixel: ``num`` Σσq, ``den`` Σσ, ``sq`` Σσq².
+    """Additive sums per pixel: ``num`` Σσq, ``den`` Σσ, ``sq`` Σσq². A row without a quantity (null: its
+    part lacks the field) counts in none of them, so means are those of the rows that have one.
 
     Sums are partial per map task before the exchange, so a pixel that most particles touch costs
     no more than any other. A null sigma (pixel centre outside the kernel) adds nothing.
     """
-    aggs = [F.sum("sigma").alias("den")]
+    weight = F.when(F.col("q").isNotNull(), F.col("sigma")) if with_qty else F.col("sigma")
+    aggs = [F.sum(weight).alias("den")]
     if with_qty:
         hits = hits.withColumn("sigma_q", F.col("sigma") * F.col("q"))
         aggs = [F.sum("sigma_q").alias("num"), *aggs, F.sum(F.col("sigma_q") * F.col("q")).alias("sq")]

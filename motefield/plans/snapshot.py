@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motefield.functions.fields import FieldSpec, single_field, slot_field
@@ -29,27 +29,33 @@ def field_image(pool: DataFrame, cam: Camera, spec: FieldSpec, colormap: str = "
     return colored(accum, cam, spec.resolve_code, low, high, log, colormap)
 
 
-def composite_image(pool: DataFrame, cam: Camera, light: FieldSpec, tint: FieldSpec, colormap: str = "hot",
-                    kernel: str = "cubic_spline") -> DataFrame:
-    """Two fields on one geometry: lightness from the first, colour from the second, both auto-ranged.
+def six_sums(pool: DataFrame, cam: Camera, first: tuple[Column, Column | None], second: tuple[Column, Column | None],
+             kernel: str = "cubic_spline") -> DataFrame:
+    """``num, den, sq`` of two slots (weight, quantity) in one pass: every splat is cut to pixels once.
 
-    Every splat is cut to pixels once; both slots' weights travel with it and feed six sums. The
-    geometry carries mass 1, so each slot's weight multiplies the kernel afterwards.
+    The geometry carries mass 1, so each slot's weight multiplies the kernel afterwards. A row that lacks a
+    slot's weight or quantity counts in none of that slot's sums; a pixel stays if either slot has any.
     """
-    from dataclasses import replace
-
-    forward, _, _ = cam.basis()
-    (w1, q1), (w2, q2) = (slot_field(pool, s, forward, cam.position) for s in (light, tint))
     one = F.lit(1.0)
-    cols = {"w1": w1, "q1": one if q1 is None else q1, "w2": w2, "q2": one if q2 is None else q2}
+    cols = {n + i: one if c is None else c for i, slot in (("1", first), ("2", second)) for n, c in zip("wq", slot)}
     base = pool.select("x", "y", "z", "hsml", *[c.alias(n) for n, c in cols.items()])
     hits = contributions(base, literal(cam), one, F.col("hsml"), kernel=kernel, keep=list(cols))
     sums = {}
     for i in "12":
         s, q = F.col("sigma") * F.col("w" + i), F.col("q" + i)
-        sums |= {"den" + i: s, "num" + i: s * q, "sq" + i: s * q * q}
-    six = hits.groupBy("px", "py").agg(*[F.sum(v).alias(n) for n, v in sums.items()]).where("den1 is not null")
-    six = checkpoint(six)
+        sums |= {"den" + i: F.when(q.isNotNull(), s), "num" + i: s * q, "sq" + i: s * q * q}
+    six = hits.groupBy("px", "py").agg(*[F.sum(v).alias(n) for n, v in sums.items()])
+    return six.where("den1 is not null or den2 is not null")
+
+
+def composite_image(pool: DataFrame, cam: Camera, light: FieldSpec, tint: FieldSpec, colormap: str = "hot",
+                    kernel: str = "cubic_spline") -> DataFrame:
+    """Two fields on one geometry: lightness from the first, colour from the second, both auto-ranged."""
+    from dataclasses import replace
+
+    forward, _, _ = cam.basis()
+    slots = [slot_field(pool, s, forward, cam.position) for s in (light, tint)]
+    six = checkpoint(six_sums(pool, cam, *slots, kernel=kernel))
     ranged = []
     for i, spec in (("1", light), ("2", tint)):
         slot = six.select("px", "py", *[F.col(c + i).alias(c) for c in ("num", "den", "sq")])
@@ -61,12 +67,13 @@ def composite_image(pool: DataFrame, cam: Camera, light: FieldSpec, tint: FieldS
 def fly_through(pool: DataFrame, path: Sequence[Camera], spec: FieldSpec, kernel: str = "cubic_spline") -> DataFrame:
     """Accumulators of all frames of a path in one job: ``cam_id, px, py, [num,] den[, sq]``.
 
-    Vector fields are projected along the first frame's view.
+    Each frame has its own size, and vector fields are projected along its own lines of sight: the fields a
+    projection needs travel with the row, and the frame's position is a column like its other values.
     """
-    first = path[0]
-    weight, qty = single_field(pool, spec, first.basis()[0], first.position)
-    base = pool.select("x", "y", "z", "hsml", weight.alias("w"), *([qty.alias("q0")] if qty is not None else []))
-    frames = fan_out(base, list(path)).withColumn("cam_id", F.col("cam.cam_id"))
-    hits = contributions(frames, fields_of(), F.col("w"), F.col("hsml"), F.col("q0") if qty is not None else None, kernel,
-                         keep=["cam_id"], carry=["cam"], width=F.lit(first.width), height=F.lit(first.height))
+    frames = fan_out(pool, list(path)).withColumn("cam_id", F.col("cam.cam_id"))
+    cam = fields_of()
+    weight, qty = single_field(frames, spec, (cam.fx, cam.fy, cam.fz), (cam.px, cam.py, cam.pz))
+    base = frames.select("cam", "cam_id", "x", "y", "z", "hsml", weight.alias("w"), *([qty.alias("q0")] if qty is not None else []))
+    hits = contributions(base, cam, F.col("w"), F.col("hsml"), F.col("q0") if qty is not None else None, kernel,
+                         keep=["cam_id"], carry=["cam"], width=cam.width, height=cam.height)
     return accumulate(hits, ["cam_id", "px", "py"], qty is not None)

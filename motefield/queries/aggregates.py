@@ -12,11 +12,15 @@ from motefield.operators.ordering import numbered
 from motefield.operators.resolve import composite_joined, resolved
 from motefield.operators.sightline import octave_histogram
 from motefield.operators.splat import contributions, splat
-from motefield.queries.base import CAM, TILTED, ctes, framelog, lit, octaves, particle, query, sql_accum, sql_hits, sql_map
+from motefield.queries.base import (
+    CAM, TILTED, block, ctes, framelog, lit, octaves, particle, query, sql_accum, sql_hits, sql_map,
+)
+from motefield.plans.snapshot import six_sums
 from motefield.queries.fields import SIX, SPEC1, SPEC2, sql_composite, sql_levels
 from motefield.queries.filters import sql_flat
 from motefield.queries.joins import sql_upsample
 from motefield.queries.scans import rounded
+from motefield.sources.snapshot import union_parts
 
 KEY = ["pid", "mass", "temperature"]
 
@@ -58,14 +62,30 @@ def e04(spark, folder):
     return r.select("px", "py", F.round("value", 3).alias("deviation"))
 
 
-@query("e05_composite_map", ctes("particle", more=sql_hits(CAM, qty="temperature", keep="ptype") + "," + SIX.replace("ptype = 0", "ptype <> 1") + "," + sql_composite("six")))
+@query("e03_average_missing_field", ctes("particle", more=sql_map(CAM, qty="(CASE WHEN ptype <> 1 THEN temperature END)")) + """
+SELECT px, py, round(num/den, 4) AS mean, round(den, 2) AS weight FROM accum WHERE den > 1e-30""")
+def e03_missing(spark, folder):
+    """A union of parts of which one lacks the field: means are those of the rows that have it."""
+    p = particle(spark, folder)
+    pool = union_parts([p.where("ptype <> 1"), p.where("ptype = 1").drop("temperature")])
+    r = resolved(splat(pool, CAM, qty="temperature"), 1)
+    return r.select("px", "py", F.round("value", 4).alias("mean"), F.round("weight", 2).alias("weight"))
+
+
+@query("e05_composite_map", ctes("particle", more=sql_hits(CAM, qty="temperature", keep="ptype") + "," + SIX.replace("ptype = 0", "ptype >= 0") + "," + sql_composite("six")))
 def e05(spark, folder):
     """Two slots over one geometry: every splat is cut to pixels once and feeds six sums."""
-    c = contributions(particle(spark, folder), literal(CAM), F.col("mass"), F.col("hsml"), F.col("temperature"), keep=["ptype"])
-    s, q, two = F.col("sigma"), F.col("q"), F.col("ptype") != 1
-    sums = {"den1": s, "num1": s * q, "sq1": s * q * q}
-    sums |= {n.replace("1", "2"): F.when(two, v) for n, v in sums.items()}
-    six = c.groupBy("px", "py").agg(*[F.sum(v).alias(n) for n, v in sums.items()]).where("den1 is not null")
+    six = six_sums(particle(spark, folder), CAM, *[(F.col("mass"), F.col("temperature"))] * 2)
+    return rounded(composite_joined(six, SPEC1, SPEC2), 6, "r", "g", "b").drop("a")
+
+
+@query("e05_composite_missing_weight", ctes("particle", more=sql_hits(CAM, qty="temperature", keep="ptype") + "," + SIX.replace(
+    "sum(sigma) AS den1", "sum(CASE WHEN ptype = 1 THEN sigma END) AS den1").replace("ptype = 0", "ptype >= 0") + "," + sql_composite("six")))
+def e05_missing(spark, folder):
+    """Only one part has the first slot's weight: pixels that only the others touch keep their colour."""
+    p = particle(spark, folder).withColumn("weight", F.col("mass"))
+    pool = union_parts([p.where("ptype = 1"), p.where("ptype <> 1").drop("weight")])
+    six = six_sums(pool, CAM, (F.col("weight"), F.col("temperature")), (F.col("mass"), F.col("temperature")))
     return rounded(composite_joined(six, SPEC1, SPEC2), 6, "r", "g", "b").drop("a")
 
 
@@ -97,10 +117,10 @@ def e07_full(spark, folder):
     return framing.medians(particle(spark, folder))
 
 
-@query("e08_camera_framing", ctes("particle", more=EVERY + "," + BOX) + f"""SELECT {sql_median('x', 'every')} AS px, {sql_median('y', 'every')} AS py, max_z AS pz,
+@query("e08_camera_framing", ctes("particle", more=BOX) + f"""SELECT {sql_median('x', 'particle')} AS px, {sql_median('y', 'particle')} AS py, max_z AS pz,
 round(extent/20, 12) AS speed, round(extent*1e-6, 15) AS near, round(extent*10, 10) AS far FROM frame""")
 def e08(spark, folder):
-    f = framing.frame(particle(spark, folder), KEY)
+    f = framing.frame(particle(spark, folder))
     return f.select("px", "py", "pz", F.round("speed", 12).alias("speed"), F.round("near", 15).alias("near"), F.round("far", 10).alias("far"))
 
 
@@ -113,7 +133,8 @@ def e09(spark, folder):
 @query("e09_level_scatter", ctes("octaves", more=sql_levels()) + "SELECT pid, level, row_number() OVER (ORDER BY level, pid, mass, temperature) - 1 AS pos FROM levelled")
 def e09_scatter(spark, folder):
     """Contiguous index ranges per level: one global position, not one window per level."""
-    rows = multigrid.with_level(octaves(spark, folder), CAM).withColumn("slot", F.col("level") * F.lit(1 << 50) + F.col("pid"))
+    rows = multigrid.with_level(octaves(spark, folder), CAM).withColumn(
+        "slot", F.col("level").cast("decimal(17,0)") * F.lit("20000000000000000000").cast("decimal(20,0)") + F.col("pid"))
     return numbered(rows.select("slot", "pid", "level", "mass", "temperature"), ["slot", "mass", "temperature"]).select("pid", "level", "pos")
 
 
@@ -184,12 +205,24 @@ def e12_color(spark, folder):
     return rounded(ranges.auto_range(a, 1, log=False, mass_weighted=False), 3, "lo", "hi")
 
 
-@query("e13_smoothing_lengths")
+SPOT = """spot AS (SELECT cx AS x, cy AS y, cz AS z, count(*) AS c FROM block GROUP BY 1, 2, 3),
+pair AS (SELECT a.x, a.y, a.z, b.c, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d FROM spot a, spot b),
+step0 AS MATERIALIZED (SELECT x, y, z, 0e0 AS lo, 2e0 AS hi FROM spot)"""
+_N = """32e0/3e0*sum(CASE WHEN d <= 0.5e0*m THEN c*(1e0 - 6e0*(d/m)*(d/m)*(1e0 - d/m)) WHEN d < m THEN c*2e0*(1e0-d/m)*(1e0-d/m)*(1e0-d/m) ELSE 0e0 END)"""
+
+
+def sql_bisection(steps):
+    """CTEs ``step0``..``step<n>``: halving over all pairs, by brute force."""
+    return SPOT + "".join(f""", step{i} AS MATERIALIZED (SELECT x, y, z, CASE WHEN n >= 32 THEN lo ELSE m END AS lo, CASE WHEN n >= 32 THEN m ELSE hi END AS hi
+FROM (SELECT p.x, p.y, p.z, any_value(lo) AS lo, any_value(hi) AS hi, any_value(m) AS m, {_N} AS n
+FROM (SELECT *, (lo+hi)/2e0 AS m FROM step{i - 1}) s JOIN pair p USING (x, y, z) GROUP BY 1, 2, 3))""" for i in range(1, steps + 1))
+
+
+@query("e13_smoothing_lengths", ctes("block", more=sql_bisection(40)) + "SELECT x, y, z, round((lo+hi)/2e0, 8) AS hsml FROM step40")
 def e13(spark, folder):
-    """Every particle's smoothing length from its own neighbours; checked against brute force in tests."""
-    p = particle(spark, folder)
-    h = smoothing_lengths(p.select("x", "y", "z"))
-    return h.agg(F.count(F.lit(1)).alias("positions"), F.round(F.avg("hsml"), 6).alias("mean_hsml"), F.round(F.max("hsml"), 6).alias("max_hsml"))
+    """The smoothing length of every block position, over all positions."""
+    b = block(spark, folder).select(F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
+    return smoothing_lengths(b).withColumn("hsml", F.round("hsml", 8))
 
 
 @query("e15_counts", ctes("particle") + "SELECT ptype, count(*) AS n, (SELECT count(*) FROM particle) AS total FROM particle GROUP BY ptype")

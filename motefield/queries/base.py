@@ -85,7 +85,7 @@ hits{tag} AS (SELECT {k} px::INTEGER AS px, py::INTEGER AS py, r2, a*{sql_kernel
 def sql_accum(tag: str = "", keep: str = "") -> str:
     """CTE ``accum<tag>``, after :func:`sql_hits`."""
     k = keep + "," if keep else ""
-    return f"""accum{tag} AS (SELECT {k} px, py, sum(sigma*q) AS num, sum(sigma) AS den, sum(sigma*q*q) AS sq
+    return f"""accum{tag} AS (SELECT {k} px, py, sum(sigma*q) AS num, sum(CASE WHEN q IS NOT NULL THEN sigma END) AS den, sum(sigma*q*q) AS sq
 FROM hits{tag} GROUP BY {k} px, py)"""
 
 

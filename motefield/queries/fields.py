@@ -87,17 +87,33 @@ _LOS = "+".join(f"v{a}*({lit(f)})" for a, f in zip("xyz", FORWARD))
 _LOSP = f"(vx*{_EX}+vy*{_EY}+vz*{_EZ})/greatest(sqrt({_EX}*{_EX}+{_EY}*{_EY}+{_EZ}*{_EZ}), 1e-30)"
 _vector_query("b06_norm", f"sqrt({_SQ})", "|v|")
 _vector_query("b07_squared_norm", _SQ, "|v|^2")
+
+
+def _wide_query(name, sql, projection):
+    """Norms over all components of the 64-wide vectors."""
+    @query(name, f"SELECT vec_id, round({sql.format('list_sum(list_transform(embedding, lambda c: c::DOUBLE * c::DOUBLE))')}, 8) AS v FROM embeddings")
+    def run(spark, folder):
+        t = raw(spark, folder, "embeddings")
+        return t.select("vec_id", F.round(fields.resolve_field(t, "embedding", projection), 8).alias("v"))
+
+    return run
+
+
+_wide_query("b06_norm_wide", "sqrt({})", "|v|")
+_wide_query("b07_squared_norm_wide", "{}", "|v|^2")
 _vector_query("b08_los_global", _LOS, "LOS", forward=FORWARD)
 _vector_query("b09_los_per_particle", _LOSP, "LOS", eye=EYE)
 
 
 @query("b10_combine_fields", ctes("particle") + """SELECT pid, round(mass*vx, 6) AS mul, round(mass+vx, 6) AS add, round(mass-vx, 6) AS sub,
-round(mass/greatest(abs(vx), 1e-30)*sign(vx), 6) AS div, least(mass, vx) AS low, greatest(mass, vx) AS high, round(mass*vx, 6) AS other FROM particle""")
+round(mass/greatest(abs(vx), 1e-30)*sign(vx), 6) AS div, least(mass, vx) AS low, greatest(mass, vx) AS high, round(mass*vx, 6) AS other,
+CASE WHEN ptype <> 1 THEN greatest(mass, vx) END AS missing FROM particle""")
 def b10(spark, folder):
     m, v = F.col("mass"), F.col("vx")
     ops = {"mul": "*", "add": "+", "sub": "-", "div": "/", "low": "min", "high": "max", "other": "?"}
     out = {n: fields.combine(m, v, op) for n, op in ops.items()}
-    return particle(spark, folder).select("pid", *[(c if n in ("low", "high") else F.round(c, 6)).alias(n) for n, c in out.items()])
+    lacking = fields.combine(m, F.when(F.col("ptype") != 1, v), "max").alias("missing")
+    return particle(spark, folder).select("pid", *[(c if n in ("low", "high") else F.round(c, 6)).alias(n) for n, c in out.items()], lacking)
 
 
 @query("b11_resolve_field", ctes("particle") + f"""SELECT pid, temperature AS scalar, round({_LOSP}, 8) AS los, vy AS part, round(sqrt({_SQ}), 8) AS speed FROM particle""")

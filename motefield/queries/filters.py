@@ -33,6 +33,15 @@ def c02(spark, folder):
     return t.select(*sorted(fields.scalar_fields(t)))
 
 
+@query("c02_wide_vector", """SELECT unnest(['Masses', 'vec_id', 'label']) AS name UNION ALL
+SELECT 'embedding[' || i || ']' AS name FROM range((SELECT max(len(embedding)) FROM embeddings)) r(i)""")
+def c02_wide(spark, folder):
+    """Field list of a table with a 64-wide vector: every component is listed, none is a 3-vector."""
+    t = raw(spark, folder, "embeddings")
+    names = fields.scalar_fields(t) | {f"vector {n}" for n in fields.vector_fields(t)}
+    return spark.createDataFrame([(n,) for n in sorted(names)], "name string")
+
+
 _TAN = math.tan(math.radians(TILTED.fov) / 2)
 
 

@@ -136,12 +136,10 @@ def g06(spark, folder):
 @query("g06_part_order", """SELECT row_number() OVER (ORDER BY part) AS pos, part, n FROM (SELECT user_id AS part, count(*) AS n FROM events GROUP BY user_id)""")
 def g06_order(spark, folder):
     """Numeric order of part numbers taken from file names (text order would put 10 before 2)."""
-    from pyspark.sql import Window
-
     name = F.concat(F.lit("snap."), F.col("user_id"), F.lit(".parquet"))
     part = F.regexp_extract(name, snapshot.PART, 1).cast("long")
     parts = track(spark, folder).withColumnRenamed("sink_id", "user_id").groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    return parts.withColumn("pos", F.row_number().over(Window.orderBy("part")).cast("long"))
+    return ordering.numbered(parts, ["part"]).withColumn("pos", F.col("pos") + 1)
 
 
 # ---- set operations --------------------------------------------------------------------------

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 SHUFFLE_PARTITIONS = "spark.sql.shuffle.partitions"
@@ -21,6 +19,7 @@ def local_session(app: str = "motefield", cpus: int | str = 8, memory: str = "16
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -42,15 +41,12 @@ def _ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if folder is None:
-        if not sc.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="motefield-checkpoint-")
-    sc.setCheckpointDir(folder)
+    sc.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder named by ``spark.checkpoint.dir``."""
+    """Cut lineage with a reliable checkpoint in the folder named by ``spark.checkpoint.dir``, else below the
+    warehouse. Spark removes it once nothing refers to it (``spark.cleaner.referenceTracking.cleanCheckpoints``)."""
     _ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

@@ -23,12 +23,13 @@ def live_map(stream: DataFrame, cam: Camera, mass: str = "mass", hsml: str = "hs
 
 def windowed_map(stream: DataFrame, cam: Camera, time: str, width: str, late: str, mass: str = "mass",
                  hsml: str = "hsml", qty: str | None = None, kernel: str = "cubic_spline") -> DataFrame:
-    """One accumulator per event-time window; a window closes when the watermark passes it."""
+    """One accumulator per event-time window. Write it with `run_windows`: a window is given out once, when the
+    watermark passes its end, and rows that come later than ``late`` are dropped."""
     q = None if qty is None else F.col(qty)
     marked = stream.withWatermark(time, late)
     hits = contributions(marked, literal(cam), F.col(mass), F.col(hsml), q, kernel, keep=[time])
     window: Column = F.window(time, width)
-    aggs = [F.sum("sigma").alias("den")]
+    aggs = [F.sum("sigma" if qty is None else F.when(F.col("q").isNotNull(), F.col("sigma"))).alias("den")]
     if qty is not None:
         sq = F.col("sigma") * F.col("q")
         aggs = [F.sum(sq).alias("num"), *aggs, F.sum(sq * F.col("q")).alias("sq")]
@@ -48,3 +49,14 @@ def run_to_table(stream_map: DataFrame, path: str) -> DataFrame:
     writer = stream_map.writeStream.outputMode("complete").foreachBatch(replace).trigger(availableNow=True)
     writer.option("checkpointLocation", f"{path}/state").start().awaitTermination()
     return stream_map.sparkSession.read.parquet(f"{path}/map")
+
+
+def run_windows(stream_map: DataFrame, path: str) -> DataFrame:
+    """Processes what is there now and appends the windows that have closed to the table at ``path``.
+
+    Closed windows leave the state, so it holds the open ones only; a later call with the same path goes on
+    from there. Windows that no row has closed yet are not in the table.
+    """
+    writer = stream_map.writeStream.outputMode("append").format("parquet").trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{path}/state").option("path", f"{path}/map").start().awaitTermination()
+    return stream_map.sparkSession.read.schema(stream_map.schema).parquet(f"{path}/map")

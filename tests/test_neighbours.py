@@ -66,3 +66,38 @@ def test_period_needs_every_row_inside(spark):
 def test_distances_include_the_row_itself(spark):
     got = nearest(frame(spark, np.array([[0.0, 0.0, 0.0], [3.0, 4.0, 0.0]])), 2).toPandas()
     assert all(list(d) == pytest.approx([0.0, 5.0]) for d in got.distances)
+
+
+def solved_over_all_rows(xyz, target=32.0):
+    dist = brute(xyz, len(xyz))
+    lo, hi = np.zeros(len(xyz)), np.full(len(xyz), 8.0)
+    for _ in range(60):
+        mid = 0.5 * (lo + hi)
+        over = _neighbour_number(mid, dist) >= target
+        hi, lo = np.where(over, mid, hi), np.where(over, lo, mid)
+    return {tuple(p): h for p, h in zip(xyz, 0.5 * (lo + hi))}
+
+
+def test_smoothing_length_beyond_any_list(spark):
+    """One row faces a cluster of thousands; the solution lies beyond its 50 nearest, and beyond 1 600."""
+    rng = np.random.default_rng(6)
+    xyz = np.concatenate([[[0.0, 0.0, 0.0]], [1.0, 0.0, 0.0] + rng.normal(0, 0.01, (2500, 3)), rng.uniform(0, 1, (40, 3))])
+    got = smoothing_lengths(frame(spark, xyz)).toPandas()
+    want = solved_over_all_rows(xyz)
+    assert len(got) == len(xyz)
+    np.testing.assert_allclose(got.hsml, [want[r.x, r.y, r.z] for r in got.itertuples()], rtol=1e-8)
+
+
+def test_smoothing_length_of_few_rows(spark):
+    xyz = np.random.default_rng(7).uniform(0, 1, (9, 3))
+    got = smoothing_lengths(frame(spark, xyz)).toPandas()
+    want = solved_over_all_rows(xyz)
+    np.testing.assert_allclose(got.hsml, [want[r.x, r.y, r.z] for r in got.itertuples()], rtol=1e-8)
+
+
+def test_null_coordinates_keep_their_row(spark):
+    rows = [(float(i), 0.0, 0.0) for i in range(40)] + [(None, 1.0, 1.0)]
+    from motefield.operators.neighbours import with_smoothing_lengths
+
+    got = with_smoothing_lengths(spark.createDataFrame(rows, "x double, y double, z double"))
+    assert got.count() == 41 and got.where("hsml is null").count() == 1
