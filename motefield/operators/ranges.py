@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motefield.operators.ordering import interpolate, interpolate_at, pick_ranks, value_cdf
+from motefield.operators.ordering import interpolate_at, pick_ranks, value_cdf
 from motefield.operators.resolve import resolved
 from motefield.session import checkpoint
 
@@ -36,23 +38,70 @@ def candidates(n: int) -> list[float]:
     return steps + [min(0.55 + s, 1.0) for s in steps]
 
 
+def gap_ends(knots: DataFrame, edges: np.ndarray) -> pd.DataFrame:
+    """Last and first knot of each gap between the sorted ``edges``: at most one row per edge and one more.
+
+    Each task keeps one pair of knots per gap in arrays; they meet in one hash aggregate. No sort.
+    """
+    shared = knots.sparkSession.sparkContext.broadcast(edges)
+
+    def run(batches):
+        e = shared.value
+        n = len(e) + 1
+        lo, lo_y, hi, hi_y = np.full(n, -np.inf), np.zeros(n), np.full(n, np.inf), np.zeros(n)
+        for pdf in batches:
+            pdf = pdf.sort_values("x")
+            x, yl, yr = (pdf[c].to_numpy() for c in ("x", "yl", "yr"))
+            gap = np.searchsorted(e, x, "left")
+            last = np.flatnonzero(np.append(gap[1:] != gap[:-1], True)) if len(x) else []
+            first = np.flatnonzero(np.append(True, gap[1:] != gap[:-1])) if len(x) else []
+            for k, here, there, y, ys, better in ((last, lo, x, lo_y, yr, np.greater), (first, hi, x, hi_y, yl, np.less)):
+                k = k[better(there[k], here[gap[k]])] if len(x) else k
+                if len(k):
+                    here[gap[k]], y[gap[k]] = there[k], ys[k]
+        full = np.flatnonzero(np.isfinite(lo))
+        yield pd.DataFrame({"gap": full, "lo": lo[full], "yr": lo_y[full], "hi": hi[full], "yl": hi_y[full]})
+
+    rows = knots.select("x", "yl", "yr").mapInPandas(run, "gap long, lo double, yr double, hi double, yl double")
+    ends = rows.groupBy("gap").agg(F.max(F.struct("lo", "yr")).alias("a"), F.min(F.struct("hi", "yl")).alias("b"))
+    return ends.select("gap", "a.lo", "a.yr", "b.hi", "b.yl").toPandas()
+
+
+def curve_at(knots: DataFrame, x: np.ndarray) -> np.ndarray:
+    """Piecewise-linear lookup at a number of positions that the caller's parameters fix; clamped at the ends."""
+    edges, back = np.unique(x, return_inverse=True)
+    ends = gap_ends(knots, edges)
+    n = len(edges)
+    lo, yr, hi, yl = (np.full(n + 1, np.nan) for _ in range(4))
+    for column, name in ((lo, "lo"), (yr, "yr"), (hi, "hi"), (yl, "yl")):
+        column[ends["gap"]] = ends[name]
+    before = pd.DataFrame({"lo": lo, "yr": yr}).ffill().to_numpy()[:n]  # last knot in this gap or an earlier one
+    after = pd.DataFrame({"hi": hi, "yl": yl}).bfill().to_numpy()[1:]  # first knot of a later gap
+    (lo, yr), (hi, yl) = before.T, after.T
+    with np.errstate(invalid="ignore"):
+        y = yr + (edges - lo) * ((yl - yr) / (hi - lo))
+    return np.where(np.isnan(lo), yl, np.where(np.isnan(hi), yr, y))[back.reshape(x.shape)]
+
+
 def entropy_table(knots: DataFrame, n_bins: int = BINS, n_search: int = SEARCH) -> DataFrame:
-    """Entropy of the n_bins histogram for every pair of limits: ``i, j, lo, hi, entropy``."""
-    limits = quantile_values(knots, candidates(n_search))
-    # 2 x n_search scalars: gathered in one row and expanded again by generators
-    row = limits.agg(F.array_sort(F.collect_list(F.struct("slot", "y"))).alias("all"))
-    pairs = row.select("all", F.explode(F.sequence(F.lit(0), F.lit(n_search - 1))).alias("i"))
-    pairs = pairs.select("all", "i", F.explode(F.sequence(F.lit(0), F.lit(n_search - 1))).alias("j"))
-    pairs = pairs.select("i", "j", F.get("all", "i")["y"].alias("lo"), F.get("all", F.col("j") + n_search)["y"].alias("hi"))
-    edges = pairs.withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(n_bins))))
-    edges = edges.withColumn("x", F.col("lo") + F.col("t") / float(n_bins) * (F.col("hi") - F.col("lo")))
-    at = interpolate(knots, edges)
-    upper = F.lead("y").over(Window.partitionBy("i", "j").orderBy("t"))
-    low = F.when(F.col("t") == 0, F.col("y")).otherwise(0.0)
-    high = F.when(F.col("t") == n_bins - 1, 1.0 - F.col("upper")).otherwise(0.0)
-    p = at.withColumn("upper", upper).where(F.col("t") < n_bins).withColumn("p", F.col("upper") - F.col("y") + low + high)
-    term = F.when(F.col("p") > 0, -F.col("p") * F.log2("p")).otherwise(0.0)
-    return p.groupBy("i", "j").agg(F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.sum(term).alias("entropy"))
+    """Entropy of the n_bins histogram for every pair of limits: ``i, j, lo, hi, entropy``.
+
+    The bin edges (n_search² (n_bins + 1), whatever the data) go to the tasks; one row per gap comes back.
+    """
+    limits = quantile_values(knots, candidates(n_search)).toPandas().sort_values("slot")["y"].to_numpy()  # 2 n_search rows
+    lo, hi = limits[:n_search, None, None], limits[None, n_search:, None]
+    t = np.arange(n_bins + 1)
+    x = lo + t / float(n_bins) * (hi - lo)
+    y = curve_at(knots, x)
+    p = y[..., 1:] - y[..., :-1]
+    p[..., 0] += y[..., 0]
+    p[..., -1] += 1.0 - y[..., -1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        entropy = np.where(p > 0, -p * np.log2(p), 0.0).sum(-1)
+    i, j = np.indices(entropy.shape)
+    lo, hi = np.broadcast_to(lo[..., 0], entropy.shape), np.broadcast_to(hi[..., 0], entropy.shape)
+    table = pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "lo": lo.ravel(), "hi": hi.ravel(), "entropy": entropy.ravel()})
+    return knots.sparkSession.createDataFrame(table, "i int, j int, lo double, hi double, entropy double")
 
 
 def max_entropy_limits(df: DataFrame, value: str, weight: str, log: bool = False,
