@@ -20,9 +20,16 @@ LEVELS = 20  # finest cell edge 2**-19 rad; smaller discs share that level
 SLACK = 1.0 + 1e-9
 
 
-def _directions(df: DataFrame, eye: Sequence[float]) -> DataFrame:
-    """Adds ``dx, dy, dz`` relative to the eye, distance ``d`` and the unit direction ``nx, ny, nz``."""
-    rel = df.withColumns({f"d{a}": F.col(a) - F.lit(float(e)) for a, e in zip("xyz", eye)})
+#: up to so many star cells (about 100 bytes each) are broadcast, and gas is not shuffled at all
+BROADCAST_CELLS = 400_000
+
+
+def _directions(df: DataFrame, eyes: Sequence[Sequence[float]]) -> DataFrame:
+    """One row per eye: ``dx, dy, dz`` relative to it, distance ``d``, unit direction ``nx, ny, nz``, and ``spot``,
+    the eye's index. The eyes are an array literal that is exploded in the scan stage."""
+    all_ = [F.struct(F.lit(i).alias("i"), *[F.lit(float(e)).alias(a) for a, e in zip("xyz", eye)]) for i, eye in enumerate(eyes)]
+    rel = df.withColumn("_eye", F.explode(F.array(*all_))).withColumn("spot", F.col("_eye.i"))
+    rel = rel.withColumns({f"d{a}": F.col(a) - F.col(f"_eye.{a}") for a in "xyz"}).drop("_eye")
     rel = rel.withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") + F.col("dz") * F.col("dz")))
     far = F.col("d") > 0
     return rel.withColumns({f"n{a}": F.when(far, F.col(f"d{a}") / F.col("d")).otherwise(0.0) for a in "xyz"})
@@ -33,11 +40,11 @@ def _edge(level):
     return F.get(F.lit([2.0] + [2.0 ** (1 - k) for k in range(1, LEVELS + 1)]), level)
 
 
-def gas_cells(gas: DataFrame, eye: Sequence[float], mass: str = "mass", hsml: str = "hsml",
+def gas_cells(gas: DataFrame, eyes: Sequence[Sequence[float]], mass: str = "mass", hsml: str = "hsml",
               key: Sequence[str] = ("pid",)) -> DataFrame:
     """Gas with its sky cell: the finest level whose cells are no smaller than its disc."""
     h = F.col(hsml)
-    rel = _directions(gas.where(h > 0), eye)
+    rel = _directions(gas.where(h > 0), eyes)
     ratio = F.when(h < F.col("d"), h / F.col("d")).otherwise(1.0)
     rel = rel.withColumn("ratio", ratio)
     ratio = F.col("ratio")
@@ -51,13 +58,13 @@ def gas_cells(gas: DataFrame, eye: Sequence[float], mass: str = "mass", hsml: st
         f"c{a}": F.coalesce(F.when(F.col("level") > 0, F.floor(F.col(f"n{a}") / edge)).cast("int"), F.lit(0)) for a in "xyz"
     }
     return rel.withColumns(cells).select(
-        *key, "level", "cx", "cy", "cz", "dx", "dy", "dz", F.col(mass).alias("m"), (h * h).alias("h2")
+        *key, "spot", "level", "cx", "cy", "cz", "dx", "dy", "dz", F.col(mass).alias("m"), (h * h).alias("h2")
     )
 
 
-def star_cells(stars: DataFrame, eye: Sequence[float], gas: DataFrame) -> DataFrame:
+def star_cells(stars: DataFrame, eyes: Sequence[Sequence[float]], gas: DataFrame) -> DataFrame:
     """Stars in every cell around their direction, at every level the gas uses."""
-    rel = _directions(stars, eye).where("d > 0")
+    rel = _directions(stars, eyes).where("d > 0")
     cells = rel.withColumn("level", F.explode(levels_of(gas)))
     for a in "xyz":
         low = F.floor(F.col(f"n{a}") / _edge(F.col("level"))).cast("int")
@@ -72,7 +79,7 @@ def star_cells(stars: DataFrame, eye: Sequence[float], gas: DataFrame) -> DataFr
         n, f = F.greatest(lo, -hi, F.lit(0.0)), F.greatest(F.abs(lo), F.abs(hi))
         near, far = near + n * n, far + f * f
     cells = cells.where((F.col("level") == 0) | ((near <= SLACK) & (far * SLACK >= 1.0)))
-    return cells.select("star", "level", "cx", "cy", "cz", "nx", "ny", "nz", "d")
+    return cells.select("star", "spot", "level", "cx", "cy", "cz", "nx", "ny", "nz", "d")
 
 
 def levels_of(gas: DataFrame):
@@ -80,17 +87,25 @@ def levels_of(gas: DataFrame):
     return gas.agg(F.collect_set("level")).scalar()
 
 
-def columns(gas: DataFrame, stars: DataFrame, eye: Sequence[float], mass: str = "mass", hsml: str = "hsml",
-            star_id: str = "sid", key: Sequence[str] = ("pid",)) -> DataFrame:
-    """``star_id, column, n_gas``: Σ m·3/(πh²)·(1-b²/h²)² over gas nearer than h to the sight line.
+def columns_at(gas: DataFrame, stars: DataFrame, eyes: Sequence[Sequence[float]], mass: str = "mass", hsml: str = "hsml",
+               star_id: str = "sid", key: Sequence[str] = ("pid",), few: int = BROADCAST_CELLS) -> DataFrame:
+    """``star_id, spot, column, n_gas`` for every star and eye: Σ m·3/(πh²)·(1-b²/h²)² over gas nearer than h to
+    the sight line; ``spot`` is the eye's index.
 
-    Stars at one position share their result, so copies of a star are worked out once. Gas cells are
-    balanced by salting: a third of all gas in one direction is spread over many tasks. The sum per
-    star is partial before the last exchange.
+    Gas is read once however many eyes there are. Stars at one position share their result. The star cells
+    are counted: up to ``few`` they are broadcast, so gas meets them where it is read. More are joined by
+    shuffle with salts on both sides: a third of all gas in one direction, or all stars in the one cell
+    that gas around an eye uses, is spread over many tasks. The sum per star is partial before the last
+    exchange. A star with a null coordinate has column 0.
     """
     spots = stars.groupBy("x", "y", "z").agg(F.min(star_id).alias("star"))
-    cells = gas_cells(gas, eye, mass, hsml, key)
-    pairs = salted_join(cells, star_cells(spots, eye, cells), ["level", "cx", "cy", "cz"], key)
+    cells = gas_cells(gas, eyes, mass, hsml, key)
+    visits = star_cells(spots, eyes, cells)
+    keys = ["spot", "level", "cx", "cy", "cz"]
+    if visits.limit(few + 1).count() <= few:
+        pairs = cells.join(F.broadcast(visits), keys)
+    else:
+        pairs = salted_join(cells, visits, keys, key, salt_small=["star"])
     # t: distance of the gas along the line, from the star towards the camera
     along = F.col("dx") * F.col("nx") + F.col("dy") * F.col("ny") + F.col("dz") * F.col("nz")
     pairs = pairs.withColumn("along", along).where((F.col("along") > 0) & (F.col("along") < F.col("d")))
@@ -98,24 +113,27 @@ def columns(gas: DataFrame, stars: DataFrame, eye: Sequence[float], mass: str =
     pairs = pairs.withColumn("b2", off[0] * off[0] + off[1] * off[1] + off[2] * off[2]).where("b2 < h2")
     w = 1.0 - F.col("b2") / F.col("h2")
     part = F.col("m") * (3.0 / math.pi) / F.col("h2") * w * w
-    sums = pairs.groupBy("star").agg(F.sum(part).alias("column"), F.count(F.lit(1)).alias("n_gas"))
-    out = spots.join(sums, "star", "left").select("x", "y", "z", "column", "n_gas")
-    return stars.join(out, ["x", "y", "z"]).select(
-        star_id, F.coalesce("column", F.lit(0.0)).alias("column"), F.coalesce("n_gas", F.lit(0).cast("long")).alias("n_gas")
+    sums = pairs.groupBy("star", "spot").agg(F.sum(part).alias("column"), F.count(F.lit(1)).alias("n_gas"))
+    every = spots.withColumn("spot", F.explode(F.array(*[F.lit(i) for i in range(len(eyes))])))
+    out = every.join(sums, ["star", "spot"], "left").select("x", "y", "z", "spot", "column", "n_gas")
+    same = [stars[a].eqNullSafe(out[a]) for a in "xyz"]
+    return stars.join(out, same[0] & same[1] & same[2]).select(
+        star_id, "spot", F.coalesce("column", F.lit(0.0)).alias("column"), F.coalesce("n_gas", F.lit(0).cast("long")).alias("n_gas")
     )
 
 
+def columns(gas: DataFrame, stars: DataFrame, eye: Sequence[float], **args) -> DataFrame:
+    """``star_id, column, n_gas`` seen from one eye; see `columns_at`."""
+    return columns_at(gas, stars, [eye], **args).drop("spot")
+
+
 def columns_for_path(gas: DataFrame, stars: DataFrame, positions: Sequence[Sequence[float]], **args) -> DataFrame:
-    """Columns per distinct camera position of a path: frames that only rotate share one result."""
-    distinct = list(dict.fromkeys(tuple(float(c) for c in p) for p in positions))
-    parts = [columns(gas, stars, p, **args).withColumn("spot", F.lit(i)) for i, p in enumerate(distinct)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    frames = [F.struct(F.lit(i).alias("cam_id"), F.lit(distinct.index(tuple(float(c) for c in p))).alias("s"))
-              for i, p in enumerate(positions)]
-    hit = F.filter(F.array(*frames), lambda f: f["s"] == F.col("spot"))
-    return out.withColumn("f", F.explode(hit)).select(F.col("f.cam_id").alias("cam_id"), *[c for c in out.columns if c != "spot"])
+    """Columns per frame of a camera path: frames that only rotate share one result."""
+    frames = [tuple(float(c) for c in p) for p in positions]
+    eyes = list(dict.fromkeys(frames))
+    cams = [F.array(*[F.lit(i) for i, p in enumerate(frames) if p == e]) for e in eyes]
+    out = columns_at(gas, stars, eyes, **args)
+    return out.withColumn("cam_id", F.explode(F.get(F.array(*cams), F.col("spot")))).select("cam_id", *[c for c in out.columns if c != "spot"])
 
 
 def octave_histogram(gas: DataFrame, hsml: str = "hsml") -> DataFrame:

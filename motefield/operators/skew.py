@@ -30,15 +30,31 @@ def hot_keys(df: DataFrame, keys: Sequence[str], parts: int | None = None) -> Da
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: Sequence[str], salt_by: Sequence[str],
-                parts: int | None = None) -> DataFrame:
+                parts: int | None = None, salt_small: Sequence[str] | None = None) -> DataFrame:
     """Inner equi-join; rows of ``big`` under a hot key are split, the matching ``small`` rows copied.
 
     ``salt_by`` must tell rows apart even if they are copies of each other. The salt is a hash of it,
-    so a task that is run again sends every row where it went before.
+    so a task that is run again sends every row where it went before. With ``salt_small`` keys that are hot
+    in ``small`` are split too, and the rows of ``big`` under them copied.
     """
-    hot = F.broadcast(hot_keys(big, keys, parts))
+    hot = _hot(big, keys, parts)
+    left, right, on = _dealt(big, hot, keys, salt_by, "_salt"), _copied(small, hot, keys, "_salt"), [*keys, "_salt"]
+    if salt_small is not None:
+        hot = _hot(small, keys, parts)
+        right = _dealt(right, hot, keys, salt_small, "_salt2")
+        left, on = _copied(left, hot, keys, "_salt2"), [*on, "_salt2"]
+    return left.join(right, on).drop("_salt", "_salt2")
+
+
+def _hot(df: DataFrame, keys: Sequence[str], parts: int | None) -> DataFrame:
+    return F.broadcast(hot_keys(df, keys, parts))
+
+
+def _dealt(df: DataFrame, hot: DataFrame, keys: Sequence[str], salt_by: Sequence[str], name: str) -> DataFrame:
     salt = F.coalesce(F.pmod(F.xxhash64(*salt_by), F.col("_salts")).cast("int"), F.lit(0))
-    left = big.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_salts")
+    return df.join(hot, list(keys), "left").withColumn(name, salt).drop("_salts")
+
+
+def _copied(df: DataFrame, hot: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
     copies = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
-    right = small.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_salts")
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
+    return df.join(hot, list(keys), "left").withColumn(name, F.explode(copies)).drop("_salts")
