@@ -30,14 +30,20 @@ def _ramp(points, x: float) -> float:
     return points[-1][1]
 
 
-def levels(name: str) -> dict[str, list[int]]:
-    """The 256 8-bit levels per channel. Maps without a ramp here need matplotlib."""
+def levels(name: str | DataFrame) -> dict[str, list[int]]:
+    """The 256 8-bit levels per channel: of a ramp here, of a table ``idx, r, g, b`` of 256 rows, or of one of
+    matplotlib's maps where that is installed."""
+    if isinstance(name, DataFrame):
+        rows = name.select("idx", "r", "g", "b").orderBy("idx").take(SIZE + 1)
+        if [r["idx"] for r in rows] != list(range(SIZE)):
+            raise ValueError(f"a colormap table has one row for each idx from 0 to {SIZE - 1}")
+        return {c: [int(r[c]) for r in rows] for c in "rgb"}
     if name in RAMPS:
         return {c: [int(_ramp(RAMPS[name][c], i / (SIZE - 1)) * 255) for i in range(SIZE)] for c in "rgb"}
     try:
         from matplotlib import colormaps
     except ImportError as err:
-        raise ValueError(f"colormap {name} needs matplotlib; without it there are {sorted(RAMPS)}") from err
+        raise ValueError(f"colormap {name}: give its table, or install matplotlib; without either there are {sorted(RAMPS)}") from err
     table = colormaps[name].resampled(SIZE)
     return {c: [int(table(i)[k] * 255) for i in range(SIZE)] for k, c in enumerate("rgb")}
 
@@ -49,7 +55,7 @@ def lut(spark, name: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, idx int, r int, g int, b int")
 
 
-def lookup(df: DataFrame, t: str, name: str) -> DataFrame:
+def lookup(df: DataFrame, t: str, name: str | DataFrame) -> DataFrame:
     """Adds ``r, g, b`` (0..1) for the coordinate column ``t``: linear between entries, clamped ends.
 
     The table has a fixed 256 entries, so it travels as an array literal, not as a join.

@@ -24,15 +24,14 @@ def fraction(df: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
 def subset(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """Exactly k rows (all, if there are fewer), without sorting the table.
 
-    A histogram of the hash finds the slice that holds the k-th row; only that slice, about
-    1/65536 of the table, is ranked. ``key`` must be unique.
+    A histogram of the hash finds the slice that holds the k-th row, one of that slice's own finds the slice
+    in it; only this one, about 1/2^32 of the table, is ranked. ``key`` must be unique.
     """
-    rows = df.withColumn("_u", order_key(key, seed)).withColumn("_slice", F.floor(F.col("_u") * FINE).cast("int"))
-    hist = rows.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    upto = hist.withColumn("_upto", F.sum("_n").over(Window.orderBy("_slice")))
-    cut = upto.where(F.col("_upto") - F.col("_n") < k)
-    last = cut.agg(F.max("_slice")).scalar()
-    before = cut.agg(F.max(F.col("_upto") - F.col("_n"))).scalar()
+    u = order_key(key, seed)
+    rows = df.withColumn("_u", u).withColumn("_slice", F.floor(u * float(FINE * FINE)).cast("long"))
+    coarse, before = _slice_of(rows.select(F.shiftright("_slice", 16).alias("s")), F.lit(0), k)
+    inside = rows.where(F.shiftright("_slice", 16) == coarse)
+    last, before = _slice_of(inside.select(F.col("_slice").alias("s")), before, k)
     rows = rows.withColumn("_last", last)
     whole = rows.where(F.col("_slice") < F.col("_last")).drop("_u", "_slice", "_last")
     edge = rows.where(F.col("_slice") == F.col("_last")).withColumn("_before", before)
@@ -41,6 +40,14 @@ def subset(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     return whole.unionByName(edge.drop("_u", "_slice", "_last", "_before", "_rank"))
 
 
+def _slice_of(slices: DataFrame, before: Column, k: int) -> tuple[Column, Column]:
+    """The slice that holds the k-th row and the number of rows ahead of it, as scalars; at most FINE slices."""
+    hist = slices.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    upto = hist.withColumn("ahead", F.sum("n").over(Window.orderBy("s")) - F.col("n") + before)
+    at = upto.where(F.col("ahead") < k).agg(F.max(F.struct("s", "ahead")).alias("x"))
+    return at.select("x.s").scalar(), at.select("x.ahead").scalar()
+
+
 def rescale(mass: Column, hsml: Column, stride: Column | float, user_scale: float = 1.0) -> tuple[Column, Column]:
     """Each kept row stands for ``stride`` rows: mass times stride, length times its cube root."""
     s = F.lit(float(stride)) if isinstance(stride, (int, float)) else stride

@@ -73,7 +73,7 @@ def fly_through(pool: DataFrame, path: Sequence[Camera], spec: FieldSpec, kernel
     frames = fan_out(pool, list(path)).withColumn("cam_id", F.col("cam.cam_id"))
     cam = fields_of()
     weight, qty = single_field(frames, spec, (cam.fx, cam.fy, cam.fz), (cam.px, cam.py, cam.pz))
-    base = frames.select("cam", "cam_id", "x", "y", "z", "hsml", weight.alias("w"), *([qty.alias("q0")] if qty is not None else []))
+    base = frames.select("cam", "cam_id", cam.width.alias("across"), cam.height.alias("down"), "x", "y", "z", "hsml", weight.alias("w"), *([qty.alias("q0")] if qty is not None else []))
     hits = contributions(base, cam, F.col("w"), F.col("hsml"), F.col("q0") if qty is not None else None, kernel,
-                         keep=["cam_id"], carry=["cam"], width=cam.width, height=cam.height)
+                         keep=["cam_id", "across", "down"], carry=["cam"], width=F.col("across"), height=F.col("down"))
     return accumulate(hits, ["cam_id", "px", "py"], qty is not None)

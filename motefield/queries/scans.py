@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from motefield.functions.color import RAMPS, lookup
@@ -9,20 +11,24 @@ from motefield.functions.photometry import cluster_size_luminosity
 from motefield.operators.resolve import colored, dense
 from motefield.operators.splat import splat
 from motefield.queries.base import CAM, block, ctes, events_as_lines, lit, particle, query, raw, sql_map, star
-from motefield.session import spread
+from motefield.session import shared_folder, spread
 from motefield.sources import catalog, mesh, snapshot, tracks
 
 # ---- parts and layout ------------------------------------------------------------------------
 
 
-@query("a01_multi_part_scan", """
-SELECT 0 AS part_no, l_linenumber % 6 AS ptype, count(*) AS n, round(sum(l_quantity), 3) AS mass
-FROM lineitem GROUP BY l_linenumber % 6""")
+@query("a01_multi_part_scan", ctes("particle") + """
+SELECT (CASE ptype % 3 WHEN 2 THEN 10 ELSE ptype % 3 END)::INTEGER AS part_no, ptype, count(*) AS n, round(sum(mass), 3) AS mass,
+  count(CASE WHEN ptype % 3 <> 1 THEN temperature END) AS n_temperature FROM particle GROUP BY ptype""")
 def a01(spark, folder):
-    parts = snapshot.read_parts(spark, f"{folder}/lineitem.parquet")
-    return parts.groupBy("part_no", (F.col("l_linenumber") % 6).alias("ptype")).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 3).alias("mass")
-    )
+    """Parts 0, 1 and 10 written by the query; part 1 lacks a column. Any one part stands for all."""
+    p, path = particle(spark, folder), f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    for k, no in enumerate((0, 1, 10)):
+        part = p.where(p.ptype % 3 == k)
+        (part.drop("temperature") if no == 1 else part).write.parquet(f"{path}/snap.{no}.parquet")
+    parts = snapshot.read_parts(spark, f"{path}/snap.1.parquet")
+    return parts.groupBy("part_no", "ptype").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("mass"), 3).alias("mass"), F.count("temperature").alias("n_temperature"))
 
 
 @query("a02_union_parts", ctes("particle") + """
@@ -368,10 +374,8 @@ def a22(spark, folder):
 @query("a23_cached_lengths", ctes("particle") + """
 SELECT count(*) AS n, count(DISTINCT hsml) AS lengths, round(sum(hsml), 6) AS total FROM particle""")
 def a23(spark, folder):
-    from motefield.session import shared_folder
-
     p = particle(spark, folder).select("pid", "mass", "temperature", "hsml")
-    where = f"{shared_folder(spark)}/lengths-{abs(hash(folder))}"
+    where = f"{shared_folder(spark)}/lengths-{uuid.uuid4().hex}"
     for _ in range(2):  # the second pass reads what the first wrote
         out = snapshot.cached_lengths(p.drop("hsml"), where, ["pid", "mass", "temperature"], lambda d: p)
     return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hsml").alias("lengths"), F.round(F.sum("hsml"), 6).alias("total"))
@@ -384,3 +388,14 @@ def a24(spark, folder):
     return rounded(rgb.select("pid", "r", "g", "b"), 7, "r", "g", "b")
 
 
+
+
+@query("a24_user_colormap", ctes("particle") + """
+SELECT pid, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM (SELECT pid, (k + (least(k+1, 255) - k)*(u-k))/255e0 AS r,
+  (255 - k + ((255 - least(k+1, 255)) - (255 - k))*(u-k))/255e0 AS g,
+  ((k*k) // 255 + ((least(k+1, 255)*least(k+1, 255)) // 255 - (k*k) // 255)*(u-k))/255e0 AS b
+FROM (SELECT *, floor(u)::BIGINT AS k FROM (SELECT pid, greatest(0e0, least(255e0, x*256e0-0.5e0)) AS u FROM particle)))""")
+def a24_user(spark, folder):
+    """A user's colormap, given as a table of 256 rows."""
+    table = spark.range(256).selectExpr("cast(id as int) idx", "cast(id as int) r", "cast(255 - id as int) g", "cast(id * id div 255 as int) b")
+    return rounded(lookup(particle(spark, folder).select("pid", "x"), "x", table).drop("x"), 6, "r", "g", "b")

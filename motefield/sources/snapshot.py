@@ -12,28 +12,30 @@ from motefield.functions.fields import HSML_NAMES, read_field, xyz
 # Labels of the numbered particle types and header keys of the softening length.
 LABELS = {0: "gas", 1: "halo", 2: "disk", 3: "bulge", 4: "stars", 5: "sinks"}
 SOFTENING_KEYS = ["Softening_Type{p}", "SofteningType{p}", "SofteningComovingType{p}", "Softening_Type_{p}"]
-PART = r"\.(\d+)\.parquet$"
+PART = r"\.(\d+)\.parquet(?:/|$)"
 
 
 # ---- parts -----------------------------------------------------------------------------------
 
 
 def part_number() -> Column:
-    """Part number from the file name: ``stem.<n>.parquet``, 0 where there is none."""
-    text = F.regexp_extract(F.col("_metadata.file_name"), PART, 1)
+    """Part number from the name of the file or of its folder: ``stem.<n>.parquet``, 0 where there is none."""
+    text = F.regexp_extract(F.col("_metadata.file_path"), PART, 1)
     return F.when(text == "", 0).otherwise(text.try_cast("int"))
 
 
-def read_parts(spark: SparkSession, path: str) -> DataFrame:
+def read_parts(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """All parts of a snapshot with ``part_no``; columns are the union over parts, absent ones null.
 
-    ``path`` is a directory, or one part, which stands for all its siblings. A missing path fails.
+    ``path`` is a directory, or one part, which stands for all its siblings. A missing path fails. With a
+    ``schema`` no file is opened to find the columns; without one, Spark merges those of all parts.
     """
     import re
 
     found = re.match(r"(.+)\.(\d+)\.parquet$", path)
     source = f"{found.group(1)}.*.parquet" if found else path
-    scan = spark.read.option("mergeSchema", "true").parquet(source)
+    reader = spark.read.option("mergeSchema", "true") if schema is None else spark.read.schema(schema)
+    scan = reader.parquet(source)
     return scan.select("*", part_number().alias("part_no"))
 
 
