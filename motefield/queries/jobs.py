@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import functions as F
 
 from motefield.functions.fields import FieldSpec
+from motefield.plans.reader import load_stars, read_snapshot
 from motefield.plans.snapshot import field_image, fly_through
 from motefield.queries.aggregates import PIXELS, sql_bisection, sql_entropy
 from motefield.queries.base import CAM, TILTED, block, ctes, lit, particle, query, sql_map, star
 from motefield.queries.fields import snapshot_rows
-from motefield.queries.scans import GRID_SQL, rounded, sql_lookup
+from motefield.queries.scans import AMR_CELLS, AMR_VARS, FACE_CELLS, FACE_VARS, GRID_SQL, SHAPE, amr, faces, rounded, sql_lookup
+from motefield.session import shared_folder
 from motefield.sources import snapshot
 
 
@@ -58,3 +62,45 @@ def p04(spark, folder):
     gas = block(spark, folder).select(F.array("cx", "cy", "cz").alias("Coordinates"), F.col("size").alias("Masses"))
     stars = star(spark, folder).select(F.array("x", "y", "z").alias("Coordinates"), F.col("mass").alias("Masses"), (F.col("mass") * 1e-4 + 1e-2).alias("SmoothingLength"))
     return rounded(snapshot.pool({0: gas, 4: stars}, [0, 4]), 8, "hsml")
+
+
+def written(spark, folder):
+    """The driver tables as snapshots of every layout, in the shared folder."""
+    path = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    faces(spark, folder).write.parquet(f"{path}/faces/blocks")
+    amr(spark, folder).write.parquet(f"{path}/amr/blocks")
+    p = snapshot_rows(spark, folder).withColumnRenamed("KernelMaxRadius", "SmoothingLength")
+    for t in (0, 4):
+        for k in range(2):
+            p.where((p.ptype == t) & (p.pid % 2 == k)).drop("ptype").write.parquet(f"{path}/particles/PartType{t}/snap.{k}.parquet")
+    star(spark, folder).selectExpr(*[f"{a} AS particle_position_{a}" for a in "xyz"], *[f"v{a} AS particle_velocity_{a}" for a in "xyz"],
+                                   "mass AS particle_mass", "2e-2 AS smoothing_length").write.parquet(f"{path}/catalog/PartType4")
+    return path
+
+
+def _part(layout, sql):
+    return f"SELECT '{layout}' AS layout, * FROM ({sql})"
+
+
+_SUMS = "count(*) AS n, round(sum({m}), 3) AS mass, round(sum({h}), 6) AS hsml"
+
+
+@query("a03_read_layouts", " UNION ALL ".join([
+    _part("faces", FACE_CELLS + "SELECT " + _SUMS.format(m="rho*volume", h="cbrt(volume)") + " FROM pos"),
+    _part("amr", AMR_CELLS + "SELECT " + _SUMS.format(m="dens*volume", h="cbrt(volume)") + " FROM cells"),
+    _part("particles", ctes("particle") + "SELECT " + _SUMS.format(m="mass", h="hsml") + " FROM particle WHERE ptype IN (0, 4)"),
+    _part("catalog", ctes("star") + "SELECT " + _SUMS.format(m="mass", h="2e-2") + " FROM star")]))
+def a03_read(spark, folder):
+    """Each layout read from its folder to the pooled particle table."""
+    path = written(spark, folder)
+    pools = {"faces": read_snapshot(spark, f"{path}/faces", shape=SHAPE, variables=FACE_VARS), "amr": read_snapshot(spark, f"{path}/amr", shape=SHAPE, variables=AMR_VARS),
+             "particles": read_snapshot(spark, f"{path}/particles", [0, 4]), "catalog": read_snapshot(spark, f"{path}/catalog")}
+    sums = [t.agg(F.lit(n).alias("layout"), F.count(F.lit(1)).alias("n"), F.round(F.sum("mass"), 3).alias("mass"), F.round(F.sum("hsml"), 6).alias("hsml"))
+            for n, t in pools.items()]
+    return reduce(lambda a, b: a.unionByName(b), sums)
+
+
+@query("p05_load_stars", ctes("star") + """SELECT x, y, z, mass, round(sqrt(vx*vx + vy*vy + vz*vz), 9) AS speed, 2e-2 AS "SmoothingLength" FROM star""")
+def p05(spark, folder):
+    """The star table of a catalog snapshot."""
+    return rounded(load_stars(spark, f"{written(spark, folder)}/catalog"), 9, "speed")
