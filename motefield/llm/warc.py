@@ -3,8 +3,7 @@
 Archives are written by Spark's text writer (record lines end in CRLF, so a row is a record without its last
 line end) and so by its output committer: a task that is lost leaves no half archive. With ``compression``
 gzip each archive is one gzip stream. The reader takes whole archives (plain, one gzip stream or one member
-per record) and parses them by Content-Length. Archives are kept small: rows are dealt at random over
-``ceil(bytes / archive_bytes)`` files.
+per record) and parses them by Content-Length; an archive that is written here has a bounded number of records.
 
 Revisit resolution moves record headers only: they are shuffled by payload digest, the first response of each
 digest is found by an aggregate, and joined back (a digest with many records is looked up by broadcast, see
@@ -66,13 +65,11 @@ def _http(size: Column) -> Column:
     return F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), size.cast("string"), F.lit(CRLF + CRLF))
 
 
-def write_archives(rows: DataFrame, path: str, archive_bytes: int = 8 << 20, compression: str = "gzip",
-                   deal_by: Column | None = None) -> None:
+def write_archives(rows: DataFrame, path: str, archive_records: int = 4000, compression: str = "gzip") -> None:
     """Writes records. ``rows``: ``page_id, uri, date, payload`` (text), and optionally ``record_type`` with
     ``refers_to, refers_uri, refers_date, payload_bytes, digest`` for revisits (their payload is not written).
 
-    ``deal_by`` is a hash that tells rows apart; it deals them over archives. Without it they are dealt by a
-    seeded random number, which only a scan repeats exactly when a task runs again."""
+    Each task writes its rows where they are, cut into archives of at most ``archive_records`` records."""
     payload = F.coalesce(F.col("payload"), F.lit(""))
     if "record_type" in rows.columns:
         kind, size, digest = F.col("record_type"), F.col("payload_bytes"), F.col("digest")
@@ -89,10 +86,8 @@ def write_archives(rows: DataFrame, path: str, archive_bytes: int = 8 << 20, com
         ("WARC-Refers-To-Target-URI", F.when(revisit, _clean(uri))), ("WARC-Refers-To-Date", F.when(revisit, date)),
         ("Content-Type", F.lit("application/http; msgtype=response")),
     ], block)
-    total = rows.agg(F.sum(F.octet_length(payload) + 600)).first()[0] or 0
-    parts = max(1, -(-int(total) // archive_bytes), min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total) >> 20))
-    dealt = rows.select(text.alias("value"), (F.rand(7) if deal_by is None else deal_by).alias("_r")).repartition(parts, "_r").select("value")
-    dealt.write.option("lineSep", CRLF).option("compression", compression).text(path)
+    writer = rows.select(text.alias("value")).write.option("lineSep", CRLF).option("maxRecordsPerFile", archive_records)
+    writer.option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 _PAGE = re.compile(rb"<urn:page:(-?\d+)>")
@@ -191,14 +186,14 @@ def resolve(headers: DataFrame, least: int = 0) -> DataFrame:
         F.when(again, F.col("first.uri")).alias("refers_uri"), F.when(again, F.col("first.date")).alias("refers_date"))
 
 
-def deduplicate(spark: SparkSession, source: str, target: str, least: int = 0, archive_bytes: int = 8 << 20) -> None:
+def deduplicate(spark: SparkSession, source: str, target: str, least: int = 0, archive_records: int = 4000) -> None:
     """Rewrites the archives of ``source`` at ``target``: one response per payload, revisits for the others."""
     light = ("archive", "place", "record_type", "page_id", "uri", "date", "digest", "payload_bytes", "refers_to")
     headers = staged(read_archives(spark, source, payloads=False).select(*light), "headers")
     decisions = staged(resolve(headers, least), "decisions")
-    records = read_archives(spark, source).drop("record_type", "refers_to").join(decisions, ["archive", "place"])
+    records = read_archives(spark, source).drop("record_type", "refers_to").join(decisions.hint("merge"), ["archive", "place"])
     payload = F.when(F.col("record_type") == "response", F.decode("payload", "UTF-8"))
-    write_archives(records.withColumn("payload", payload), target, archive_bytes, deal_by=F.xxhash64("archive", "place"))
+    write_archives(records.withColumn("payload", payload), target, archive_records)
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
