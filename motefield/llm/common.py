@@ -7,6 +7,8 @@ sequences from prefix sums. Memory of a task is a multiple of the slice (or of o
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -37,6 +39,22 @@ def default_parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def worker_cache(key: str, make):
+    """An object that lives in the Python worker process over the tasks of a stage, until `release`."""
+    store = sys.modules.setdefault("_worker_cache", types.ModuleType("_worker_cache")).__dict__.setdefault("held", {})
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
+def release(keep: tuple[str, ...] = ()) -> None:
+    """Drops what earlier stages left in this worker, but for the ``keep`` keys: workers are used again, and a
+    vocabulary or word memory of one stage must not take memory from the next."""
+    held = sys.modules.setdefault("_worker_cache", types.ModuleType("_worker_cache")).__dict__.setdefault("held", {})
+    for key in [k for k in held if k not in keep]:
+        del held[key]
+
+
 # ---------------------------------------------------------------- byte buffers
 
 _PRIME = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
@@ -178,12 +196,13 @@ def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES) -> Iterato
 
 
 def per_text(df: DataFrame, make: Callable[[], Callable], added: str, text: str = "text",
-             keep: list[str] | None = None, rows: bool = True) -> DataFrame:
+             keep: list[str] | None = None, rows: bool = True, holds: tuple[str, ...] = ()) -> DataFrame:
     """Runs a numpy function over slices of a text column.
 
     ``make()`` runs once per task and gives ``fn(texts: Texts, batch)``. With ``rows`` it returns the
     added columns for the same rows, set beside the columns in ``keep`` (default: all; one that clashes
     with an added name is replaced). Without, it returns whole columns of any length (``keep`` is unused).
+    ``holds`` names the `worker_cache` entries the function uses.
     """
     new = T.StructType.fromDDL(added)
     kept = [] if not rows else [f for f in df.schema if f.name not in new.names and (keep is None or f.name in keep)]
@@ -192,6 +211,7 @@ def per_text(df: DataFrame, make: Callable[[], Callable], added: str, text: str
     fields = new.names
 
     def run(batches):
+        release(holds)
         fn = make()
         for batch in batches:
             for part in slices(batch, text):

@@ -25,8 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motefield.llm.common import Texts, _powers, byte_class, hash_spans, mix, per_text, staged
-from motefield.llm.tokens import worker_cache
+from motefield.llm.common import Texts, _powers, byte_class, hash_spans, mix, per_text, release, staged, worker_cache
 
 #: letters once lower-cased; every non-ASCII byte counts as part of one
 ALPHA = byte_class(lambda b: 97 <= b <= 122 or b >= 0x80)
@@ -172,6 +171,7 @@ def learn(rows: DataFrame, vocabulary: str, lang: str = "lang", text: str = "tex
         shared = rows.sparkSession.sparkContext.broadcast(p * SCALE ** vocab.lengths[:, None])
 
         def count(batches):
+            release(("pieces:" + vocabulary,))
             vocab, total = worker_cache("pieces:" + vocabulary, lambda: Vocabulary(vocabulary)), np.zeros((v, n))
             weights = shared.value
             for batch in batches:
@@ -198,7 +198,7 @@ def learn(rows: DataFrame, vocabulary: str, lang: str = "lang", text: str = "tex
 class _Memory:
     """Scores of words a worker has met."""
 
-    MOST = 400_000
+    MOST = 250_000
 
     def __init__(self, languages: int):
         self.known: dict[int, int] = {}
@@ -253,7 +253,7 @@ def predicted(docs: DataFrame, model: LanguageModel, vocabulary: str, text: str
         return fn
 
     got = per_text(docs.withColumn("__letter", F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))), make, "lang_pred string, score double",
-                   text, None if keep is None else [*keep, "__letter"])
+                   text, None if keep is None else [*keep, "__letter"], holds=("pieces:" + vocabulary, "scores:" + key))
     return got.withColumn("lang_pred", F.when(F.col("__letter"), F.col("lang_pred")).otherwise("und")).withColumn(
         "score", F.when(F.col("__letter"), F.col("score")).otherwise(0.0)).drop("__letter")
 

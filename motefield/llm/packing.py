@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motefield.llm.common import Texts, slices
-from motefield.llm.tokens import WordTokenizer, worker_cache
+from motefield.llm.common import Texts, release, slices, worker_cache
+from motefield.llm.tokens import WordTokenizer
 
 PIECES = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>")
 
@@ -93,7 +93,9 @@ def packed(docs: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, g
     ddl = PIECES if with_ids else PIECES.rpartition(",")[0]
 
     def run(table: pa.Table) -> pa.Table:
-        coder = worker_cache("words:" + tokenizer, lambda: WordTokenizer(tokenizer))
+        key = "words:" + tokenizer
+        release((key,))
+        coder = worker_cache(key, lambda: WordTokenizer(tokenizer))
         group = table.column("_group")[0].as_py()
         ids, docs_, counts = [], [], []
         for batch in table.select(["doc_id", "text"]).combine_chunks().to_batches():

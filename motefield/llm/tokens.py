@@ -9,8 +9,6 @@ scripts, apostrophes, ``<|``) goes to the tokenizer whole, so the ids are always
 from __future__ import annotations
 
 import os
-import sys
-import types
 
 import numpy as np
 
@@ -19,14 +17,6 @@ from motefield.llm.common import Texts, expand, hash_spans, mix
 _SPACE, _LETTER, _DIGIT, _OTHER = 0, 1, 2, 3
 
 
-def worker_cache(key: str, make):
-    """An object that lives as long as the Python worker process, over tasks."""
-    store = sys.modules.setdefault("_worker_cache", types.ModuleType("_worker_cache")).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
-
-
 def _classes() -> np.ndarray:
     def kind(b: int) -> int:
         if b == 0x20 or 0x09 <= b <= 0x0D:
@@ -41,32 +31,41 @@ def _classes() -> np.ndarray:
 class WordTokenizer:
     """``encode(texts)`` gives all ids in one array and the number of ids of each text."""
 
-    MOST = 400_000  # words kept; then the memory is emptied, which costs time only
+    MOST = 250_000  # words kept; then the memory is emptied, which costs time only
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.full = path, None
         self.bare = Tokenizer.from_file(path)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
         self.kinds = _classes()
         self._empty()
 
+    @property
+    def whole(self):
+        """The tokenizer as it is, loaded when the first odd piece turns up."""
+        if self.full is None:
+            from tokenizers import Tokenizer
+
+            self.full = Tokenizer.from_file(self.path)
+        return self.full
+
     def _empty(self) -> None:
         self.known: dict[int, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.begin, self.length, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def _learn(self, keys: np.ndarray, spans: list[bytes], odd: np.ndarray) -> None:
-        plain = [s.decode() for s, o in zip(spans, odd) if not o]
-        other = [s.decode() for s, o in zip(spans, odd) if o]
-        got = [np.zeros(0)] * len(keys)
-        for where, enc in ((np.flatnonzero(~odd), self.bare.encode_batch_fast(plain, add_special_tokens=False)),
-                           (np.flatnonzero(odd), self.whole.encode_batch_fast(other, add_special_tokens=False))):
-            for i, e in zip(where, enc):
-                got[i] = e.ids
+        got = [[]] * len(keys)
+        for where, odd_ones in ((np.flatnonzero(~odd), False), (np.flatnonzero(odd), True)):
+            coder = self.whole if odd_ones and len(where) else self.bare
+            for at in range(0, len(where), 2000):  # encodings are large objects: few at a time
+                part = where[at: at + 2000]
+                for i, e in zip(part, coder.encode_batch_fast([spans[i].decode() for i in part], add_special_tokens=False)):
+                    got[i] = e.ids
         sizes = np.array([len(g) for g in got], np.int64)
         n, k = len(self.known), len(keys)
         while n + k > len(self.begin):
