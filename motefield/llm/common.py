@@ -53,6 +53,7 @@ def release(keep: tuple[str, ...] = ()) -> None:
     held = sys.modules.setdefault("_worker_cache", types.ModuleType("_worker_cache")).__dict__.setdefault("held", {})
     for key in [k for k in held if k not in keep]:
         del held[key]
+    pa.default_memory_pool().release_unused()
 
 
 # ---------------------------------------------------------------- byte buffers
