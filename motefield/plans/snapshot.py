@@ -15,16 +15,21 @@ from motefield.operators.splat import accumulate, contributions, splat
 from motefield.session import checkpoint
 
 
-def field_map(pool: DataFrame, cam: Camera, spec: FieldSpec, kernel: str = "cubic_spline") -> DataFrame:
-    """Accumulator of one field; ``pool`` has x, y, z, hsml and the fields the spec names."""
+def field_map(pool: DataFrame, cam: Camera, spec: FieldSpec, kernel: str = "cubic_spline", structured: bool = False) -> DataFrame:
+    """Accumulator of one field; ``pool`` has x, y, z, hsml and the fields the spec names.
+
+    Cells of a ``structured`` mesh are drawn with twice their length, so that neighbours overlap and the map does
+    not show the grid.
+    """
     forward, _, _ = cam.basis()
     weight, qty = single_field(pool, spec, forward, cam.position)
-    return splat(pool, cam, weight, "hsml", qty, kernel)
+    return splat(pool, cam, weight, F.col("hsml") * 2.0 if structured else "hsml", qty, kernel)
 
 
-def field_image(pool: DataFrame, cam: Camera, spec: FieldSpec, colormap: str = "hot", kernel: str = "cubic_spline") -> DataFrame:
+def field_image(pool: DataFrame, cam: Camera, spec: FieldSpec, colormap: str = "hot", kernel: str = "cubic_spline",
+                structured: bool = False) -> DataFrame:
     """Image of one field over its automatic range. The particles are read once."""
-    accum = checkpoint(field_map(pool, cam, spec, kernel))
+    accum = checkpoint(field_map(pool, cam, spec, kernel, structured))
     low, high, log = auto_range(accum, spec.resolve_code, spec.log).first()
     return colored(accum, cam, spec.resolve_code, low, high, log, colormap)
 

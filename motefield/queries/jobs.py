@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from motefield.functions.fields import FieldSpec
 from motefield.plans.reader import load_stars, read_snapshot
-from motefield.plans.snapshot import field_image, fly_through
+from motefield.plans.snapshot import field_image, field_map, fly_through
 from motefield.queries.aggregates import PIXELS, sql_bisection, sql_entropy
 from motefield.queries.base import CAM, TILTED, block, ctes, lit, particle, query, sql_map, star
 from motefield.queries.fields import snapshot_rows
@@ -104,3 +104,13 @@ def a03_read(spark, folder):
 def p05(spark, folder):
     """The star table of a catalog snapshot."""
     return rounded(load_stars(spark, f"{written(spark, folder)}/catalog"), 9, "speed")
+
+
+@query("p06_structured_mesh_map", AMR_CELLS + "," + sql_map(CAM, "cells", tag="6", mass="dens*volume*1e6", hsml="2e0*cbrt(volume)") + " SELECT px, py, round(den, 2) AS density FROM accum6 WHERE den > 1e-30")
+def p06(spark, folder):
+    """Surface density of a block mesh read from its folder, drawn with twice the cell length."""
+    path = f"{shared_folder(spark)}/mesh-{uuid.uuid4().hex}"
+    amr(spark, folder).write.parquet(f"{path}/blocks")
+    pool = read_snapshot(spark, path, shape=SHAPE, variables=AMR_VARS).withColumn("Masses", F.col("mass") * 1e6)
+    accum = field_map(pool, CAM, FieldSpec(), structured=True)
+    return accum.where("den > 1e-30").select("px", "py", F.round("den", 2).alias("density"))
