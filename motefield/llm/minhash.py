@@ -6,12 +6,15 @@ min-hashes of its own; it is cut into ranges for the tasks. Neighbours in an ord
 at least ``SHALLOW`` values are candidates. Depth adapts per region: a region of at most ``LEAF`` nodes gives
 all its pairs; a larger one is split by the next value, down to the whole label, where each node meets its
 next neighbours. With 24 trees a pair at similarity 0.85 shares four values in some tree with
-1 - (1 - 0.85^4)^24 > 0.999 999 98.
+1 - (1 - 0.85^4)^24 > 0.999 999 98 (at 0.8: 0.999 996). Such a pair is a candidate if one of those regions has at most
+``LEAF`` nodes. A larger region may part it, so the nodes of all larger regions that hold several groups once the
+forest's links are made (`crowded`) meet again by their rarest shingles (`rare_pairs`). That is exact: no
+pair of such nodes that reaches the share is left out.
 
 Candidates whose set sizes or min-hashes rule the share out are dropped (`_likely`). The others are confirmed on
 full shingle sets, in two rounds so that large groups of copies stay cheap: first each node with its most
 frequent partner, then every candidate between groups that are still apart. A candidate inside one group needs
-no check, as it cannot change the groups; so no link is lost that the forest finds.
+no check, as it cannot change the groups; so no link is lost that the forest or the rare shingles find.
 
 Null and empty texts, and texts without words, have the empty set and are linked with nothing. Rows with a
 null id are not linked either: their component is null and they are kept. Rows that repeat an id are one
@@ -27,10 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from motefield.llm.common import NOT_SPACE, Texts, gram_hashes, gram_starts, per_text, staged
+from motefield.llm.common import NOT_SPACE, Texts, expand, gram_hashes, mix, per_text, slices, staged
 from motefield.llm.components import components, merged
 
 PERMUTATIONS, TREES, DEPTH, SHALLOW, LEAF, NEXT = 128, 24, 12, 4, 16, 3
+#: bits of the shingle counters; rows of a shingle that go under one salt, and salts at most
+COUNTERS, HOT, SALTS = 20, 512, 64
 
 
 def _constants() -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +188,89 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return walked.where("kind = 0").select("a", "b").union(across).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
 
 
+def crowded(nodes: DataFrame, top: DataFrame) -> DataFrame:
+    """``id, comp``: nodes of regions of ``SHALLOW`` values that hold more than ``LEAF`` nodes and several groups
+    of ``top``. ``nodes``: ``id, sig``."""
+
+    def plant(batches):
+        _, slots = _constants()
+        for batch in batches:
+            if batch.num_rows:
+                sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, PERMUTATIONS)
+                for t in range(TREES):
+                    own = np.ascontiguousarray(sig[:, slots[t][:SHALLOW]]).view(np.int64)[:, 0]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(own), t, np.int8)), pa.array(own), batch.column("id"), batch.column("comp")], ["tree", "label", "id", "comp"])
+
+    named = nodes.select("id", "sig").join(top.select(F.col("u").alias("id"), "v"), "id", "left").select("id", "sig", F.coalesce("v", "id").alias("comp"))
+    spots = named.mapInArrow(plant, "tree byte, label long, id long, comp long")
+    regions = spots.groupBy("tree", "label").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("x"), F.max("comp").alias("y"))
+    regions = staged(regions.where((F.col("n") > LEAF) & (F.col("x") < F.col("y"))).select("tree", "label"), "regions")
+    return spots.join(regions, ["tree", "label"], "left_semi").select("id", "comp").distinct()
+
+
+def rare_pairs(texts: DataFrame, shingle: int, share: int) -> DataFrame:
+    """``a, b, c``: pairs of different groups that share one of their rarest shingles, and how many such. ``texts``:
+    ``id, comp, _text``.
+
+    Shingles have one order, by counters (of buckets of shingles, so no shingle is shuffled for it) and hash. In that order
+    the first shingle that a pair at the share has in common is among the first n - ceil(t n) + 1 of the larger set and the
+    first n - ceil(2 t n / (1 + t)) + 1 of the smaller one, and enough shingles follow it in both. Frequent shingles are
+    salted: rows of the smaller side are dealt out, those of the larger side go to each salt.
+    """
+    shift = np.uint64(64 - COUNTERS)
+
+    def tally(batches):
+        total = np.zeros(1 << COUNTERS, np.int64)
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                for s in shingle_sets(Texts(part.column("_text")), shingle):
+                    np.add.at(total, s >> shift, 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "n"])
+
+    seen = texts.select("_text").mapInArrow(tally, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # 2^COUNTERS rows at most
+    counts = np.zeros(1 << COUNTERS, np.int64)
+    counts[seen["at"].to_numpy()] = seen["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def make():
+        counts = shared.value
+
+        def fn(own, batch):
+            cols = [[], [], [], [], [], []]
+            ids = batch.column("id").to_numpy()
+            deal = mix(ids.view(np.uint64))
+            for row, s in enumerate(shingle_sets(own, shingle)):
+                n, c = len(s), counts[s >> shift]
+                order = np.lexsort((s, c))[: n + share * n // -100 + 1]
+                less = n + 2 * share * n // -(100 + share) + 1
+                at = np.flatnonzero(c[order] > 1)  # a counter of one is a shingle of this text only
+                token, salts = s[order[at]].view(np.int64), np.minimum((c[order[at]] - 1) // HOT + 1, SALTS)
+                low = at < less
+                every = np.repeat(np.arange(len(at)), salts)
+                salt = np.concatenate([deal[row] % salts[low].astype(np.uint64), expand(np.zeros(len(at), np.int64), salts)])
+                pick = np.concatenate([np.flatnonzero(low), every])
+                small = np.arange(len(pick)) < low.sum()
+                for col, v in zip(cols, (token[pick], salt, np.full(len(pick), row), np.full(len(pick), n), at[pick], small)):
+                    col.append(v)
+            token, salt, row, n, at, small = (np.concatenate(c) for c in cols)
+            row = pa.array(row)
+            return {"token": pa.array(token), "salt": pa.array(salt.astype(np.int32)), "id": batch.column("id").take(row), "comp": batch.column("comp").take(row),
+                    "n": pa.array(n.astype(np.int64)), "rest": pa.array((n - at).astype(np.int64)), "small": pa.array(small)}
+
+        return fn
+
+    rows = staged(per_text(texts, make, "token long, salt int, id long, comp long, n long, rest long, small boolean", "_text", rows=False), "rare-shingles")
+    x, y = (rows.where(F.col("small") == side).select("token", "salt", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "comp", "n", "rest")])
+            for side, k in ((True, "x"), (False, "y")))
+    met = x.join(y, ["token", "salt"]).where(
+        (F.col("comp_x") != F.col("comp_y")) & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y"))))
+        & (100 * F.col("n_x") >= share * F.col("n_y"))
+        & ((100 + share) * F.least("rest_x", "rest_y") >= share * (F.col("n_x") + F.col("n_y"))))
+    return met.groupBy(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, share: int) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets have 100 * intersection >= share * union. ``texts``: ``id, _text``."""
 
@@ -236,17 +324,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80, id_col:
         "id", "n_shingles", "node", F.when(F.col("id") == F.col("node"), F.col("sig")).alias("sig")), "members")
     nodes = members.where("id = node").dropDuplicates(["id"])
     pairs = staged(_likely(candidates(nodes), nodes, share), "candidates")
-    used = staged(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate-ids")
-    mine = texts.join(F.broadcast(used) if used.count() <= few else used, "id", "left_semi").dropDuplicates(["id"])
-    mine = staged(mine, "candidate-texts")
-
-    best = pairs.groupBy("b").agg(F.max(F.struct("c", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
-    top = components(staged(confirmed(best, mine, shingle, share), "links"))
-    apart = pairs
-    for c in ("a", "b"):
-        at = top.select(F.col("u").alias(c), F.col("v").alias(f"_{c}"))
-        apart = apart.join(at, c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
-    top = merged(top, staged(confirmed(apart.where("_a != _b"), mine, shingle, share), "links"))
+
+    def chosen(ids, name):
+        used = staged(ids, f"{name}-ids")
+        n = used.count()
+        mine = texts.join(F.broadcast(used) if n <= few else used, "id").dropDuplicates(["id"])
+        return n, staged(mine, f"{name}-texts")
+
+    def linked(top, pairs, mine):
+        best = pairs.groupBy("b").agg(F.max(F.struct("c", -F.col("a"))).alias("x")).select((-F.col("x.col2")).alias("a"), "b")
+        links = staged(confirmed(best, mine, shingle, share), "links")
+        top = components(links) if top is None else merged(top, links)
+        apart = pairs
+        for c in ("a", "b"):
+            at = top.select(F.col("u").alias(c), F.col("v").alias(f"_{c}"))
+            apart = apart.join(at, c, "left").withColumn(f"_{c}", F.coalesce(f"_{c}", c))
+        return merged(top, staged(confirmed(apart.where("_a != _b"), mine, shingle, share), "links"))
+
+    _, mine = chosen(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidate")
+    top = linked(None, pairs, mine)
+    n, mine = chosen(crowded(nodes, top), "crowd")
+    if n:
+        pairs = staged(_likely(rare_pairs(mine, shingle, share), nodes, share), "rare-pairs")
+        top = linked(top, pairs, mine)
     named = members.select("id", "node").distinct().join(top, F.col("node") == F.col("u"), "left").groupBy("id").agg(
         F.min(F.coalesce("v", "node")).alias("component_id"))
     named = staged(named, "named")

@@ -80,6 +80,23 @@ def test_near_without_broadcast_nulls_and_repeats(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [512, 20])
+def test_near_pairs_in_a_crowd(spark, monkeypatch, hot):
+    """Hundreds of documents just under the share; planted pairs just over it share three more words."""
+    monkeypatch.setattr(minhash, "HOT", hot, raising=False)
+    core, rows = " ".join(f"c{i}" for i in range(302)), []
+    for i in range(300):
+        rows.append((i, " ".join([core, *(f"d{i}x{k}" for k in range(27 + i % 5))])))
+    for i in range(30):
+        twin = rows[7 * i][1].split()[:302 + 3] + [f"e{i}x{k}" for k in range(24)]
+        rows.append((1000 - i, " ".join(twin)))
+    sets = {i: shingles(t, 3) for i, t in rows}
+    links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert len(links) == 30
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85)
+    assert {r.id: r.component_id for r in got.collect()} == reachable(sets, links)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 7), (200, 201), (201, 200), (300, 300)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long")).collect())
