@@ -139,15 +139,19 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, text: str = "t
 def _shuffled(docs: DataFrame, wins: DataFrame, sizes: list[int], text: str, id_col: str, keep: list[str] | None) -> DataFrame:
     """The same without a broadcast: all document windows join the benchmark windows on 128 hash bits.
 
-    The result is joined back by ``id_col``, which must be unique here. A window that very many documents
-    share is one row on the benchmark side, so only the document side of its key is large and AQE splits it.
+    The result is joined back by a hash of id and text, which is never null: rows that repeat an id, or have none,
+    are told apart by their texts. A window that very many documents share is one row on the benchmark side, so only the
+    document side of its key is large and AQE splits it.
     """
+    added = [c for c in ("n_words", "n_hit", "items", "spans")]
+    base = docs.select(*[c for c in docs.columns if c not in added])
+    keyed = docs.withColumn("__key", F.xxhash64(F.col(id_col), F.col(text).cast("string")))
 
     def make():
         def fn(texts, batch):
             w = texts.lower().words(ALNUM)
             h = w.hashes()
-            ids = batch.column(id_col).cast(pa.int64())
+            keys = batch.column("__key")
             cols = [[], [], [], [], []]
             for m in sizes:
                 at, g = _grams(w, h, m)
@@ -156,17 +160,15 @@ def _shuffled(docs: DataFrame, wins: DataFrame, sizes: list[int], text: str, id_
                 for col, v in zip(cols, (doc, at - w.first[doc], np.full(len(at), m), g.astype(np.int64), c.astype(np.int64))):
                     col.append(v)
             doc, at, m, g, c = (np.concatenate(x) for x in cols)
-            return {"__id": ids.take(pa.array(doc)), "at": pa.array(at.astype(np.int32)), "m": pa.array(m.astype(np.int32)), "gram": pa.array(g), "check": pa.array(c)}
+            return {"__id": keys.take(pa.array(doc)), "at": pa.array(at.astype(np.int32)), "m": pa.array(m.astype(np.int32)), "gram": pa.array(g), "check": pa.array(c)}
 
         return fn
 
-    spots = per_text(docs.select(id_col, text), make, "__id long, at int, m int, gram long, check long", text, rows=False)
+    spots = per_text(keyed.select("__key", text), make, "__id long, at int, m int, gram long, check long", text, rows=False)
     items = staged(wins.groupBy("m", "gram", "check").agg(F.collect_set("item_id").alias("ids")), "windows")
     found = spots.join(items, ["m", "gram", "check"]).groupBy("__id").agg(
         F.collect_set(F.struct("at", "m")).alias("__at"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("__items"))
-    added = [c for c in ("n_words", "n_hit", "items", "spans")]
-    base = docs.select(*[c for c in docs.columns if c not in added])
-    joined = base.join(found, base[id_col] == found["__id"], "left").drop("__id")
+    joined = keyed.select("__key", *base.columns).join(found, F.col("__key") == F.col("__id"), "left").drop("__id", "__key")
     names = [c for c in base.columns if keep is None or c in keep]
 
     def finish():

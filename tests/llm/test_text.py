@@ -56,6 +56,21 @@ def test_contamination(spark, most):
     assert all(r.n_hit == 0 for r in decontaminate.contamination(docs, bench.limit(0)).collect())
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_contamination_of_null_and_repeated_ids(spark, most):
+    passage = " ".join(f"p{i}" for i in range(13))
+    rows = [(None, f"own {passage}"), (None, "free of it"), (None, None), (1, f"{passage} x"), (1, f"{passage} x"), (1, "short"), (1, f"a b c {passage}"), (2, "y")]
+    bench = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    found = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench, most=most).collect()
+    got = [(r.doc_id, r.text, r.n_words, r.n_hit, r["items"], [tuple(s) for s in r.spans]) for r in found]
+    want = []
+    for i, t in rows:
+        w = (t or "").split()
+        at = w.index("p0") if "p0" in w else None
+        want.append((i, t, len(w), 0, [], []) if at is None else (i, t, len(w), 13, [7], [(at, at + 13)]))
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def test_quality_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
