@@ -9,6 +9,8 @@ the *shape* of a page (labels without text) is small and most pages of a host sh
    host's pages have in the same slot is constant, so part of the template; other texts vary;
 3. content is what varies, outside of elements that by name are not content (`DROP_TAGS`, `DROP_NAMES`). Where
    a shape has an article or main element, only what is inside; else runs of mostly links are left out too.
+   Names do not drop what frames the content: html, body, main, an element around all main elements (without
+   one: all outer articles), nor an article unless another has no such name. ``has-sidebar`` is not a sidebar.
 
 All decisions are made per (host, shape), from counts: no host is gathered in one task, and a host that
 holds a third of all pages costs its distinct shapes. Pages meet their wrapper in one join, split by AQE if
@@ -56,13 +58,16 @@ CONTENT_TAGS = frozenset(("article", "main"))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
+#: a class that says what an element has or lacks is one word: it names no such element
+_MODIFIED = re.compile(r"(?:has|no|with|without)[-_].*|.*[-_]off")
 
 
 def label_of(tag: str, attrs: str) -> str:
     """Tag with the words of its class, id and role; digits are left out."""
     if "=" not in attrs:
         return tag
-    words = sorted({w for m in _ATTR.finditer(attrs) for w in _NAME.findall((m[2] or m[3] or m[4] or "").lower())})
+    names = [c for m in _ATTR.finditer(attrs) for c in (m[2] or m[3] or m[4] or "").lower().split()]
+    words = sorted({w for c in names for w in (["".join(_NAME.findall(c))] if _MODIFIED.fullmatch(c) else _NAME.findall(c))} - {""})
     return ".".join([tag, *words])
 
 
@@ -235,9 +240,41 @@ def tree_match(a: tuple, b: tuple) -> tuple[int, list[tuple[int, int]]]:
     return match(a, b)
 
 
+def _named(label: str) -> bool:
+    return not DROP_NAMES.isdisjoint(label.split(".")[1:])
+
+
 def _dropped(label: str, inside: bool) -> bool:
-    tag, *names = label.split(".")
-    return tag in DROP_TAGS or (tag == "header" and not inside) or not DROP_NAMES.isdisjoint(names)
+    tag = label.split(".")[0]
+    return tag in DROP_TAGS or (tag == "header" and not inside)
+
+
+def _frames(tree: tuple) -> set[int]:
+    """Ids of the nodes that names do not drop: see the module's point 3."""
+    mains, articles, path = [], [], []
+
+    def walk(node, outer):
+        tag = node[0].split(".")[0]
+        if not node[1] or tag in DROP_TAGS:
+            return
+        path.append(node)
+        if tag == "main":
+            mains.append(list(path))
+        elif tag == "article" and outer:
+            articles.append(list(path))
+        for c in node[1]:
+            walk(c, outer and tag != "article")
+        path.pop()
+
+    walk(tree, True)
+    free = {id(p[-1]) for p in mains}
+    if any(not _named(p[-1][0]) for p in articles):
+        articles = [p for p in articles if not _named(p[-1][0])]
+    free |= {id(p[-1]) for p in articles}
+    paths = mains or articles
+    if paths:
+        free |= set.intersection(*({id(n) for n in p} for p in paths))
+    return free
 
 
 def wrapper(shape: str, seed: str) -> tuple[tuple[int, ...], tuple[bool, ...]]:
@@ -249,6 +286,7 @@ def wrapper(shape: str, seed: str) -> tuple[tuple[int, ...], tuple[bool, ...]]:
     for x, y in tree_match(tree, read_shape(seed))[1]:
         slots[x] = y
     keep, inside_any = [False] * tree[3], []
+    free = _frames(tree)
 
     def walk(node, inside, dropped):
         label, children, first, _ = node
@@ -256,7 +294,8 @@ def wrapper(shape: str, seed: str) -> tuple[tuple[int, ...], tuple[bool, ...]]:
             keep[first] = not dropped
             inside_any.append((first, inside and not dropped, label == "#a"))
             return
-        dropped = dropped or _dropped(label, inside)
+        named = _named(label) and label.split(".")[0] not in ("html", "body") and id(node) not in free
+        dropped = dropped or named or _dropped(label, inside)
         inside = inside or (label.split(".")[0] in CONTENT_TAGS and not dropped)
         for c in children:
             walk(c, inside, dropped)

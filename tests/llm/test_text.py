@@ -199,3 +199,21 @@ def test_tree_matching():
     assert extract.tree_match(a, b) == (5, [(1, 0), (2, 1)])
     assert extract.shape_of(extract.parse("<div><p>a<p>b<h1>c</div>"))[1:] == ([0, 0, 1], ["a", "b", "c"])
     assert Texts(__import__("pyarrow").array(["ab", None, "c"])).offs.tolist() == [0, 2, 2, 3]
+
+
+@pytest.mark.parametrize("page", [
+    "<body class='single has-sidebar'><article><p>own</p></article></body>",
+    "<body class='sidebar'><div><p>own</p></div></body>",
+    "<main class='content with-sidebar'><p>own</p></main>",
+    "<article class='post no-comments'><p>own</p></article>",
+    "<article class='post social'><p>own</p></article>",
+    "<div id='page' class='search-off'><p>own</p></div>",
+    "<div class='page sidebar'><main><p>own</p></main></div>",
+    "<article><p>own</p></article><div class='comments'><article class='comment'><p>said</p></article></div>",
+    "<article><p>own</p><div class='related'><p>other</p></div></article><article class='promo'><p>bought</p></article>",
+    "<div><p>own</p></div><div class='sidebar'><p>side</p></div>",
+])
+def test_names_do_not_drop_what_frames_the_content(page):
+    shape, leaf, runs = extract.shape_of(extract.parse(page))
+    keep = extract.wrapper(shape, shape)[1]
+    assert [r for k, r in zip(leaf, runs) if keep[k]] == ["own"]
