@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,18 +30,32 @@ def text_digest(text: str = "text"):
 
 
 class DigestIndex:
-    """``DigestIndex(spark, path)`` opens the index at a shared path, or creates it."""
+    """``DigestIndex(spark, path)`` opens the index at a shared path, or creates it.
+
+    The bucket count is kept in ``path-buckets``, and that of an index that exists counts, not the argument. An index
+    without that table is opened with the argument or the session's setting, which must be those it was made with.
+    """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
         self.table = f"digest_index_{uuid.uuid4().hex[:12]}"
-        buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = self._kept(buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
         self.buckets = buckets
         spark.sql(
             f"CREATE TABLE {self.table} (digest STRING, keep_id BIGINT) USING PARQUET "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _kept(self, buckets: int) -> int:
+        beside = f"{self.path.rstrip('/')}-buckets"
+        try:
+            return self.spark.read.schema("buckets int").parquet(beside).first()["buckets"]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        self.spark.range(1).selectExpr(f"{buckets} AS buckets").write.parquet(beside)
+        return buckets
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 

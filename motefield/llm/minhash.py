@@ -9,7 +9,7 @@ next neighbours. With 24 trees a pair at similarity 0.85 shares four values in s
 1 - (1 - 0.85^4)^24 > 0.999 999 98 (at 0.8: 0.999 996). Such a pair is a candidate if one of those regions has at most
 ``LEAF`` nodes. A larger region may part it, so the nodes of all larger regions that hold several groups once the
 forest's links are made (`crowded`) meet again by their rarest shingles (`rare_pairs`). That is exact: no
-pair of such nodes that reaches the share is left out.
+pair of such nodes that reaches the share is missing from these candidates.
 
 Candidates whose set sizes or min-hashes rule the share out are dropped (`_likely`). The others are confirmed on
 full shingle sets, in two rounds so that large groups of copies stay cheap: first each node with its most

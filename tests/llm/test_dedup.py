@@ -45,6 +45,15 @@ def test_exact_index_grows(spark):
     assert "Exchange" not in again.rows().groupBy("digest").count()._jdf.queryExecution().executedPlan().toString()
 
 
+def test_exact_index_reopens_with_its_own_buckets(spark):
+    digests = spark.range(60).selectExpr("id", "sha2(string(id), 256) AS digest")
+    index = DigestIndex(spark, shared_path(spark, "index"), 8)
+    index.append(digests)
+    again = DigestIndex(spark, index.path, 3)  # as a session with other shuffle partitions opens it
+    again.append(digests)
+    assert again.buckets == 8 and again.rows().count() == 60
+
+
 def shingles(text, n):
     w = blank_words(lower_ascii(text))
     return {tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
