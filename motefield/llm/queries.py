@@ -165,3 +165,19 @@ def op8_line_dedup(spark, folder):
 
     found = line_dedup(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
+def _pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op12_sentencepiece")
+def op12_sentencepiece(spark, folder):
+    from motefield.llm.sentencepieces import decoded, encoded
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decoded(encoded(docs, _pieces(), keep=["doc_id"]), _pieces())
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
