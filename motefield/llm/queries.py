@@ -181,3 +181,11 @@ def op12_sentencepiece(spark, folder):
     found = decoded(encoded(docs, _pieces(), keep=["doc_id"]), _pieces())
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"),
                         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark, folder):
+    from motefield.llm.conversations import damaged, repaired
+
+    turns = table(spark, folder, "conversations")
+    return repaired(damaged(turns), ids=turns)
