@@ -173,6 +173,16 @@ def _pieces() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query("op11_token_alignment")
+def op11_token_alignment(spark, folder):
+    import public_tokenizers
+
+    from motefield.llm.alignment import aligned
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), _pieces(), keep=["doc_id"], digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
 @query("op12_sentencepiece")
 def op12_sentencepiece(spark, folder):
     from motefield.llm.sentencepieces import decoded, encoded
