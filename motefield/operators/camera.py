@@ -127,6 +127,36 @@ def in_frustum(half_tan: float, aspect: float, depth: Column, right_d: Column, u
     return (depth > -h) & (F.abs(right_d) < front * aspect + h) & (F.abs(up_d) < front + h)
 
 
+def _box_test(cam: Camera, low: dict, high: dict, h, least, size) -> list:
+    """Conditions under which a box of particle centres (``low`` to ``high`` per axis, lengths up to ``h``) may touch a pixel.
+
+    Each compares the least distance over the box from one plane of the view; ``least`` and ``size`` work on columns or arrays.
+    """
+    f, r, u = cam.basis()
+
+    def nearest(normal):
+        parts = [least(n * (low[a] - p), n * (high[a] - p)) for n, a, p in zip(normal, "xyz", cam.position)]
+        return parts[0] + parts[1] + parts[2]
+
+    slack = sum(size(low[a]) + size(high[a]) + abs(p) for a, p in zip("xyz", cam.position)) * 1e-9 + h * 1e-9
+    found = [nearest([-n for n in f]) <= slack - cam.clip_near, nearest(f) <= slack + cam.far]
+    for axis, slope in ((r, cam.aspect / cam.focal), (u, 1.0 / cam.focal)):
+        found += [nearest([n * sign - m * slope for n, m in zip(axis, f)]) <= h + slack for sign in (1.0, -1.0)]
+    return found
+
+
+def meets(cam: Camera, low: dict[str, Column], high: dict[str, Column], h: Column) -> Column:
+    """Whether a box may hold a visible particle, as a column; never false for a box with one."""
+    return reduce(lambda a, b: a & b, _box_test(cam, low, high, h, F.least, F.abs))
+
+
+def box_meets(cam: Camera, low: dict, high: dict, h):
+    """As `meets`, for arrays of boxes."""
+    import numpy as np
+
+    return reduce(lambda a, b: a & b, _box_test(cam, low, high, h, np.minimum, np.abs))
+
+
 # ---- cameras as rows -------------------------------------------------------------------------
 
 
@@ -190,21 +220,16 @@ def roll(df: DataFrame, angle: Column) -> DataFrame:
 def zoom_path(start: Camera, target, frames: int, dt: float, tau: float, stop: float) -> list[Camera]:
     """Straight flight to ``target``: distance falls as exp(-t/tau) and is floored at ``stop``.
 
-    Ends early once the floor is reached and more than four e-foldings have passed.
+    The flight has at most ``frames`` frames; its last is the first one at the floor after more than four e-foldings.
     """
     from dataclasses import replace
 
     gap = [t - p for t, p in zip(target, start.position)]
-    d0 = math.sqrt(_dot(gap, gap))
-    heading = [g / max(d0, 1e-30) for g in gap]
-    out = []
-    for i in range(frames):
-        t = i * dt
-        d = max(d0 * math.exp(-t / tau), stop)
-        out.append(replace(start, position=tuple(c - d * h for c, h in zip(target, heading))))
-        if d <= stop and t > 4 * tau:
-            break
-    return out
+    far = math.sqrt(_dot(gap, gap))
+    at_floor = max(0, math.ceil(tau * math.log(far / stop) / dt)) if far > stop > 0 else 0 if far <= stop else frames
+    count = min(frames, max(at_floor, math.floor(4 * tau / dt) + 1) + 1)
+    share = [max(math.exp(-i * dt / tau), stop / max(far, 1e-30)) for i in range(count)]  # of the way that is left
+    return [replace(start, position=tuple(c - s * g for c, g in zip(target, gap))) for s in share]
 
 
 def orbit_path(

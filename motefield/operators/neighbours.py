@@ -1,28 +1,30 @@
-"""Nearest neighbours by grid equi-join, and smoothing lengths from them.
+"""Nearest neighbours by a balanced split of space, and smoothing lengths from them.
 
-1. Positions are merged, so copies of a particle are one row with a multiplicity.
-2. Positions are put in Morton order. The k-th smallest distance to the rows around a position on
-   that curve bounds its true k-th distance from above: a proven search radius, from one range sort.
-3. Each position visits the grid cells its ball touches, at the grid level that fits the radius.
-   Data rows meet it there by equi-join, and distances beyond the radius are dropped.
-4. ``row_number() <= k`` keeps the nearest; Spark limits each group before the exchange.
+1. Medians of a bounded sample cut space into leaves of some ten thousand rows. Rows are dealt to them once, copies merged.
+2. Each leaf finds the k nearest among its own rows. The k-th distance is a proven radius: a row whose ball meets the bounds of
+   no other leaf is done.
+3. The others visit the leaves their balls meet (with a period, also as images), which send back at most k distances each.
+4. A leaf merges what its rows were sent.
 
-The result is exact, no candidate is capped, and one pass finishes every row. Smoothing lengths that lie beyond
-the k-th neighbour are solved over all rows in reach, by sums instead of lists.
+The exchanges are keyed by leaf, none by row. The result is exact and no candidate is capped; the sample decides the balance
+only. A leaf that very many rows visit is split by salts. Smoothing lengths that lie beyond the k-th neighbour are solved
+over all rows in reach, by sums instead of lists, that visit the leaves in the same way.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motefield.operators.skew import salted_join
+from motefield.operators.kdtree import Cloud, Leaves, far_from, kernel_sums, nearest_in
 from motefield.session import checkpoint
 
 # the Arrow helpers travel with the job, so executors need no installed copy of this package
@@ -30,185 +32,198 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 K = 50
 TARGET = 32
-MORTON_BITS = 20
-MAX_LEVEL = 40
+LEAF = 16_384  # rows of a leaf, as long as that makes at most 2^DEPTH leaves
+SMALL = 2048  # leaves are not made smaller than this for the sake of more tasks
+DEPTH = 14
+VISITS = 4 * LEAF  # a leaf with more visits is split
+TRIALS = 128
 
+POINT = "x double, y double, z double, copies long"
 
-def merged_positions(df: DataFrame) -> DataFrame:
-    return df.groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("copies"))
 
+# ---- leaves ----------------------------------------------------------------------------------
 
-def _spread_bits(v: Column) -> Column:
-    """20 bits of ``v`` moved to every third bit. Fixed masks of the usual bit-spreading steps."""
-    for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F),
-                        (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
-    return v
 
+def _xyz(table) -> np.ndarray:
+    return np.stack([table.column(a).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(a).to_numpy()
+                     for a in "xyz"], axis=1)
 
-def box_of(df: DataFrame) -> dict[str, float]:
-    """Lower corner, longest side and row count, from one small aggregate."""
-    row = df.agg(*[f(a).alias(n + a) for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))],
-                 F.count(F.lit(1)).alias("n")).first()
-    if not row["n"]:
-        return {"n": 0, "x": 0.0, "y": 0.0, "z": 0.0, "side": 1.0}
-    side = max(row["hi" + a] - row["lo" + a] for a in "xyz") or 1.0
-    return {"n": row["n"], **{a: row["lo" + a] for a in "xyz"}, "side": side * (1 + 1e-9)}
 
+def _merged(xyz: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal rows as one, with the sum of their copies."""
+    order = np.lexsort(xyz.T)
+    xyz, copies = xyz[order], copies[order]
+    first = np.ones(len(xyz), bool)
+    first[1:] = (xyz[1:] != xyz[:-1]).any(axis=1)
+    at = np.flatnonzero(first)
+    return xyz[at], np.add.reduceat(copies, at) if len(at) else copies
 
-def morton(box: dict[str, float], scale: float = 1.0, shift: float = 0.0) -> Column:
-    bits = []
-    for i, a in enumerate("xyz"):
-        cell = F.floor(((F.col(a) - box[a]) / box["side"] * scale + shift) * float(1 << MORTON_BITS)).cast("long")
-        bits.append(F.shiftleft(_spread_bits(cell), i))
-    return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2])
 
+def _list_column(values: np.ndarray) -> pa.ListArray:
+    """Rows of a matrix as lists, without their infinite ends."""
+    ok = np.isfinite(values)
+    offsets = np.concatenate([[0], np.cumsum(ok.sum(axis=1))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[ok]))
 
-def _gap(a: Column, b: Column, period: float | None) -> Column:
-    d = F.abs(a - b)
-    return d if period is None else F.least(d, F.lit(period) - d)
 
-
-def _radii(block: np.ndarray, first: int, ks: Sequence[int], reach: int, period: float | None) -> np.ndarray:
-    """k-th smallest distance from each row (from ``first`` on) to the rows within ``reach`` in curve order."""
-    n = len(block)
-    rows = np.arange(first, n)
-    around = rows[:, None] + np.arange(-reach, reach + 1)[None, :]
-    inside = (around >= 0) & (around < n)
-    gap = np.abs(block[np.clip(around, 0, n - 1)] - block[rows][:, None, :])
-    if period is not None:
-        gap = np.minimum(gap, period - gap)
-    d2 = np.where(inside, (gap * gap).sum(axis=2), np.inf)
-    at = [min(k, 2 * reach + 1) - 1 for k in ks]
-    return np.sqrt(np.partition(d2, sorted(set(at)), axis=1)[:, at])
-
-
-def search_radius(points: DataFrame, box, ks: Sequence[int], period: float | None) -> DataFrame:
-    """Adds ``radii``: an upper bound of the k-th distance for every k.
-
-    The curve is cut by range; each task walks its sorted rows in Arrow batches and keeps the last
-    rows of a batch as context for the next, so it holds a few thousand rows at a time. Two curves
-    with different origins are walked and the smaller bound counts: where one jumps across the box
-    just behind the start of a range, the other runs on.
-    """
-    reach = 2 * max(ks)
-    step = 2048
-    whole = 2.0 * box["side"]
-    tasks = max(1, min(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), box["n"] // (8 * reach) or 1))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        context = np.empty((0, 3))
-        for pdf in batches:
-            for start in range(0, len(pdf), step):
-                part = pdf.iloc[start : start + step]
-                xyz = np.concatenate([context, part[["x", "y", "z"]].to_numpy()])
-                r = _radii(xyz, len(context), ks, reach, period) * (1 + 1e-9)
-                # too few rows prove nothing: search the whole box
-                r = np.where(np.isfinite(r), r, whole)
-                if "radii" in part:
-                    r = np.minimum(r, np.stack(part["radii"].to_numpy()))
-                yield part[["x", "y", "z", "copies"]].assign(radii=list(r))
-                context = xyz[-2 * reach :]
-
-    out = points
-    for scale, shift in ((1.0, 0.0), (0.5, 0.29)):
-        coded = out.withColumn("code", morton(box, scale, shift))
-        ordered = coded.repartitionByRange(tasks, "code").sortWithinPartitions("code", "x", "y", "z").drop("code")
-        out = ordered.mapInPandas(run, "x double, y double, z double, copies long, radii array<double>")
+def _matrix(column, k: int) -> np.ndarray:
+    """Lists as rows of a matrix, filled with infinity."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    size = column.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.full((len(size), k), np.inf)
+    out[np.arange(k) < size[:, None]] = column.flatten().to_numpy()
     return out
 
 
-def _level(radius: Column, side: float) -> Column:
-    """Grid whose cell edge is between half the radius and the radius: a ball touches some 20 to 85 cells."""
-    steps = F.ceil(F.log2(side / F.greatest(radius, F.lit(side * 2.0**-MAX_LEVEL))))
-    return F.greatest(F.lit(0), F.least(F.lit(MAX_LEVEL), steps)).cast("int")
-
-
-def _cells(level: Column) -> Column:
-    """Cells per axis at a grid level."""
-    return F.call_function("shiftleft", F.lit(1).cast("long"), level)
-
-
-def _cell(v: Column, low: float, side: float, level: Column) -> Column:
-    cell = F.floor((v - low) / side * _cells(level)).cast("long")
-    # never null: a join key that could be null makes Spark filter it again below every projection
-    return F.coalesce(cell, F.lit(0).cast("long"))
+@dataclass
+class Space:
+    """Rows dealt to leaves: ``rows`` has ``leaf, i, x, y, z, copies``, ``d``, ascending distances to the nearest of the own leaf, and
+    ``to``, the leaves that may hold nearer ones."""
+
+    rows: DataFrame
+    k: int
+    period: float | None
+    parts: int
+    low: np.ndarray
+    high: np.ndarray
+
+
+def _images(period: float | None) -> list[tuple[int, np.ndarray]]:
+    """Number and shift of each image of the box; 13 is the box itself."""
+    if period is None:
+        return [(13, np.zeros(3))]
+    return [(s, (np.array([s % 3, s // 3 % 3, s // 9]) - 1) * period) for s in range(27)]
+
+
+def _met(xyz: np.ndarray, reach: np.ndarray, low: np.ndarray, high: np.ndarray, images, skip: int = -1) -> pa.ListArray:
+    """For each row, numbers of the leaves (times 27, plus the image) that its ball meets, but for the leaf ``skip`` itself."""
+    far = reach * (1 + 1e-12)
+    row, number = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s, shift in images:
+        near = np.flatnonzero(far_from(xyz.min(axis=0) + shift, xyz.max(axis=0) + shift, low, high) <= far.max() ** 2)
+        for leaf in near[(near != skip) | (s != 13)]:
+            gap = np.maximum(np.maximum(low[leaf] - xyz - shift, xyz + shift - high[leaf]), 0.0)
+            hit = np.flatnonzero((gap * gap).sum(axis=1) <= far * far)
+            row.append(hit)
+            number.append(np.full(len(hit), 27 * leaf + s))
+    row, number = np.concatenate(row), np.concatenate(number)
+    order = np.argsort(row, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(xyz)))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(number[order].astype(np.int32)))
+
+
+def space_of(df: DataFrame, k: int, period: float | None) -> Space | None:
+    """Deals the rows of ``x, y, z`` to leaves and searches each for itself. Rows with a null coordinate are left out."""
+    rows = df.select(*(F.col(a).cast("double").alias(a) for a in "xyz")).where("x is not null and y is not null and z is not null")
+    rows = rows.select(*((F.col(a) + F.lit(0.0)).alias(a) for a in "xyz"))  # no negative zeros
+    n = rows.count()
+    if not n:
+        return None
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(n / LEAF, min(2 * tasks, n / SMALL), 1)
+    depth = min(DEPTH, int(np.ceil(np.log2(wanted))))
+    size = max(4096, 64 << depth)  # of the sample, whatever n is; copies are in it together
+    sample = rows.where(F.pmod(F.xxhash64("x", "y", "z"), F.lit(max(1, n // size))) == 0).distinct().limit(4 * size).toPandas()
+    leaves = Leaves.of(sample[["x", "y", "z"]].to_numpy(), depth)
+    low, high = leaves.boxes(-np.inf, np.inf) if period is None else leaves.boxes(0.0, float(period))
+    parts = 1 << leaves.depth
+    half, images = None if period is None else period / 2, _images(period)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                xyz, copies = _merged(_xyz(batch), np.ones(batch.num_rows, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(leaves.number(xyz).astype(np.int32)), *(pa.array(xyz[:, a]) for a in range(3)),
+                                                  pa.array(copies)], ["leaf", "x", "y", "z", "copies"])
+
+    def search(table: pa.Table) -> pa.Table:
+        leaf = table.column("leaf")[0].as_py()
+        cloud = Cloud(*_merged(_xyz(table), table.column("copies").to_numpy()))
+        m = len(cloud.xyz)
+        d = np.sqrt(nearest_in(cloud, cloud, np.full(m, np.inf), k, half))
+        return pa.table([pa.array(np.full(m, leaf, np.int32)), pa.array(np.arange(m, dtype=np.int32)), *(pa.array(cloud.xyz[:, a]) for a in range(3)),
+                         pa.array(cloud.copies), _list_column(d), _met(cloud.xyz, d[:, k - 1], low, high, images, leaf)],
+                        ["leaf", "i", "x", "y", "z", "copies", "d", "to"])
+
+    dealt = rows.mapInArrow(deal, f"leaf int, {POINT}").repartition(parts, "leaf")
+    found = checkpoint(dealt.groupBy("leaf").applyInArrow(search, f"leaf int, i int, {POINT}, d array<double>, to array<int>"))
+    return Space(found, k, period, parts, low, high)
+
+
+def visit(space: Space, rows: DataFrame, carry: Sequence[str], search: Callable, schema: str) -> DataFrame:
+    """Sends every row (with its ``carry`` columns) to the leaves in ``to`` and runs ``search(leaf rows, visitors)`` there.
+
+    Visitors have ``home, i`` and coordinates moved to the image in question. Leaves nobody visits are not read.
+    """
+    calls = rows.select(F.col("leaf").alias("home"), "i", "x", "y", "z", *carry, F.explode("to").alias("to"))
+    counts = calls.groupBy(F.expr("to div 27").cast("int").alias("leaf")).count().withColumn("salts", F.ceil(F.col("count") / VISITS).cast("int"))
+    spark = rows.sparkSession
+    asked = spark.createDataFrame([(r["leaf"], r["salts"]) for r in counts.collect()], "leaf int, salts int")  # at most one row per leaf
+    step = float(space.period or 0.0)
+    moved = [(F.col(a) + (F.expr(f"to % 27 div {3**k} % 3") - 1) * step).alias(a) for k, a in enumerate("xyz")]
+    calls = calls.select("home", "i", *moved, *carry, F.expr("to div 27").cast("int").alias("leaf")).join(F.broadcast(asked), "leaf")
+    calls = calls.withColumn("salt", F.pmod(F.hash("home", "i"), F.col("salts"))).drop("salts")
+    data = space.rows.select("leaf", "x", "y", "z", "copies").join(F.broadcast(asked), "leaf")
+    data = data.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    keys = ["leaf", "salt"]
+    left, right = (t.repartition(space.parts, *keys).groupBy(*keys) for t in (data, calls))
+    return left.cogroup(right).applyInArrow(search, schema)
 
 
-def prepare(df: DataFrame, ks: Sequence[int], period: float | None) -> tuple[DataFrame, dict]:
-    """Merged positions with a row id and a search radius for every k, and their box."""
-    points = checkpoint(merged_positions(df.where("x is not null and y is not null and z is not null")))
-    box = box_of(points)
-    if period is not None:
-        box = {**box, "x": 0.0, "y": 0.0, "z": 0.0, "side": float(period)}
-    # ids are given once and stored: a task that is run again must not number its rows anew
-    marked = search_radius(points, box, ks, period).withColumn("id", F.monotonically_increasing_id())
-    return checkpoint(marked), box
+# ---- nearest neighbours ----------------------------------------------------------------------
 
 
 def nearest(df: DataFrame, k: int = K, period: float | None = None) -> DataFrame:
     """``x, y, z, distances``: sorted distances to the k nearest rows of each position, itself included.
 
     With a period L the box is periodic on every axis. Fewer than k entries come back only if the
-    table has fewer rows.
+    table has fewer rows. Rows with a null coordinate have no neighbours and no row here.
     """
-    points, box = prepare(df, [k], period)
-    return nearest_of(points, box, k, 0, period)
-
-
-def nearest_of(points: DataFrame, box: dict, k: int, slot: int, period: float | None = None,
-               only: DataFrame | None = None) -> DataFrame:
-    """As :func:`nearest`, on prepared points with the radius in ``slot``, for all or ``only`` some ids."""
-    asked = points if only is None else points.join(only.select("id"), "id", "left_semi")
-    asked = asked.withColumn("radius", F.get("radii", F.lit(slot)))
-    asked = asked.withColumn("level", _level(F.col("radius"), box["side"]))
-    # positions with k or more copies are done: all k distances are 0
-    done = asked.where(F.col("copies") >= k).select("id", F.array_repeat(F.lit(0.0), k).alias("distances"))
-
-    pairs = _pairs(points, box, asked.where(F.col("copies") < k), period, thin=only is not None)
-    order = Window.partitionBy("id").orderBy("d2")
-    near = pairs.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
-    # at most k rows per position from here on
-    lists = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.sqrt("d2").alias("d"), "copies"))).alias("e"))
-    flat = F.flatten(F.transform("e", lambda e: F.array_repeat(e["d"], F.least(e["copies"], F.lit(k)).cast("int"))))
-    lists = lists.select("id", F.slice(flat, 1, k).alias("distances")).unionByName(done)
-    return points.select("id", "x", "y", "z").join(lists, "id")
-
-
-def _pairs(points: DataFrame, box: dict, asked: DataFrame, period: float | None, thin: bool, carry: Sequence[str] = ()) -> DataFrame:
-    """``id, copies, d2`` and the ``carry`` columns: every row of ``points`` within ``radius`` of an asked
-    position (``id, x, y, z, radius, level``). ``thin``: few are asked, so cells nobody visits are dropped first."""
-    visits = asked.select("id", "x", "y", "z", "radius", "level", *carry)
-    edge = F.lit(box["side"]) / _cells(F.col("level"))
-    miss = F.lit(0.0)
-    for a in "xyz":
-        lo = _cell(F.col(a) - F.col("radius"), box[a], box["side"], F.col("level"))
-        hi = _cell(F.col(a) + F.col("radius"), box[a], box["side"], F.col("level"))
-        if period is None:
-            lo, hi = F.greatest(lo, F.lit(0)), F.least(hi, _cells(F.col("level")) - 1)
-        else:  # no cell twice, should the ball be wider than the box
-            hi = F.least(hi, lo + _cells(F.col("level")) - 1)
-        visits = visits.withColumn(f"c{a}", F.explode(F.sequence(lo, hi)))
-        gap = F.greatest(box[a] + F.col(f"c{a}") * edge - F.col(a), F.col(a) - box[a] - (F.col(f"c{a}") + 1) * edge, F.lit(0.0))
-        miss = miss + gap * gap
-    if period is None:  # cells the ball does not reach
-        visits = visits.where(miss <= F.col("radius") * F.col("radius") * (1 + 1e-6))
-    else:
-        visits = visits.withColumns({f"c{a}": F.pmod(F.col(f"c{a}"), _cells(F.col("level"))) for a in "xyz"})
-    visits = visits.select("id", F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("z").alias("qz"),
-                           (F.col("radius") * F.col("radius")).alias("reach2"), "level", "cx", "cy", "cz", *carry)
-
-    levels = [r["level"] for r in asked.select("level").distinct().collect()]  # at most MAX_LEVEL + 1
-    data = points.select("x", "y", "z", "copies", F.explode(F.array(*[F.lit(v) for v in sorted(levels) or [0]])).alias("level"))
-    data = data.withColumns({f"c{a}": _cell(F.col(a), box[a], box["side"], F.col("level")) for a in "xyz"})
-    keys = ["level", "cx", "cy", "cz"]
-    if thin:
-        data = data.join(visits.select(*keys).distinct(), keys, "left_semi")
-
-    pairs = salted_join(data, visits, keys, ["x", "y", "z"])
-    gaps = [_gap(F.col(a), F.col(f"q{a}"), period) for a in "xyz"]
-    d2 = gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]
-    return pairs.select("id", "reach2", "copies", d2.alias("d2"), *carry).where("d2 <= reach2").drop("reach2")
+    space = space_of(df, k, period)
+    if space is None:
+        return df.sparkSession.createDataFrame([], "x double, y double, z double, distances array<double>")
+    return nearest_of(space).select("x", "y", "z", F.col("d").alias("distances"))
+
+
+def nearest_of(space: Space) -> DataFrame:
+    """``leaf, i, x, y, z, d`` with the distances over all leaves."""
+    k, half = space.k, None if space.period is None else space.period / 2
+    far = F.coalesce(F.get("d", F.lit(k - 1)), F.lit(float("inf")))
+    done = space.rows.where(F.size("to") == 0).select("leaf", "i", "x", "y", "z", "d")
+    open_ = space.rows.where(F.size("to") > 0).withColumn("reach", far)
+
+    def search(data: pa.Table, calls: pa.Table) -> pa.Table:
+        found = np.zeros((0, k))
+        queries = Cloud(_xyz(calls))
+        if calls.num_rows and data.num_rows:
+            reach = calls.column("reach").to_numpy()[queries.order] * (1 + 1e-12)
+            found = nearest_in(Cloud(_xyz(data), data.column("copies").to_numpy()), queries, reach * reach, k, half)
+        any_ = np.isfinite(found[:, 0])
+        order = pa.array(queries.order[: len(found)][any_])
+        return pa.table([calls.column("home").take(order), calls.column("i").take(order), _list_column(np.sqrt(found[any_]))], ["home", "i", "more"])
+
+    found = visit(space, open_, ["reach"], search, "home int, i int, more array<double>")
+
+    def merge(own: pa.Table, more: pa.Table) -> pa.Table:
+        d = _matrix(own.column("d"), k)
+        place = np.zeros(int(own.column("i").to_numpy().max()) + 1 if own.num_rows else 0, np.int64)
+        place[own.column("i").to_numpy()] = np.arange(own.num_rows)
+        row = place[more.column("i").to_numpy()]
+        order = np.argsort(row, kind="stable")
+        lists, row = _matrix(more.column("more"), k)[order], row[order]
+        turn = np.arange(len(row)) - np.searchsorted(row, row)  # one list of every row at a time
+        for t in range(int(turn.max()) + 1 if len(turn) else 0):
+            now = turn == t
+            d[row[now]] = np.sort(np.concatenate([d[row[now]], lists[now]], axis=1), axis=1)[:, :k]
+        return pa.table([*(own.column(c) for c in ("leaf", "i", "x", "y", "z")), _list_column(d)], ["leaf", "i", "x", "y", "z", "d"])
+
+    own = open_.select("leaf", "i", "x", "y", "z", "d").repartition(space.parts, "leaf").groupBy("leaf")
+    joined = own.cogroup(found.repartition(space.parts, "home").groupBy("home")).applyInArrow(
+        merge, "leaf int, i int, x double, y double, z double, d array<double>")
+    return done.unionByName(joined)
+
+
+# ---- smoothing lengths -----------------------------------------------------------------------
 
 
 def usable_period(df: DataFrame, box_size: float | None) -> float | None:
@@ -257,63 +272,94 @@ def solve_lengths(lists: DataFrame, k: int, target: float = TARGET, steps: int =
 
     ``solved`` is false where the neighbour number at the last distance is still below the target.
     """
-    schema = "id long, x double, y double, z double, hsml double, solved boolean, last double"
+    schema = "leaf int, i int, x double, y double, z double, hsml double, solved boolean, last double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                sizes = pdf["distances"].str.len().to_numpy()
+                sizes = pdf["d"].str.len().to_numpy()
                 dist = np.full((len(pdf), sizes.max()), np.inf)
-                dist[np.arange(sizes.max()) < sizes[:, None]] = np.concatenate(pdf["distances"].to_numpy())
+                dist[np.arange(sizes.max()) < sizes[:, None]] = np.concatenate(pdf["d"].to_numpy())
                 h, ok, last = _solve(dist, sizes, k, target, steps)
-                yield pdf[["id", "x", "y", "z"]].assign(hsml=h, solved=ok, last=last)
-
-    return lists.select("id", "x", "y", "z", "distances").mapInPandas(run, schema)
-
-
-TRIALS = 32
-
-
-def _narrowed(points: DataFrame, box: dict, open_: DataFrame, period: float | None, target: float) -> DataFrame:
-    """One pass over the brackets ``lo..hi``: the neighbour number at TRIALS + 1 radii of each, summed over all
-    rows within ``hi`` by a hash aggregate (no lists, so no limit); the step that reaches the target is kept."""
-    asked = open_.withColumn("radius", F.col("hi")).withColumn("level", _level(F.col("hi"), box["side"]))
-    pairs = _pairs(points, box, asked, period, thin=True, carry=["lo", "hi"])
-    trial = pairs.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(TRIALS))))
-    h = F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("j") / TRIALS
-    u = F.sqrt("d2") / h
-    w = F.when(u <= 0.5, 1 - 6 * u * u * (1 - u)).when(u < 1, 2 * (1 - u) * (1 - u) * (1 - u)).otherwise(0.0)
-    sums = trial.groupBy("id", "j").agg((F.sum(F.col("copies") * w) * (32.0 / 3.0)).alias("n"))
-    steps = sums.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("j", "n"))).alias("s"))  # TRIALS + 1 each
-    first = F.coalesce(F.array_min(F.transform(F.filter("s", lambda e: (e["n"] >= target) & (e["j"] > 0)), lambda e: e["j"])), F.lit(TRIALS))
-    steps = steps.withColumn("j", first).select("id", "j", F.get("s", F.col("j") - 1)["n"].alias("n_lo"), F.get("s", F.col("j"))["n"].alias("n_hi"))
-    width = (F.col("hi") - F.col("lo")) / TRIALS
-    out = open_.drop("n_lo", "n_hi").join(steps, "id")
-    return out.select("id", "x", "y", "z", (F.col("lo") + width * (F.col("j") - 1)).alias("lo"), (F.col("lo") + width * F.col("j")).alias("hi"), "n_lo", "n_hi")
-
-
-def smoothing_lengths(df: DataFrame, k: int = K, target: float = TARGET, box_size: float | None = None, passes: int = 4) -> DataFrame:
+                yield pdf[["leaf", "i", "x", "y", "z"]].assign(hsml=h, solved=ok, last=last)
+
+    return lists.select("leaf", "i", "x", "y", "z", "d").mapInPandas(run, schema)
+
+
+def _narrowed(space: Space, open_: DataFrame, target: float) -> DataFrame:
+    """One pass over the brackets ``lo..hi``: the neighbour number at TRIALS + 1 radii of each, summed over the rows within
+    ``hi`` in every leaf it meets. The step that reaches the target is the new bracket, and ``cut`` the solution of a parabola
+    through it and the radius next to it."""
+    half, images = None if space.period is None else space.period / 2, _images(space.period)
+    low, high = space.low, space.high
+    parts = np.arange(TRIALS + 1) / TRIALS
+    names = ["lo", "hi", "x0", "y0", "z0"]
+    rows = open_.select("leaf", "i", "x", "y", "z", "lo", "hi", *(F.col(a).alias(f"{a}0") for a in "xyz"))  # x0: where it is, not its image
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, _met(_xyz(batch), batch.column("hi").to_numpy(), low, high, images)], [*batch.schema.names, "to"])
+
+    def search(data: pa.Table, calls: pa.Table) -> pa.Table:
+        queries = Cloud(_xyz(calls))
+        order = pa.array(queries.order)
+        lo, hi = (calls.column(c).to_numpy()[queries.order][:, None] for c in ("lo", "hi"))
+        sums = kernel_sums(Cloud(_xyz(data), data.column("copies").to_numpy()), queries, lo + (hi - lo) * parts, half) if calls.num_rows else np.zeros((0, len(parts)))
+        return pa.table([*(calls.column(c).take(order) for c in ("home", "i", *names)), _list_column(sums)], ["leaf", "i", *names, "sums"])
+
+    def step(table: pa.Table) -> pa.Table:
+        _, first, row = np.unique(table.column("i").to_numpy(), return_index=True, return_inverse=True)
+        n = np.zeros((len(first), len(parts)))
+        np.add.at(n, row, _matrix(table.column("sums"), len(parts)) * (32.0 / 3.0))
+        pick = table.take(pa.array(first))
+        lo, hi = pick.column("lo").to_numpy(), pick.column("hi").to_numpy()
+        h = lo[:, None] + (hi - lo)[:, None] * parts
+        over = n >= target
+        over[:, 0] = False
+        j = np.where(over.any(axis=1), over.argmax(axis=1), TRIALS)
+        at = np.arange(len(first))
+        cut = _crossed(target, *(m[at, c] for c in (j - 1, j, np.where(j < TRIALS, j + 1, j - 2)) for m in (n, h)))
+        return pa.table([*(pick.column(c) for c in ("leaf", "i", "x0", "y0", "z0")), *(pa.array(v) for v in (h[at, j - 1], h[at, j], cut))],
+                        ["leaf", "i", "x", "y", "z", "lo", "hi", "cut"])
+
+    met = rows.mapInArrow(meet, rows.select("*", F.array(F.lit(0)).alias("to")).schema)
+    sums = visit(space, met, names, search, "leaf int, i int, lo double, hi double, x0 double, y0 double, z0 double, sums array<double>")
+    return sums.repartition(space.parts, "leaf").groupBy("leaf").applyInArrow(
+        step, "leaf int, i int, x double, y double, z double, lo double, hi double, cut double")
+
+
+def _crossed(target: float, n0, h0, n1, h1, n2, h2) -> np.ndarray:
+    """Where h(n), a parabola through three points, is at the target; a line through the first two if it leaves their range."""
+    flat = n1 <= n0
+    line = np.where(flat, 0.5 * (h0 + h1), h0 + (h1 - h0) * np.clip((target - n0) / np.where(flat, 1.0, n1 - n0), 0.0, 1.0))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        bow = (h0 * (target - n1) * (target - n2) / ((n0 - n1) * (n0 - n2)) + h1 * (target - n0) * (target - n2) / ((n1 - n0) * (n1 - n2))
+               + h2 * (target - n0) * (target - n1) / ((n2 - n0) * (n2 - n1)))
+        return np.where((bow >= h0) & (bow <= h1), bow, line)
+
+
+def smoothing_lengths(df: DataFrame, k: int = K, target: float = TARGET, box_size: float | None = None, passes: int = 2) -> DataFrame:
     """``x, y, z, hsml`` per position: the h at which the neighbour number over *all* rows is ``target``.
 
     Most rows find it within their k nearest. For the others it lies beyond the k-th distance d, and below 2d
     (k rows at half of h count k·8/3, more than the target): their brackets are narrowed over all rows they
-    hold, 32 times a pass, and the last one is cut by a line, an error of about 1e-12 of h after four.
+    hold, 128 times a pass, and the last one is cut by a parabola, an error of about 1e-11 of h after two.
     A table of so few rows that none can reach the target gives the farthest distance. Rows with a null
     coordinate have no neighbours and no row here.
     """
-    period = usable_period(df, box_size)
     k = max(k, int(np.ceil(3 * target / 8)) + 1)
-    points, box = prepare(df, [k], period)
-    solved = checkpoint(solve_lengths(nearest_of(points, box, k, 0, period), k, target))
+    space = space_of(df, k, usable_period(df, box_size))
+    if space is None:
+        return df.sparkSession.createDataFrame([], "x double, y double, z double, hsml double")
+    solved = checkpoint(solve_lengths(nearest_of(space), k, target))
     out = solved.where("solved").select("x", "y", "z", "hsml")
-    open_ = solved.where("not solved").select("id", "x", "y", "z", F.col("last").alias("lo"), (F.col("last") * 2).alias("hi"))
+    open_ = solved.where("not solved").select("leaf", "i", "x", "y", "z", F.col("last").alias("lo"), (F.col("last") * 2).alias("hi"))
     if open_.isEmpty():
         return out
     for _ in range(passes):
-        open_ = checkpoint(_narrowed(points, box, open_, period, target))
-    cut = (F.lit(float(target)) - F.col("n_lo")) / (F.col("n_hi") - F.col("n_lo"))
-    cut = F.when(F.col("n_hi") > F.col("n_lo"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), cut))).otherwise(0.5)
-    return out.unionByName(open_.select("x", "y", "z", (F.col("lo") + (F.col("hi") - F.col("lo")) * cut).alias("hsml")))
+        open_ = checkpoint(_narrowed(space, open_, target))
+    return out.unionByName(open_.select("x", "y", "z", F.col("cut").alias("hsml")))
 
 
 def with_smoothing_lengths(df: DataFrame, keep: Sequence[str] | None = None, **args) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from motefield.functions.fields import FieldSpec, single_field, slot_field
-from motefield.operators.camera import Camera, fan_out, fields_of, literal
+from motefield.operators.camera import Camera, fields_of, literal
+from motefield.operators.flight import fan_out_seen
 from motefield.operators.ranges import auto_range
 from motefield.operators.resolve import colored, composite_joined
 from motefield.operators.splat import accumulate, contributions, splat
@@ -73,9 +74,10 @@ def fly_through(pool: DataFrame, path: Sequence[Camera], spec: FieldSpec, kernel
     """Accumulators of all frames of a path in one job: ``cam_id, px, py, [num,] den[, sq]``.
 
     Each frame has its own size, and vector fields are projected along its own lines of sight: the fields a
-    projection needs travel with the row, and the frame's position is a column like its other values.
+    projection needs travel with the row, and the frame's position is a column like its other values. A row is copied only for
+    the frames that can see the cell it lies in.
     """
-    frames = fan_out(pool, list(path)).withColumn("cam_id", F.col("cam.cam_id"))
+    frames = fan_out_seen(pool, list(path)).withColumn("cam_id", F.col("cam.cam_id"))
     cam = fields_of()
     weight, qty = single_field(frames, spec, (cam.fx, cam.fy, cam.fz), (cam.px, cam.py, cam.pz))
     base = frames.select("cam", "cam_id", cam.width.alias("across"), cam.height.alias("down"), "x", "y", "z", "hsml", weight.alias("w"), *([qty.alias("q0")] if qty is not None else []))

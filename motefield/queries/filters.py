@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -16,7 +18,8 @@ from motefield.operators.splat import contributions, splat
 from motefield.queries.base import (
     CAM, TILTED, ctes, lit, particle, query, raw, sql_discs, sql_hits, sql_map, sql_view, star, track,
 )
-from motefield.sources import snapshot
+from motefield.session import shared_folder
+from motefield.sources import snapshot, spatial
 
 
 @query("c01_type_selection", ctes("particle") + "SELECT ptype, count(*) AS n, round(sum(mass), 2) AS mass FROM particle WHERE ptype IN (0, 4) GROUP BY ptype")
@@ -52,6 +55,20 @@ def c03(spark, folder):
     return p.where(in_frustum(_TAN, TILTED.aspect, F.col("depth"), F.col("right_d"), F.col("up_d"), F.col("hsml"))).select("pid")
 
 
+#: a narrow view from inside the box, and what it shows of types 0 and 4
+NARROW = replace(TILTED, position=(0.9, 0.8, 0.9), forward=(-0.4, -0.6, -0.9), fov=25.0, far=0.6)
+
+
+@query("c03_view_scan", ctes("particle", more="seen AS (SELECT * FROM particle WHERE ptype IN (0, 4))," + sql_map(NARROW, "seen", qty="temperature")) +
+       "SELECT px, py, round(num/1e5, 3) AS num, round(den/1e2, 3) AS den FROM accum")
+def c03_view(spark, folder):
+    """All particles are written in spatial order; the map reads the files and row groups that the camera may see."""
+    path = f"{shared_folder(spark)}/spatial-{uuid.uuid4().hex}"
+    spatial.write_spatial(particle(spark, folder), path, rows=4000)
+    seen = spatial.read_view(spark, path, NARROW, [0, 4])
+    return splat(seen, NARROW, qty="temperature").select("px", "py", F.round(F.col("num") / 1e5, 3).alias("num"), F.round(F.col("den") / 1e2, 3).alias("den"))
+
+
 @query("c04_depth_clip", ctes("particle") + f"""SELECT pid, round(depth, 9) AS depth FROM (SELECT pid, {sql_view(CAM)} FROM particle)
 WHERE depth >= {lit(CAM.clip_near)} AND depth <= {lit(CAM.far)}""")
 def c04(spark, folder):

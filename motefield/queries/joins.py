@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from motefield.operators.camera import fan_out, fields_of, orbit_path, zoom_path
+from motefield.operators.camera import fields_of, orbit_path, zoom_path
+from motefield.operators.flight import fan_out_seen
 from motefield.operators.multigrid import upsample
 from motefield.operators.neighbours import nearest
 from motefield.operators.overlay import slots
@@ -67,13 +68,14 @@ def d04_periodic(spark, folder):
     return _knn(block(spark, folder), 20, 1.0)
 
 
-@query("d06_composite_join", ctes("particle", more="gas AS (SELECT * FROM particle WHERE ptype = 0), rest AS (SELECT * FROM particle WHERE ptype = 1)," +
+@query("d06_composite_join", ctes("particle", more="gas AS (SELECT * FROM particle WHERE ptype IN (0, 2, 4)), rest AS (SELECT * FROM particle WHERE ptype NOT IN (0, 2, 4))," +
        sql_map(CAM, "gas", "1", qty="temperature") + "," + sql_map(CAM, "rest", "2", qty="temperature") + """,
 six AS (SELECT px, py, a.num AS num1, a.den AS den1, a.sq AS sq1, b.num AS num2, b.den AS den2, b.sq AS sq2 FROM accum1 a FULL JOIN accum2 b USING (px, py)),""" +
        sql_composite("six")))
 def d06(spark, folder):
     p = particle(spark, folder)
-    a, b = (splat(p.where(F.col("ptype") == t), CAM, qty="temperature") for t in (0, 1))
+    light = F.col("ptype").isin(0, 2, 4)
+    a, b = (splat(p.where(part), CAM, qty="temperature") for part in (light, ~light))
     return rounded(composite(a, b, CAM, SPEC1, SPEC2), 6, "r", "g", "b").drop("a")
 
 
@@ -107,10 +109,10 @@ def _path_query(name, path):
 
     @query(name, ctes("particle", more=",".join(parts)) + select)
     def run(spark, folder):
-        frames = fan_out(particle(spark, folder), path)
+        frames = fan_out_seen(particle(spark, folder), path)
         cam = fields_of()
         frames = frames.withColumn("cam_id", F.col("cam.cam_id"))
-        hits = contributions(frames, cam, F.col("mass"), F.col("hsml"), keep=["cam_id"], width=F.lit(64), height=F.lit(48), carry=["cam"])
+        hits = contributions(frames, cam, F.col("mass"), F.col("hsml"), keep=["cam_id"], width=F.lit(path[0].width), height=F.lit(path[0].height), carry=["cam"])
         a = accumulate(hits, ["cam_id", "px", "py"], with_qty=False)
         return a.select("cam_id", "px", "py", F.round(F.col("den") / 1e2, 2).alias("den"))
 
@@ -119,6 +121,8 @@ def _path_query(name, path):
 
 _SMALL = type(CAM)((0.5, 0.5, 1.5), fov=60.0, width=64, height=48)
 _path_query("d10_zoom_path", zoom_path(_SMALL, (0.5, 0.5, 0.5), 5, 0.5, 1.0, 0.2))
+_NARROW = [type(CAM)((0.5, 0.5, 0.5), forward=f, fov=20.0, far=0.4, width=48, height=32) for f in ((1.0, 0.2, 0.1), (-1.0, 0.3, 0.0), (0.1, 0.2, 1.0), (0.3, -0.9, 0.2))]
+_path_query("d10_narrow_path", _NARROW)
 _path_query("d10_orbit_path", orbit_path(_SMALL, (0.5, 0.5, 0.5), 5, 4.0, 6.0, 0.8, 2.0, 1))
 
 
