@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from motefield.operators.camera import fields_of, orbit_path, zoom_path
+from motefield.operators.column_store import columns_kept
 from motefield.operators.flight import fan_out_seen
 from motefield.operators.multigrid import upsample
 from motefield.operators.neighbours import nearest
@@ -16,6 +19,7 @@ from motefield.queries.base import CAM, TILTED, block, ctes, lit, octaves, parti
 from motefield.queries.fields import SPEC1, SPEC2, sql_composite
 from motefield.queries.filters import sql_sightline
 from motefield.queries.scans import rounded
+from motefield.session import shared_folder
 from motefield.sources.snapshot import LABELS
 
 GAS_KEY = ["pid", "mass", "temperature"]
@@ -44,6 +48,19 @@ def d03(spark, folder):
     return c.select("cam_id", "sid", F.round("column", 2).alias("column"))
 
 
+TURNS = [*PATH, (0.3, 0.4, 1.2), PATH[2]]
+
+
+@query("d03_kept_columns", ctes("particle", "star", more=",".join(sql_sightline("particle", "star", TURNS[i], str(i)) for i in (0, 2, 3))) + " UNION ALL ".join(
+    f'SELECT {i} AS cam_id, sid, round(total, 2) AS "column", n_gas FROM sight{j}' for i, j in enumerate((0, 0, 2, 3, 2))))
+def d03_kept(spark, folder):
+    """A path in two calls: the second computes the one position that the first did not have."""
+    store, now = f"{shared_folder(spark)}/columns-{uuid.uuid4().hex}", (particle(spark, folder), star(spark, folder))
+    columns_kept(store, "sf", *now, PATH, key=GAS_KEY)
+    c = columns_kept(store, "sf", *now, TURNS, key=GAS_KEY)
+    return c.select("cam_id", "sid", F.round("column", 2).alias("column"), "n_gas")
+
+
 def _knn_sql(k, period):
     gap = "abs(a.{0}-b.{0})" if period is None else f"least(abs(a.{{0}}-b.{{0}}), {lit(period)}-abs(a.{{0}}-b.{{0}}))"
     d2 = "+".join(f"{gap.format(a)}*{gap.format(a)}" for a in "xyz")
