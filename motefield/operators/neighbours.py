@@ -272,7 +272,7 @@ def solve_lengths(lists: DataFrame, k: int, target: float = TARGET, steps: int =
 
     ``solved`` is false where the neighbour number at the last distance is still below the target.
     """
-    schema = "leaf int, i int, x double, y double, z double, hsml double, solved boolean, last double"
+    schema = "leaf int, i int, x double, y double, z double, hsml double, solved boolean, last double, reach double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -281,7 +281,8 @@ def solve_lengths(lists: DataFrame, k: int, target: float = TARGET, steps: int =
                 dist = np.full((len(pdf), sizes.max()), np.inf)
                 dist[np.arange(sizes.max()) < sizes[:, None]] = np.concatenate(pdf["d"].to_numpy())
                 h, ok, last = _solve(dist, sizes, k, target, steps)
-                yield pdf[["leaf", "i", "x", "y", "z"]].assign(hsml=h, solved=ok, last=last)
+                reach = np.where(sizes < k, np.inf, np.maximum(last, h))  # a short list holds the whole table
+                yield pdf[["leaf", "i", "x", "y", "z"]].assign(hsml=h, solved=ok, last=last, reach=reach)
 
     return lists.select("leaf", "i", "x", "y", "z", "d").mapInPandas(run, schema)
 
@@ -339,9 +340,12 @@ def _crossed(target: float, n0, h0, n1, h1, n2, h2) -> np.ndarray:
         return np.where((bow >= h0) & (bow <= h1), bow, line)
 
 
-def smoothing_lengths(df: DataFrame, k: int = K, target: float = TARGET, box_size: float | None = None, passes: int = 2) -> DataFrame:
+def smoothing_lengths(df: DataFrame, k: int = K, target: float = TARGET, box_size: float | None = None, passes: int = 2,
+                      reach: bool = False) -> DataFrame:
     """``x, y, z, hsml`` per position: the h at which the neighbour number over *all* rows is ``target``.
 
+    With ``reach`` also the distance up to which rows took part in it: rows beyond change nothing.
+
     Most rows find it within their k nearest. For the others it lies beyond the k-th distance d, and below 2d
     (k rows at half of h count k·8/3, more than the target): their brackets are narrowed over all rows they
     hold, 128 times a pass, and the last one is cut by a parabola, an error of about 1e-11 of h after two.
@@ -351,15 +355,16 @@ def smoothing_lengths(df: DataFrame, k: int = K, target: float = TARGET, box_siz
     k = max(k, int(np.ceil(3 * target / 8)) + 1)
     space = space_of(df, k, usable_period(df, box_size))
     if space is None:
-        return df.sparkSession.createDataFrame([], "x double, y double, z double, hsml double")
+        return df.sparkSession.createDataFrame([], "x double, y double, z double, hsml double" + ", reach double" * reach)
+    names = ["x", "y", "z", "hsml", *(["reach"] if reach else [])]
     solved = checkpoint(solve_lengths(nearest_of(space), k, target))
-    out = solved.where("solved").select("x", "y", "z", "hsml")
+    out = solved.where("solved").select(*names)
     open_ = solved.where("not solved").select("leaf", "i", "x", "y", "z", F.col("last").alias("lo"), (F.col("last") * 2).alias("hi"))
     if open_.isEmpty():
         return out
     for _ in range(passes):
         open_ = checkpoint(_narrowed(space, open_, target))
-    return out.unionByName(open_.select("x", "y", "z", F.col("cut").alias("hsml")))
+    return out.unionByName(open_.select("x", "y", "z", F.col("cut").alias("hsml"), F.col("cut").alias("reach")).select(*names))
 
 
 def with_smoothing_lengths(df: DataFrame, keep: Sequence[str] | None = None, **args) -> DataFrame:

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from motefield.functions.fields import FieldSpec
 from motefield.plans.reader import load_stars, read_snapshot
-from motefield.plans.snapshot import field_image, field_map, fly_through
+from motefield.plans.snapshot import composite_image, field_image, field_map, fly_through
 from motefield.queries.aggregates import PIXELS, sql_bisection, sql_entropy
 from motefield.queries.base import CAM, TILTED, block, ctes, lit, particle, query, sql_map, star
-from motefield.queries.fields import snapshot_rows
+from motefield.queries.fields import snapshot_rows, sql_composite
 from motefield.queries.scans import AMR_CELLS, AMR_VARS, FACE_CELLS, FACE_VARS, GRID_SQL, SHAPE, amr, faces, rounded, sql_lookup
 from motefield.session import shared_folder
-from motefield.sources import snapshot
+from motefield.sources import derived, snapshot
 
 
 def drawable(spark, folder):
@@ -38,6 +38,23 @@ def p01(spark, folder):
     return rounded(field_image(drawable(spark, folder), CAM, FieldSpec()), 4, "r", "g", "b")
 
 
+def _ranged(src):
+    return f"(WITH {sql_entropy(src)} SELECT lo, hi FROM best)"
+
+
+@query("p02_composite_image", ctes("particle", more=sql_map(CAM, qty="temperature") + f""",
+one AS (SELECT log10(den) AS value, den AS weight FROM accum WHERE den > 1e-30), two AS (SELECT num/den AS value, 1e0 AS weight FROM accum WHERE den > 1e-30),
+ends AS (SELECT log10(greatest(pow(1e1, lo), 1e-30)) AS lo, log10(greatest(pow(1e1, hi), 1e-30)) AS hi FROM {_ranged("one")}),
+light AS (SELECT CASE WHEN hi-lo < 0.1e0 THEN (lo+hi)/2-1 ELSE lo END AS low1, CASE WHEN hi-lo < 0.1e0 THEN (lo+hi)/2+1 ELSE hi END AS high1 FROM ends),
+tint AS (SELECT lo AS low2, hi AS high2 FROM {_ranged("two")}),
+six AS (SELECT px, py, num AS num1, den AS den1, sq AS sq1, num AS num2, den AS den2, sq AS sq2, low1, high1, low2, high2 FROM accum, light, tint),
+""" + sql_composite("six").replace("- 3e0)/4e0", "- low1)/(high1 - low1)").replace("- 1e4)/5e4", "- low2)/(high2 - low2)")))
+def p02(spark, folder):
+    """Lightness from the surface density, colour from the mean temperature, each over its automatic range."""
+    image = composite_image(drawable(spark, folder), CAM, FieldSpec(log=True), FieldSpec(mode="WeightedAverage", data="Temperature", log=False))
+    return rounded(image, 4, "r", "g", "b").drop("a")
+
+
 FRAMES = [CAM, TILTED, replace(CAM, position=(0.2, 0.3, 1.2), width=48, height=32)]
 
 
@@ -114,3 +131,13 @@ def p06(spark, folder):
     pool = read_snapshot(spark, path, shape=SHAPE, variables=AMR_VARS).withColumn("Masses", F.col("mass") * 1e6)
     accum = field_map(pool, CAM, FieldSpec(), structured=True)
     return accum.where("den > 1e-30").select("px", "py", F.round("den", 2).alias("density"))
+
+
+@query("a23_cached_lengths", ctes("block", more=sql_bisection(40)) + """
+SELECT block_id, floor(cx*4e0)::INTEGER AS part, round((lo+hi)/2e0, 8) AS hsml FROM block JOIN step40 s ON cx = s.x AND cy = s.y AND cz = s.z""")
+def a23(spark, folder):
+    """Lengths kept by part: computed for a state in which a quarter of space was different, then again for what changed."""
+    where = f"{shared_folder(spark)}/lengths-{uuid.uuid4().hex}"
+    b = block(spark, folder).select("block_id", *[F.col(f"c{a}").alias(a) for a in "xyz"]).withColumn("part", F.floor(F.col("x") * 4).cast("int"))
+    derived.kept_lengths(b.where("part <> 3 or block_id % 7 <> 0"), where, ["block_id"])
+    return rounded(derived.kept_lengths(b, where, ["block_id"]).select("block_id", "part", "hsml"), 8, "hsml")

@@ -371,16 +371,6 @@ def a22(spark, folder):
     return image.select("px", "py", *[F.round(F.col(c) * 255.0, 4).alias(c) for c in "rgba"])
 
 
-@query("a23_cached_lengths", ctes("particle") + """
-SELECT count(*) AS n, count(DISTINCT hsml) AS lengths, round(sum(hsml), 6) AS total FROM particle""")
-def a23(spark, folder):
-    p = particle(spark, folder).select("pid", "mass", "temperature", "hsml")
-    where = f"{shared_folder(spark)}/lengths-{uuid.uuid4().hex}"
-    for _ in range(2):  # the second pass reads what the first wrote
-        out = snapshot.cached_lengths(p.drop("hsml"), where, ["pid", "mass", "temperature"], lambda d: p)
-    return out.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hsml").alias("lengths"), F.round(F.sum("hsml"), 6).alias("total"))
-
-
 @query("a24_colormap", ctes("particle", more="shown AS (SELECT pid, x AS t FROM particle)," + sql_lookup("bone", "shown", "pid")) + """
 SELECT pid, round(r, 7) AS r, round(g, 7) AS g, round(b, 7) AS b FROM colored""")
 def a24(spark, folder):

@@ -9,13 +9,7 @@ from pyspark.sql import functions as F
 from motefield.queries.base import CAM, ctes, query, raw, sql_accum, sql_hits, sql_map
 from motefield.session import shared_folder
 from motefield.sources.tables import PARTICLE
-from motefield.streaming.live import live_map, run_to_table, run_windows, windowed_map
-
-
-def stream_of(spark, folder, name):
-    """A file stream of one table."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/{name}*.parquet")
+from motefield.streaming.live import live_map, run_updates, run_windows, windowed_map
 
 
 def fresh(spark, name):
@@ -25,8 +19,13 @@ def fresh(spark, name):
 @query("i01_streaming_map", ctes("particle", more=sql_map(CAM, qty="temperature")) + """
 SELECT px, py, round(num/1e5, 2) AS num, round(den, 2) AS den, round(sq/1e10, 2) AS sq FROM accum""")
 def i01(spark, folder):
-    stream = spark.sql(PARTICLE.replace("FROM lineitem", "FROM {base}"), base=stream_of(spark, folder, "lineitem"))
-    a = run_to_table(live_map(stream, CAM, qty="temperature"), fresh(spark, "live"))
+    """The particles come in four files, one a batch; each batch writes only the tiles it touches."""
+    path = fresh(spark, "live")
+    table = raw(spark, folder, "lineitem")
+    table.repartition(4, "l_orderkey").write.parquet(f"{path}/in")
+    base = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream = spark.sql(PARTICLE.replace("FROM lineitem", "FROM {base}"), base=base)
+    a = run_updates(live_map(stream, CAM, qty="temperature"), path, CAM.height)
     return a.select("px", "py", F.round(F.col("num") / 1e5, 2).alias("num"), F.round("den", 2).alias("den"), F.round(F.col("sq") / 1e10, 2).alias("sq"))
 
 

@@ -155,19 +155,21 @@ def field_names(df: DataFrame) -> DataFrame:
 def cached_lengths(df: DataFrame, path: str, key: Sequence[str], compute) -> DataFrame:
     """``df`` with ``hsml`` from the table at ``path``; computed and written first if absent or stale.
 
-    The stored table is used only if it has as many rows as ``df``.
+    The stored table is used only if ``df`` has the rows it was computed from: as many, with the same sum of row hashes. For lengths that
+    are computed again only where parts changed, see `derived.kept_lengths`.
     """
     from pyspark.errors import AnalysisException
 
+    from motefield.sources.derived import row_sum
+
     spark = df.sparkSession
-    n = df.count()
+    content = df.agg(F.count(F.lit(1)).alias("n"), row_sum(sorted(df.columns)).alias("total"))
+    now = content.first()
     try:
-        stored = spark.read.parquet(path)
-        fresh = stored.count() == n
+        fresh = spark.read.parquet(f"{path}/print").first() == now
     except AnalysisException:
         fresh = False
     if not fresh:
-        compute(df).select(*key, "hsml").write.mode("overwrite").parquet(path)
-        stored = spark.read.parquet(path)
-    return df.drop("hsml").join(stored, list(key))
-
+        compute(df).select(*key, "hsml").write.mode("overwrite").parquet(f"{path}/lengths")
+        spark.createDataFrame([now], content.schema).write.mode("overwrite").parquet(f"{path}/print")
+    return df.drop("hsml").join(spark.read.parquet(f"{path}/lengths"), list(key))

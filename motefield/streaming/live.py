@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motefield.operators.camera import Camera, literal
@@ -51,6 +52,57 @@ def run_to_table(stream_map: DataFrame, path: str) -> DataFrame:
     return stream_map.sparkSession.read.parquet(f"{path}/map")
 
 
+VERSIONS = "tile int, batch long"
+
+
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """Newest committed batch of each tile, or the newest before a batch. At most one row per tile and batch."""
+    try:
+        known = spark.read.schema(VERSIONS).parquet(f"{path}/versions")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    known = known if before is None else known.where(F.col("batch") < before)
+    return {r["tile"]: r["batch"] for r in known.groupBy("tile").agg(F.max("batch").alias("batch")).collect()}
+
+
+def _tiles(spark: SparkSession, path: str, schema, versions: dict[int, int]) -> DataFrame:
+    """Pixels of the given versions of tiles."""
+    if not versions:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*(f"{path}/map/batch={b}/tile={t}" for t, b in sorted(versions.items())))
+
+
+def run_updates(stream_map: DataFrame, path: str, height: int, tiles: int = 16) -> DataFrame:
+    """Processes what is there now by changes: a batch gives out the pixels it touched, and only the tiles that hold them are
+    written anew. Returns the map; a later call with the same path goes on from there.
+
+    A tile is a range of pixel rows of a screen ``height`` rows high. Each batch writes the new state of its tiles to a folder with
+    the batch's number, made of their newest state from *earlier* batches and the changed pixels, and then names them in
+    ``versions``. A batch that is run again therefore writes the same files again, whether it died before or after that.
+    """
+    spark, schema = stream_map.sparkSession, stream_map.schema
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        here = batch.withColumn("tile", F.expr(f"cast(py * {tiles} div {height} as int)")).persist()
+        try:
+            touched = sorted(r["tile"] for r in here.select("tile").distinct().collect())  # at most ``tiles``
+            if not touched:
+                return
+            old = {t: b for t, b in _versions(spark, path, number).items() if t in touched}
+            rest = _tiles(spark, path, schema, old).withColumn("tile", F.expr(f"cast(py * {tiles} div {height} as int)"))
+            state = rest.join(here.select("px", "py"), ["px", "py"], "left_anti").unionByName(here)
+            state.repartition("tile").write.mode("overwrite").partitionBy("tile").parquet(f"{path}/map/batch={number}")
+            spark.createDataFrame([(t, number) for t in touched], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+        finally:
+            here.unpersist()
+
+    writer = stream_map.writeStream.outputMode("update").foreachBatch(upsert).trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{path}/state").start().awaitTermination()
+    return _tiles(spark, path, schema, _versions(spark, path))
+
+
 def run_windows(stream_map: DataFrame, path: str) -> DataFrame:
     """Processes what is there now and appends the windows that have closed to the table at ``path``.
 
