@@ -36,3 +36,22 @@ def kernel(name: str, r2: Column) -> Column:
 def supported_kernel(name: str, r2: Column) -> Column:
     """Kernel value with its support: zero outside the unit disc."""
     return F.when(r2 > 1.0, 0.0).otherwise(kernel(name, F.least(r2, F.lit(1.0))))
+
+
+def kernel_values(name: str, r2):
+    """As `kernel`, on a numpy array."""
+    import numpy as np
+
+    r = np.sqrt(r2)
+    edge = 1.0 - r
+    if name == "cubic_spline":
+        out = np.where(r <= 0.5, 1.0 - 6.0 * r2 * edge, 2.0 * edge * edge * edge)
+    elif name == "wendland_c2":
+        out = edge * edge * edge * edge * (4.0 * r + 1.0)
+    elif name == "gaussian":
+        out = np.exp(-4.0 * r2)
+    elif name == "quartic":
+        out = (1.0 - r2) * (1.0 - r2)
+    else:
+        out = np.sqrt(np.maximum(1.0 - r2, 0.0))
+    return out * NORMS[name]

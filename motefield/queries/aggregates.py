@@ -9,6 +9,7 @@ from motefield.operators import compare, framing, multigrid, ranges
 from motefield.operators.camera import literal
 from motefield.operators.neighbours import smoothing_lengths
 from motefield.operators.ordering import numbered
+from motefield.operators.raster import splat_raster
 from motefield.operators.resolve import composite_joined, resolved
 from motefield.operators.sightline import octave_histogram
 from motefield.operators.splat import contributions, splat
@@ -32,6 +33,14 @@ def e01(spark, folder):
     return a.select("px", "py", F.round(F.col("num") / 1e5, 2).alias("num"), F.round("den", 2).alias("den"), F.round(F.col("sq") / 1e10, 2).alias("sq"))
 
 
+@query("e01_splat_raster", ctes("octaves", more=sql_map(TILTED, "octaves", qty="temperature")) + """
+SELECT px, py, round(num/1e7, 2) AS num, round(den/1e2, 2) AS den, round(sq/1e12, 2) AS sq FROM accum""")
+def e01_raster(spark, folder):
+    """Lengths over seven octaves, discs from less than a pixel to the whole screen: sums on the grid inside the tasks."""
+    a = splat_raster(octaves(spark, folder), TILTED, qty="temperature")
+    return a.select("px", "py", F.round(F.col("num") / 1e7, 2).alias("num"), F.round(F.col("den") / 1e2, 2).alias("den"), F.round(F.col("sq") / 1e12, 2).alias("sq"))
+
+
 def _kernel_query(kernel):
     @query(f"e01_splat_{kernel}", ctes("particle", more=sql_hits(TILTED, kernel=kernel) + "," + sql_accum()) + "SELECT px, py, round(den, 2) AS den FROM accum")
     def run(spark, folder):

@@ -48,7 +48,7 @@ ends AS (SELECT log10(greatest(pow(1e1, lo), 1e-30)) AS lo, log10(greatest(pow(1
 light AS (SELECT CASE WHEN hi-lo < 0.1e0 THEN (lo+hi)/2-1 ELSE lo END AS low1, CASE WHEN hi-lo < 0.1e0 THEN (lo+hi)/2+1 ELSE hi END AS high1 FROM ends),
 tint AS (SELECT lo AS low2, hi AS high2 FROM {_ranged("two")}),
 six AS (SELECT px, py, num AS num1, den AS den1, sq AS sq1, num AS num2, den AS den2, sq AS sq2, low1, high1, low2, high2 FROM accum, light, tint),
-""" + sql_composite("six").replace("- 3e0)/4e0", "- low1)/(high1 - low1)").replace("- 1e4)/5e4", "- low2)/(high2 - low2)")))
+""" + sql_composite("six").replace("- 3e0)/4e0", "- low1)/(high1 - low1)").replace("- 1e4)/5e4", "- low2)/(high2 - low2)").replace("END, 6)", "END, 4)")))
 def p02(spark, folder):
     """Lightness from the surface density, colour from the mean temperature, each over its automatic range."""
     image = composite_image(drawable(spark, folder), CAM, FieldSpec(log=True), FieldSpec(mode="WeightedAverage", data="Temperature", log=False))
