@@ -55,16 +55,19 @@ def run_to_table(stream_map: DataFrame, path: str) -> DataFrame:
 VERSIONS = "tile int, batch long"
 
 
-def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
-    """Newest committed batch of each tile, or the newest before a batch. At most one row per tile and batch."""
+def _versions(spark: SparkSession, path: str) -> set[tuple[int, int]]:
+    """Committed (tile, batch) pairs."""
     try:
-        known = spark.read.schema(VERSIONS).parquet(f"{path}/versions")
+        return {(r["tile"], r["batch"]) for r in spark.read.schema(VERSIONS).parquet(f"{path}/versions").collect()}
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return {}
-    known = known if before is None else known.where(F.col("batch") < before)
-    return {r["tile"]: r["batch"] for r in known.groupBy("tile").agg(F.max("batch").alias("batch")).collect()}
+        return set()
+
+
+def _newest(versions: set[tuple[int, int]], before: float = float("inf")) -> dict[int, int]:
+    """The newest batch of each tile, of those before a batch."""
+    return {t: b for t, b in sorted(versions, key=lambda v: v[1]) if b < before}
 
 
 def _tiles(spark: SparkSession, path: str, schema, versions: dict[int, int]) -> DataFrame:
@@ -83,6 +86,7 @@ def run_updates(stream_map: DataFrame, path: str, height: int, tiles: int = 16)
     ``versions``. A batch that is run again therefore writes the same files again, whether it died before or after that.
     """
     spark, schema = stream_map.sparkSession, stream_map.schema
+    known = _versions(spark, path)
 
     def upsert(batch: DataFrame, number: int) -> None:
         here = batch.withColumn("tile", F.expr(f"cast(py * {tiles} div {height} as int)")).persist()
@@ -90,17 +94,18 @@ def run_updates(stream_map: DataFrame, path: str, height: int, tiles: int = 16)
             touched = sorted(r["tile"] for r in here.select("tile").distinct().collect())  # at most ``tiles``
             if not touched:
                 return
-            old = {t: b for t, b in _versions(spark, path, number).items() if t in touched}
+            old = {t: b for t, b in _newest(known, number).items() if t in touched}
             rest = _tiles(spark, path, schema, old).withColumn("tile", F.expr(f"cast(py * {tiles} div {height} as int)"))
             state = rest.join(here.select("px", "py"), ["px", "py"], "left_anti").unionByName(here)
             state.repartition("tile").write.mode("overwrite").partitionBy("tile").parquet(f"{path}/map/batch={number}")
             spark.createDataFrame([(t, number) for t in touched], VERSIONS).coalesce(1).write.mode("append").parquet(f"{path}/versions")
+            known.update((t, number) for t in touched)
         finally:
             here.unpersist()
 
     writer = stream_map.writeStream.outputMode("update").foreachBatch(upsert).trigger(availableNow=True)
     writer.option("checkpointLocation", f"{path}/state").start().awaitTermination()
-    return _tiles(spark, path, schema, _versions(spark, path))
+    return _tiles(spark, path, schema, _newest(_versions(spark, path)))
 
 
 def run_windows(stream_map: DataFrame, path: str) -> DataFrame:
