@@ -58,14 +58,23 @@ def read_snapshot(spark: SparkSession, path: str, wanted: Sequence[int] | None =
 
 
 def load_stars(spark: SparkSession, path: str, ptype: int = 4, **layout) -> DataFrame:
-    """The star table: ``x, y, z, mass``, speed and every other stored scalar field of one type."""
+    """The star table: ``x, y, z, mass, luminosity``, speed and every other stored scalar field of one type.
+
+    Units come from the header of part 0, if ``Header`` is there. The mass is the raw sink mass where one is stored; the luminosity
+    a stored one, else the mass for stars of a catalog, else that of the main sequence.
+    """
     from motefield.functions.fields import read_field, scalar_fields, xyz
+    from motefield.functions.photometry import star_luminosity, star_mass
 
     t = read_groups(spark, path, **layout)[ptype]
-    x, y, z = xyz(read_field(t, "Coordinates"))
-    out = {"x": x, "y": y, "z": z, "mass": read_field(t, "Masses")}
+    stored, table = _table(spark, f"{path}/PartType{ptype}"), _table(spark, f"{path}/Header")
+    header = snapshot.header_of(table) if table is not None else {}
+    of_catalog = stored is not None and snapshot.layout(stored.columns) == "catalog"
+    x, y, z = xyz(read_field(t, "Coordinates", header))
+    mass = star_mass(t.columns, None if "Sink_Mass" in t.columns else read_field(t, "Masses", header))
+    out = {"x": x, "y": y, "z": z, "mass": mass, "luminosity": star_luminosity(t.columns, mass, of_catalog)}
     if "Velocities" in t.columns:
         v = xyz(read_field(t, "Velocities"))
         out["speed"] = F.sqrt(v[0] * v[0] + v[1] * v[1] + v[2] * v[2])
-    out |= {n: read_field(t, n) for n in sorted(scalar_fields(t)) if n not in ("Masses", "part_no", *out) and "[" not in n}
+    out |= {n: read_field(t, n, header) for n in sorted(scalar_fields(t)) if n not in ("Masses", "part_no", *out) and "[" not in n}
     return t.select(*[c.alias(n) for n, c in out.items()])

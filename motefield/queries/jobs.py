@@ -120,7 +120,20 @@ def a03_read(spark, folder):
 @query("p05_load_stars", ctes("star") + """SELECT x, y, z, mass, round(sqrt(vx*vx + vy*vy + vz*vz), 9) AS speed, 2e-2 AS "SmoothingLength" FROM star""")
 def p05(spark, folder):
     """The star table of a catalog snapshot."""
-    return rounded(load_stars(spark, f"{written(spark, folder)}/catalog"), 9, "speed")
+    return rounded(load_stars(spark, f"{written(spark, folder)}/catalog").drop("luminosity"), 9, "speed")
+
+
+@query("p07_star_luminosities", ctes("star") + """, m AS (SELECT *, mass/0.7e0 AS msun FROM star)
+SELECT round(x*(0.5e0/0.7e0), 9) AS x, round(y*(0.5e0/0.7e0), 9) AS y, round(z*(0.5e0/0.7e0), 9) AS z, round(msun, 9) AS mass,
+round(CASE WHEN msun < 0.43e0 THEN 0.23e0*pow(msun, 2.3e0) WHEN msun < 2e0 THEN msun*msun*msun*msun WHEN msun < 55e0 THEN 1.4e0*msun*msun*msun*sqrt(msun)
+  ELSE 32e3*msun END, 5) AS luminosity, round(sqrt(vx*vx + vy*vy + vz*vz), 9) AS speed FROM m""")
+def p07(spark, folder):
+    """Stars of a snapshot in comoving units without stored luminosities: physical masses, and the main sequence for them."""
+    path = f"{shared_folder(spark)}/stars-{uuid.uuid4().hex}"
+    star(spark, folder).select(F.array("x", "y", "z").alias("Coordinates"), F.array("vx", "vy", "vz").alias("Velocities"), F.col("mass").alias("Masses")).write.parquet(
+        f"{path}/PartType4/snap.0.parquet")
+    spark.range(1).selectExpr("1e0 AS ComovingIntegrationOn", "5e-1 AS Time", "7e-1 AS HubbleParam").write.parquet(f"{path}/Header/snap.0.parquet")
+    return rounded(rounded(load_stars(spark, path), 9, "x", "y", "z", "mass", "speed"), 5, "luminosity")
 
 
 @query("p06_structured_mesh_map", AMR_CELLS + "," + sql_map(CAM, "cells", tag="6", mass="dens*volume*1e6", hsml="2e0*cbrt(volume)") + " SELECT px, py, round(den, 2) AS density FROM accum6 WHERE den > 1e-30")

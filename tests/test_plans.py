@@ -39,3 +39,19 @@ def test_fly_through_equals_single_frames(pool):
         one = splat(pool, replace(cam)).toPandas().set_index(["px", "py"])["den"].sort_index()
         got = frames[frames.cam_id == i].set_index(["px", "py"])["den"].sort_index()
         assert list(one.index) == list(got.index) and got.to_numpy() == pytest.approx(one.to_numpy())
+
+
+def test_stars_take_units_and_luminosities_from_what_is_stored(spark, tmp_path):
+    from motefield.plans.reader import load_stars
+
+    stars = "array(1D, 2D, 4D) AS Coordinates, 3D AS Masses"
+    header = spark.range(1).selectExpr("1 AS ComovingIntegrationOn", "0.5D AS Time", "0.5D AS HubbleParam")
+    cases = {"plain": (stars, (6.0, 1.4 * 6.0**3.5)), "sink": (stars + ", 1D AS Sink_Mass", (1.0, 1.0)),
+             "given": (stars + ", 7 AS StarLuminosity", (6.0, 7.0)), "solar": (stars + ", 7 AS StarLuminosity, 8 AS StarLuminosity_Solar", (6.0, 8.0))}
+    for name, (columns, (mass, light)) in cases.items():
+        path = f"{tmp_path}/{name}"
+        spark.sql(f"SELECT {columns}").write.parquet(f"{path}/PartType4/s.0.parquet")
+        header.write.parquet(f"{path}/Header/s.0.parquet")
+        row = load_stars(spark, path).first()
+        assert (row.x, row.y, row.z) == (1.0, 2.0, 4.0) and row.mass == mass
+        assert abs(row.luminosity - light) < 1e-9 * light
