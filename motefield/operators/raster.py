@@ -17,13 +17,13 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motefield.functions import kernels
+from motefield.functions.kernels import kernel_values
 from motefield.operators.camera import Camera, literal
 from motefield.operators.splat import EDGE, projected
 
 # the Arrow helpers travel with the job, so executors need no installed copy of this package
-for _module in (sys.modules[__name__], kernels):
-    cloudpickle.register_pickle_by_value(_module)
+for _name in (__name__, kernel_values.__module__):
+    cloudpickle.register_pickle_by_value(sys.modules[_name])
 
 AT_ONCE = 1 << 18  # pixels of discs worked on at a time
 
@@ -76,7 +76,7 @@ class Grid:
             r2 = dx * dx + dy2[row]
             keep = np.flatnonzero(r2 <= 1.0)
             one, cell = one[keep], py[row[keep]] * self.width + px[keep]
-            sigma = a[one] * kernels.kernel_values(self.kernel, r2[keep])
+            sigma = a[one] * kernel_values(self.kernel, r2[keep])
             n = len(self.hit)
             weights = [sigma]
             if q is not None:
