@@ -1,15 +1,16 @@
 """Line dedup: repeated runs of lines by prefix doubling over line-ID sequences; later copies are deleted.
 
-A document is its sequence of lines with words, each named by a hash of the line without outer blanks. Doubling
-names runs of 1, 2, 4, ... lines: the name of 2k lines is made of the names of its halves. Suffixes that share a
-name of depth k are one interval of the suffix array with a common prefix of at least k lines; the interval's
-first member, in the order of id and line, is the original. Names are content hashes, so each is made where
-its document is and only the intervals meet: in one shuffle for single lines, and in one more for the longer
-depths, of those runs whose lines all repeat. No order among different suffixes is needed, so none is made.
-
-A run counts with ``min_words`` words or more. A line goes if a run of 2^k lines that covers it counts and
-starts earlier too; adjacent ones make up the maximal repeated run. Runs of lines that each count alone are left
-out of the second shuffle, since their lines go singly.
+A document is its sequence of lines with words, each named by 128 hash bits of the line without outer blanks. Doubling
+names runs of 1, 2, 4, ... lines, and any run of n lines by the two longest of these that cover it. Suffixes that share
+the name of their first n lines are one interval of the suffix array with a common prefix of at least n lines; its first
+member, in the order of id and line, is the original. Names are content hashes, so each is made where its document is
+and only the intervals meet, in two shuffles. No order among different suffixes is needed, so none is made.
+
+A run of any length counts with ``min_words`` words or more, and a line goes if a run that covers it counts and starts
+earlier too. Depths up to ``min_words`` decide this exactly, as every line has a word. Take a line of a repeated run that
+counts: the shortest counting run that starts at the line lies in the repeated run, or the shortest that ends with it
+does, or else the shortest that starts with the repeated run covers the line. So two runs are looked up per line, the
+shortest counting ones that start and end with it, and doubling ends where they do.
 
 Null and empty texts, and texts of blanks, have no lines and stay as they are (null: null). Blank lines stay. Rows
 with a null id come last, in the order of a hash of their text. Rows that repeat id and text are one document
@@ -20,13 +21,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motefield.llm.common import NOT_SPACE, byte_class, hash_spans, lists, mix, per_text, staged
+from motefield.llm.common import NOT_SPACE, _powers, byte_class, hash_spans, lists, mix, per_text, staged
 
 ADDED = "n_lines long, n_removed long, kept_text string"
 _IN_LINE = byte_class(lambda b: b != 0x0A)
+_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _lines(texts):
@@ -43,49 +46,77 @@ def _order(id_col: str, text: str):
     return F.struct(F.col(id_col).isNull().alias("n"), F.coalesce(F.col(id_col), F.lit(0)).cast("long").alias("i"), F.xxhash64(text).alias("t"))
 
 
+def _checks(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A second hash of byte spans: the same sum over other values of the bytes."""
+    pw, inv = _powers(len(buf) + 1)
+    sums = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_VALUES[buf] * pw[: len(buf)], out=sums[1:])
+    return mix((sums[end] - sums[start]) * inv[start])
+
+
 def line_names(docs: DataFrame) -> DataFrame:
-    """``key, name array<long>, words array<int>``: the line sequence of each document with lines."""
+    """``key, name array<long>, check array<long>, words array<int>``: the line sequence of each document with lines."""
 
     def make():
         def fn(texts, batch):
             s, e, words, doc, _, _ = _lines(texts)
             count = np.bincount(doc, minlength=texts.n) if len(doc) else np.zeros(texts.n, np.int64)
-            h = hash_spans(texts.buf, s, e).view(np.int64)
-            return {"name": lists(h, count, pa.int64()), "words": lists(words.astype(np.int32), count, pa.int32())}
+            name, check = (f(texts.buf, s, e).view(np.int64) for f in (hash_spans, _checks))
+            return {"name": lists(name, count, pa.int64()), "check": lists(check, count, pa.int64()), "words": lists(words.astype(np.int32), count, pa.int32())}
 
         return fn
 
-    return per_text(docs, make, "name array<long>, words array<int>", "_text", ["key"])
+    return per_text(docs, make, "name array<long>, check array<long>, words array<int>", "_text", ["key"])
+
+
+def _joined(left: np.ndarray, right: np.ndarray, n) -> np.ndarray:
+    return mix(left * np.uint64(0x9E3779B97F4A7C15) + mix(right + n))
+
+
+def shortest_runs(words: np.ndarray, first: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the shortest runs of ``min_words`` words or more that start and that end with each line; ``first``: where
+    the lines of each document start, and the end of all."""
+    total = np.concatenate([[0], np.cumsum(words)])
+    own = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.arange(len(words))
+    end = np.searchsorted(total, total[:-1] + min_words)
+    begins = end <= first[1:][own]
+    start = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    ends = (start >= first[:-1][own]) & (end[start] != at + 1)
+    return np.concatenate([at[begins], start[ends]]), np.concatenate([end[begins], at[ends] + 1])
 
 
 def _doubled(min_words: int):
-    """Names of runs of 2, 4, ... lines inside stretches of repeated lines."""
+    """Names of the shortest counting runs inside stretches of repeated lines."""
 
     def run(batches):
         for batch in batches:
-            keys, out = [], [[], [], []]
-            for row, (name, words, spots) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("name", "words", "spots")))):
-                h, w = np.array(name, np.int64).view(np.uint64), np.array(words, np.int64)
-                live = np.zeros(len(h), bool)
-                live[spots] = True
-                alone = w >= min_words
-                k = 1
-                while True:
-                    if len(h) <= k:
-                        break
-                    h = mix(h[:-k] * np.uint64(0x9E3779B97F4A7C15) + mix(h[k:] + np.uint64(k)))
-                    w, live, alone = w[:-k] + w[k:], live[:-k] & live[k:], alone[:-k] & alone[k:]
-                    k *= 2
-                    if not live.any():
-                        break
-                    at = np.flatnonzero(live & ~alone & (w >= min_words))
-                    keys += [row] * len(at)
-                    for col, v in zip(out, (np.full(len(at), k), h[at].view(np.int64), at)):
-                        col.append(v)
-            if keys:
-                n, h, at = (np.concatenate(c) for c in out)
-                yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(keys)), pa.array(n.astype(np.int32)), pa.array(h), pa.array(at.astype(np.int32))],
-                                                 ["key", "n", "name", "at"])
+            if not batch.num_rows:
+                continue
+            count = pc.list_value_length(batch.column("words")).to_numpy()
+            first = np.concatenate([[0], np.cumsum(count)])
+            flat = {c: batch.column(c).flatten().to_numpy() for c in ("name", "check", "words", "spots")}
+            live = np.zeros(first[-1] + 1, np.int64)
+            live[1:][np.repeat(first[:-1], pc.list_value_length(batch.column("spots")).to_numpy()) + flat["spots"]] = 1
+            a, e = shortest_runs(flat["words"].astype(np.int64), first, min_words)
+            repeated = np.cumsum(live)
+            keep = (e - a > 1) & (repeated[e] - repeated[a] == e - a)
+            a, e = a[keep], e[keep]
+            if not len(a):
+                continue
+            named = [np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)]
+            deep, k = [flat["name"].view(np.uint64), flat["check"].view(np.uint64)], 1
+            while True:
+                own = np.flatnonzero((e - a >= k) & (e - a < 2 * k))
+                for out, h in zip(named, deep):
+                    out[own] = _joined(h[a[own]], h[e[own] - k], (e - a)[own].astype(np.uint64))
+                if 2 * k > (e - a).max():
+                    break
+                deep, k = [_joined(h[:-k], h[k:], np.uint64(k)) for h in deep], 2 * k
+            doc = np.searchsorted(first, a, "right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key").take(pa.array(doc)), pa.array((e - a).astype(np.int32)), *(pa.array(x.view(np.int64)) for x in named),
+                 pa.array((a - first[doc]).astype(np.int32))], ["key", "n", "name", "check", "at"])
 
     return run
 
@@ -100,14 +131,16 @@ def _later(runs: DataFrame, by: list[str]) -> DataFrame:
 def repeated_runs(docs: DataFrame, min_words: int = 10) -> DataFrame:
     """``key, runs array<struct<at,n>>``: per document the runs (line index among lines with words, lines) that
     start earlier elsewhere. ``docs``: ``key, _text``, one row per key."""
+    min_words = max(min_words, 1)
     sequences = staged(line_names(docs), "line-names")
     kind = sequences.schema["key"].dataType.simpleString()
-    single = sequences.select("key", F.posexplode(F.arrays_zip("name", "words")).alias("at", "x")).select("key", "at", F.col("x.name").alias("name"), F.col("x.words").alias("words"))
-    repeated = staged(_later(single, ["name"]), "repeated-lines")
+    line = F.posexplode(F.arrays_zip("name", "check", "words")).alias("at", "x")
+    single = sequences.select("key", line).select("key", "at", "x.name", "x.check", "x.words")
+    repeated = staged(_later(single, ["name", "check"]).select("key", "at", "words", "later"), "repeated-lines")
     spots = repeated.groupBy("key").agg(F.collect_list("at").alias("spots"), F.min("words").alias("w"))
     short = spots.where((F.col("w") < min_words) & (F.size("spots") > 1)).drop("w")
-    runs = staged(sequences.join(short, "key").mapInArrow(_doubled(min_words), f"key {kind}, n int, name long, at int"), "doubled")
-    longer = _later(runs, ["n", "name"]).where("later").select("key", "at", "n")
+    runs = sequences.join(short, "key").mapInArrow(_doubled(min_words), f"key {kind}, n int, name long, check long, at int")
+    longer = _later(staged(runs, "doubled"), ["n", "name", "check"]).where("later").select("key", "at", "n")
     alone = repeated.where(F.col("later") & (F.col("words") >= min_words)).select("key", "at", F.lit(1).alias("n"))
     return alone.union(longer).groupBy("key").agg(F.collect_list(F.struct("at", "n")).alias("runs"))
 

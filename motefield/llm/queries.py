@@ -153,7 +153,7 @@ def op10_main_text(spark, folder):
     s AS (SELECT doc_id, k, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS p FROM t WHERE line <> ''),
     d AS (SELECT doc_id, list(line ORDER BY p) AS lines, list(w ORDER BY p) AS ws FROM s GROUP BY 1),
     r AS (SELECT doc_id, p, n, array_to_string(lines[p:p + n - 1], chr(10)) AS run FROM (SELECT *, unnest(range(1, len(lines) - n + 2)) AS p
-          FROM (SELECT *, unnest([CAST(pow(2, e) AS BIGINT) for e in range(0, 30) if pow(2, e) <= len(lines)]) AS n FROM d)) WHERE list_sum(ws[p:p + n - 1]) >= 10),
+          FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS n FROM d)) WHERE list_sum(ws[p:p + n - 1]) >= 10),
     later AS (SELECT doc_id, p, n FROM (SELECT *, row_number() OVER (PARTITION BY n, md5(run) ORDER BY doc_id, p) AS c FROM r) WHERE c > 1),
     gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS p FROM later),
     kept AS (SELECT doc_id, string_agg(raw, chr(10) ORDER BY k) AS txt FROM t WHERE NOT EXISTS (SELECT 1 FROM s JOIN gone USING (doc_id, p) WHERE s.doc_id = t.doc_id AND s.k = t.k) GROUP BY 1),

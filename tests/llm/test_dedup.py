@@ -1,6 +1,7 @@
 """Exact, near, substring and line dedup against brute force."""
 
 import hashlib
+import random
 
 import pytest
 from fixture import blank_words, documents, lower_ascii
@@ -178,16 +179,14 @@ def without_lines(rows, least):
     seen, gone = {}, {}
     for i in sorted(seq):
         own = [x for _, x in seq[i]]
-        for p in range(len(own)):
-            n = 1
-            while p + n <= len(own):
-                run = tuple(own[p:p + n])
-                if sum(len(blank_words(x)) for x in run) >= least:
-                    if run in seen:
-                        gone.setdefault(i, set()).update(range(p, p + n))
-                    else:
-                        seen[run] = (i, p)
-                n *= 2
+        for p, line in enumerate(own):
+            for j, q in seen.get(line, ()):  # the longest run that starts here and there
+                other, n = seq[j], 0
+                while p + n < len(own) and q + n < len(other) and own[p + n] == other[q + n][1]:
+                    n += 1
+                if sum(len(blank_words(x)) for x in own[p:p + n]) >= least:
+                    gone.setdefault(i, set()).update(range(p, p + n))
+            seen.setdefault(line, []).append((i, p))
     for i, t in rows:
         cut = {seq[i][p][0] for p in gone.get(i, ())}
         out[i] = (len(seq[i]), len(cut), None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in cut))
@@ -206,3 +205,25 @@ def test_lines_of_repeated_rows(spark):
     got = sorted(((r.doc_id, r.n_removed, r.kept_text) for r in lines.line_dedup(df).collect()), key=str)
     assert got == sorted([(2, 1, ""), (2, 1, ""), (None, 1, "own"), (7, 0, None), (1, 0, "x\n" + line)], key=str)
     assert lines.line_dedup(df.limit(0)).count() == 0
+
+
+def test_runs_of_any_number_of_lines(spark):
+    """Three lines of 5, 4 and 5 words, seven of two words, and a long line with short ones after it."""
+    three = ["a b c d e", "f g h i", "j k l m n"]
+    seven = [f"s{k} t{k}" for k in range(7)]
+    tail = [" ".join(f"w{k}" for k in range(40)), *(f"u{k} v{k}" for k in range(6))]
+    rows = []
+    for n, run in enumerate((three, seven, tail, seven[:4])):
+        rows += [(10 * n + k, "\n".join([f"before {n} {k}", *run, f"after {n} {k}"])) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in lines.line_dedup(df).collect()}
+    assert got == without_lines(rows, 10)
+    assert [got[i][1] for i in (0, 1, 2, 11, 12, 21, 22, 30, 31)] == [0, 3, 3, 7, 7, 7, 7, 0, 0]
+
+
+@pytest.mark.parametrize("least", [1, 3, 7])
+def test_random_runs(spark, least):
+    rng = random.Random(least)
+    rows = [(i, "\n".join(rng.choice(["a", "b", "c d", "e f g", "h i j k"]) for _ in range(rng.randint(0, 40)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.kept_text) for r in lines.line_dedup(df, least).collect()} == without_lines(rows, least)
