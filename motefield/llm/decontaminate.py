@@ -4,12 +4,12 @@ Words are runs of ASCII letters (lower-cased), digits and non-ASCII characters.
 consecutive words of an item; an item of fewer words, but not none, is one window. Every word inside any
 occurrence of a window in a document is hit.
 
-The windows are counted first. Up to ``most`` of them (default 1 000 000, some 100 MB a worker at most)
-they are broadcast as sorted hashes with their texts, and each candidate is verified word by word. More
-are matched by a shuffled equi-join on 128 bits of window hash, with the same result.
+The windows are counted and measured first. Up to ``most`` of them (default 1 000 000) with up to ``most_bytes`` of
+words (default 64 MB) are broadcast as sorted hashes with their texts, and each candidate is verified word by word.
+More are matched by a shuffled equi-join on 128 bits of window hash, with the same result.
 
 Null and empty texts have no words. A null item text gives no window. Items with equal texts are all
-reported. Rows that repeat are judged alike. Other columns pass through, but those named like an added
+reported; an item without an id hits words, but has no id to report. Rows that repeat are judged alike. Other columns pass through, but those named like an added
 column are replaced.
 """
 
@@ -87,21 +87,21 @@ def _spans(hit: np.ndarray, first: np.ndarray):
 
 def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, text: str = "text", item: str = "item_id",
                   bench_text: str = "text", id_col: str = "doc_id", keep: list[str] | None = None,
-                  most: int = 1_000_000) -> DataFrame:
+                  most: int = 1_000_000, most_bytes: int = 1 << 26) -> DataFrame:
     """Adds ``n_words, n_hit, items`` (ids of items with an occurring window) and ``spans`` (hit word
     ranges) to each row. ``keep`` names the columns to pass through (default: all)."""
     wins = windows(bench, n, item, bench_text)
-    sizes = {r["m"]: r["n"] for r in wins.groupBy("m").agg(F.count(F.lit(1)).alias("n")).collect()}  # n rows at most
-    if sum(sizes.values()) > most:
+    sizes = {r["m"]: (r["n"], r["b"]) for r in wins.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("words")).alias("b")).collect()}  # n rows at most
+    if sum(n for n, _ in sizes.values()) > most or sum(b for _, b in sizes.values()) > most_bytes:
         return _shuffled(docs, wins, sorted(sizes), text, id_col, keep)
     rows = wins.collect()
     tables = {}
     for m in sorted(sizes):
-        mine = sorted((r["gram"] & (2**64 - 1), bytes(r["words"]), r["item_id"]) for r in rows if r["m"] == m)
+        mine = sorted((r["gram"] & (2**64 - 1), bytes(r["words"]), r["item_id"] is not None, r["item_id"] or 0) for r in rows if r["m"] == m)
         keys = np.array([r[0] for r in mine], np.uint64)
         coarse = np.zeros(1 << 20, bool)
         coarse[keys >> np.uint64(44)] = True
-        tables[m] = keys, coarse, [r[1] for r in mine], np.array([r[2] for r in mine], np.int64)
+        tables[m] = keys, coarse, [r[1] for r in mine], np.array([r[2] for r in mine], bool), np.array([r[3] for r in mine], np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def make():
@@ -110,8 +110,8 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, text: str = "t
         def fn(texts, batch):
             w = texts.lower().words(ALNUM)
             h = w.hashes()
-            at_all, size_all, item_all = [], [], []
-            for m, (keys, coarse, words, ids) in tables.items():
+            at_all, size_all, item_all, known_all = [], [], [], []
+            for m, (keys, coarse, words, known, ids) in tables.items():
                 at, g = _grams(w, h, m)
                 maybe = np.flatnonzero(coarse[g >> np.uint64(44)])
                 at, g = at[maybe], g[maybe]
@@ -120,11 +120,11 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = 13, text: str = "t
                     seen = b" ".join(texts.buf[s:e].tobytes() for s, e in zip(w.start[a:a + m], w.end[a:a + m]))
                     for k in range(x, y):
                         if words[k] == seen:
-                            at_all.append(a), size_all.append(m), item_all.append(ids[k])
-            at, size, ids = np.array(at_all, np.int64), np.array(size_all, np.int64), np.array(item_all, np.int64)
+                            at_all.append(a), size_all.append(m), item_all.append(ids[k]), known_all.append(known[k])
+            at, size, ids, known = (np.array(x, t) for x, t in ((at_all, np.int64), (size_all, np.int64), (item_all, np.int64), (known_all, bool)))
             hit = _marked(len(w.start), at, size)
             doc = np.searchsorted(w.first, at, "right") - 1
-            pairs = np.unique(np.stack([doc, ids]), axis=1)
+            pairs = np.unique(np.stack([doc[known], ids[known]]), axis=1)
             sums = np.concatenate([[0], np.cumsum(hit)])
             return {
                 "n_words": pa.array(w.count.astype(np.int64)), "n_hit": pa.array(sums[w.first[1:]] - sums[w.first[:-1]]),

@@ -71,6 +71,15 @@ def test_contamination_of_null_and_repeated_ids(spark, most):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("limits", [{}, {"most": 0}, {"most_bytes": 100}])
+def test_contamination_by_items_without_an_id(spark, limits):
+    passage = " ".join(f"p{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "two words here"), (3, "none")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, passage), (None, passage), (None, "two words"), (None, None)], "item_id long, text string")
+    got = sorted((r.doc_id, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench, **limits).collect())
+    assert got == [(1, 13, [7]), (2, 2, []), (3, 0, [])]
+
+
 def test_quality_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
@@ -127,6 +136,42 @@ def test_forward_sums_all_segmentations():
         total = np.zeros((vocab.size, 2))  # expected counts weigh the bytes they cover
         langid.expected(np.frombuffer(word, np.uint8)[None, :], np.ones((1, 2)), vocab, weights, total)
         assert np.allclose((total * vocab.lengths[:, None]).sum(0), len(word))
+        if word[:1] != b" ":  # longer words always begin with the blank
+            continue
+        own, start, end = np.frombuffer(word[1:], np.uint8), np.array([0]), np.array([len(word) - 1])
+        assert np.allclose(langid.forward_long(own, start, end, vocab, weights)[0], brute(word))
+        again = np.zeros((vocab.size, 2))
+        langid.expected_long(own, start, end, np.ones((1, 2)), vocab, weights, again)
+        assert np.allclose(total, again)
+
+
+def test_long_words_are_not_cut():
+    """Words of 60 to 10 000 bytes against a plain pass in logarithms, in one and in many blocks."""
+    vocab = langid.Vocabulary(PIECES)
+    rng = np.random.default_rng(3)
+    weights = rng.random((vocab.size, 2)) * 40.0 ** vocab.lengths[:, None] * 1e-4
+    text = "".join(rng.choice(list("東京都は日本の首都であるaeiou"), 6000)).encode()
+    words = [text[:10_000], text[30:168], text[3:63], b"therefore" * 30]
+    buf = np.frombuffer(b"".join(words), np.uint8)
+    end = np.cumsum([len(w) for w in words])
+    start = end - np.array([len(w) for w in words])
+
+    def brute(word):
+        total = np.full((len(word) + 1, 2), -np.inf)
+        total[0] = 0
+        m = np.frombuffer(word, np.uint8)
+        for _, s, e, i in zip(*langid.arcs(m[1:], np.array([0]), np.array([len(m)]), vocab, 0, len(m))):
+            total[e] = np.logaddexp(total[e], total[s] + np.log(weights[i]))
+        return total[-1]
+
+    want = np.array([brute(b" " + w) for w in words])
+    assert np.allclose(langid.forward_long(buf, start, end, vocab, weights), want)
+    assert np.allclose(langid.forward_long(buf, start, end, vocab, weights, block=100), want)
+    short = np.frombuffer(b" " + words[2], np.uint8)[None, :]
+    assert np.allclose(langid.forward(short, vocab, weights)[0], want[2])
+    total = np.zeros((vocab.size, 2))
+    langid.expected_long(buf, start, end, np.ones((4, 2)), vocab, weights, total)
+    assert np.allclose((total * vocab.lengths[:, None]).sum(0), len(buf) + 4)
 
 
 def test_language_held_out(spark):
