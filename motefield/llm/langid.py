@@ -8,7 +8,9 @@ expected counts per piece and language, which are summed over tasks.
 
 The fit may use a bounded, hashed sample of the labelled rows: ``train_docs`` per language (default 4 000).
 Everything else runs over all rows and whole texts. Distinct words of a slice are scored together, and a worker
-remembers words it has met (a bounded memory, for speed only). A word of over 64 bytes is scored in parts of 64.
+remembers words it has met (a bounded memory, for speed only). Words of any length are scored whole: beyond ``SHORT``
+bytes the forward values are rescaled on the way and pieces are looked up block by block, which gives the same sums.
+Words of over ``FIT_BYTES`` bytes take no part in the fit (part of its bounded sample).
 
 Null texts and texts without a letter are ``und`` with score 0, as is every text when nothing could be learned.
 Rows with a null language take no part in the fit. Ties go to the first language in alphabetical order.
@@ -25,11 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motefield.llm.common import Texts, _powers, byte_class, hash_spans, mix, per_text, release, staged, worker_cache
+from motefield.llm.common import Texts, _powers, byte_class, expand, hash_spans, mix, per_text, release, staged, worker_cache
 
 #: letters once lower-cased; every non-ASCII byte counts as part of one
 ALPHA = byte_class(lambda b: 97 <= b <= 122 or b >= 0x80)
-PART = 64
+SHORT = 64
+FIT_BYTES = 4096
 #: a piece of n bytes weighs p * SCALE^n: the same factor for all languages, it keeps products in range
 SCALE = 40.0
 
@@ -115,28 +118,106 @@ def expected(words: np.ndarray, counts: np.ndarray, vocab: Vocabulary, weights:
             total[:, k] += np.bincount(ids, share[:, k], minlength=len(total))
 
 
-def _words_of(texts: Texts):
-    """Bounds of word parts of at most PART bytes, and which of them begin a word."""
-    w = texts.words(ALPHA)
-    s, e, lead, doc = w.start, w.end, np.ones(len(w.start), bool), w.text_of()
-    while len(s) and (e - s).max() > PART:
-        parts = np.maximum(1, -(-(e - s) // PART))
-        own = np.repeat(np.arange(len(s)), parts)
-        k = np.arange(len(own)) - np.repeat(np.cumsum(parts) - parts, parts)
-        start = s[own] + k * PART
-        s, e, lead, doc = start, np.minimum(start + PART, e[own]), lead[own] & (k == 0), doc[own]
-    return s, e, lead, doc
-
-
-def _matrices(data: np.ndarray, s: np.ndarray, e: np.ndarray, lead: np.ndarray):
-    """Words grouped by length, as byte matrices with the blank before those that begin a word."""
-    size = e - s + lead
-    for n in np.unique(size).tolist():
+def arcs(buf: np.ndarray, start: np.ndarray, size: np.ndarray, vocab: Vocabulary, lo: int, hi: int):
+    """(word, start, end, piece id), by end, of the pieces that end after bytes lo+1..hi of words; a word is a blank and
+    the bytes of ``buf`` from ``start`` on, ``size`` bytes with the blank."""
+    live = np.flatnonzero(size > lo)
+    begin = max(0, lo - vocab.longest)
+    count = np.minimum(size[live], hi) - begin
+    own, off = np.repeat(live, count), expand(np.full(len(live), begin), count)
+    data = buf[np.maximum(start[own] + off - 1, 0)]
+    data[off == 0] = 0x20
+    pw, inv = _powers(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[: len(data)], out=sums[1:])
+    last, found = np.minimum(size, hi)[own], []
+    for n in range(1, vocab.longest + 1):
+        at = np.flatnonzero((off + n <= last) & (off + n > lo))
+        ids = vocab.find(mix((sums[at + n] - sums[at]) * inv[at]))
+        hit = ids >= 0
+        found.append((own[at[hit]], off[at[hit]], off[at[hit]] + n, ids[hit]))
+    own, s, e, ids = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(e, kind="stable")
+    return own[order], s[order], e[order], ids[order]
+
+
+def _scaled(blocks, size: np.ndarray, longest: int, weights: np.ndarray, stored: bool = False):
+    """Log of the summed weight of all ways through each word; with ``stored`` also the sums at each byte and the logs of
+    their scales. ``blocks``: (last byte, arcs up to there), in order."""
+    words, languages = len(size), weights.shape[1]
+    ring = np.zeros((longest + 1, words, languages))
+    ring[0] = 1
+    log, out, j = np.zeros((words, languages)), np.zeros((words, languages)), 0
+    sums = [(ring[0].copy(), log.copy())]
+    for hi, (own, s, e, ids) in blocks:
+        bounds = np.searchsorted(e, np.arange(j + 1, hi + 2))
+        for k in range(hi - j):
+            at, x, y = j + k + 1, bounds[k], bounds[k + 1]
+            now = ring[at % (longest + 1)]
+            now[:] = 0
+            np.add.at(now, own[x:y], ring[s[x:y] % (longest + 1), own[x:y]] * weights[ids[x:y]])
+            if stored:
+                sums.append((now.copy(), log.copy()))
+            done = size == at
+            if done.any():
+                out[done] = np.log(np.maximum(now[done], 1e-300)) + log[done]
+            if at % 8 == 0:
+                scale = np.where(now > 0, now, 1)
+                log += np.log(scale)
+                ring /= scale
+        j = hi
+    return out, sums
+
+
+def forward_long(buf: np.ndarray, start: np.ndarray, end: np.ndarray, vocab: Vocabulary, weights: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """`forward` for words of any length, given by their bounds in ``buf`` (without the blank)."""
+    out = np.zeros((len(start), weights.shape[1]))
+    order = np.argsort(end - start, kind="stable")
+    for part in _dealt(order, end - start + 1, block):
+        size = (end - start + 1)[part]
+        tops = [min(x + block, int(size.max())) for x in range(0, int(size.max()), block)]
+        blocks = ((hi, arcs(buf, start[part], size, vocab, hi - (hi - 1) % block - 1, hi)) for hi in tops)
+        out[part] = _scaled(blocks, size, vocab.longest, weights)[0]
+    return out
+
+
+def expected_long(buf: np.ndarray, start: np.ndarray, end: np.ndarray, counts: np.ndarray, vocab: Vocabulary, weights: np.ndarray, total: np.ndarray) -> None:
+    """`expected` for words of any length; their sums at each byte are held at once."""
+    order = np.argsort(end - start, kind="stable")
+    for part in _dealt(order, end - start + 1, 1 << 15):
+        size = (end - start + 1)[part]
+        most = int(size.max())
+        own, s, e, ids = arcs(buf, start[part], size, vocab, 0, most)
+        whole, up = _scaled([(most, (own, s, e, ids))], size, vocab.longest, weights, True)
+        turn = np.argsort((size[own] - s), kind="stable")
+        _, down = _scaled([(most, (own[turn], (size[own] - e)[turn], (size[own] - s)[turn], ids[turn]))], size, vocab.longest, weights, True)
+        up, up_log, down, down_log = (np.stack(c) for both in (up, down) for c in zip(*both))
+        at = size[own] - e
+        share = up[s, own] * weights[ids] * down[at, own] * np.exp(up_log[s, own] + down_log[at, own] - whole[own]) * counts[part][own]
+        for k in range(weights.shape[1]):
+            total[:, k] += np.bincount(ids, share[:, k], minlength=len(total))
+
+
+def _dealt(order: np.ndarray, size: np.ndarray, most: int):
+    """Words in groups of at most ``most`` bytes, or one word."""
+    group = []
+    for k in order.tolist():
+        if group and (len(group) + 1) * size[k] > most:
+            yield np.array(group)
+            group = []
+        group.append(k)
+    if group:
+        yield np.array(group)
+
+
+def _matrices(data: np.ndarray, s: np.ndarray, e: np.ndarray):
+    """Words of up to SHORT bytes grouped by length, as byte matrices with the blank before each."""
+    size = e - s + 1
+    for n in np.unique(size[size <= SHORT + 1]).tolist():
         own = np.flatnonzero(size == n)
         for part in np.array_split(own, max(1, len(own) * n // 400_000)):
-            at = s[part][:, None] - lead[part][:, None] + np.arange(n)
-            m = data[np.maximum(at, 0)]
-            m[lead[part], 0] = 0x20
+            m = data[np.maximum(s[part][:, None] - 1 + np.arange(n), 0)]
+            m[:, 0] = 0x20
             yield part, m
 
 
@@ -152,10 +233,9 @@ class LanguageModel:
 
 
 def _distinct(texts: Texts):
-    s, e, lead, doc = _words_of(texts)
-    h = mix(hash_spans(texts.buf, s, e) + lead.astype(np.uint64))
-    keys, at, back = np.unique(h, return_index=True, return_inverse=True)
-    return s, e, lead, doc, keys, at, back
+    w = texts.words(ALPHA)
+    keys, at, back = np.unique(w.hashes(), return_index=True, return_inverse=True)
+    return w.start, w.end, w.text_of(), keys, at, back
 
 
 def learn(rows: DataFrame, vocabulary: str, lang: str = "lang", text: str = "text", rounds: int = 2) -> LanguageModel:
@@ -178,12 +258,15 @@ def learn(rows: DataFrame, vocabulary: str, lang: str = "lang", text: str = "tex
                 own = [index.get(x, -1) for x in batch.column(lang).to_pylist()]
                 for at in range(0, batch.num_rows, 500):
                     texts = _lowered(batch.column(text).slice(at, 500))
-                    s, e, lead, doc, keys, first, back = _distinct(texts)
+                    s, e, doc, keys, first, back = _distinct(texts)
                     kind = np.array(own[at: at + 500])[doc] if len(doc) else doc
                     counts = np.zeros((len(keys), n))
                     np.add.at(counts, (back[kind >= 0], kind[kind >= 0]), 1)
-                    for part, m in _matrices(texts.buf, s[first], e[first], lead[first]):
+                    s, e = s[first], e[first]
+                    for part, m in _matrices(texts.buf, s, e):
                         expected(m, counts[part], vocab, weights, total)
+                    far = np.flatnonzero((e - s > SHORT) & (e - s <= FIT_BYTES))
+                    expected_long(texts.buf, s[far], e[far], counts[far], vocab, weights, total)
             piece, kind = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(total[piece, kind])], ["piece", "kind", "c"])
 
@@ -231,13 +314,15 @@ def predicted(docs: DataFrame, model: LanguageModel, vocabulary: str, text: str
 
         def fn(_, batch):
             texts = _lowered(batch.column(text))
-            s, e, lead, doc, keys, first, back = _distinct(texts)
+            s, e, doc, keys, first, back = _distinct(texts)
 
             def score(new):
                 out = np.zeros((len(new), n))
-                own = first[new]
-                for part, m in _matrices(texts.buf, s[own], e[own], lead[own]):
+                at, to = s[first[new]], e[first[new]]
+                for part, m in _matrices(texts.buf, at, to):
                     out[part] = forward(m, vocab, shared.value)
+                far = np.flatnonzero(to - at > SHORT)
+                out[far] = forward_long(texts.buf, at[far], to[far], vocab, shared.value)
                 return out
 
             total = np.zeros((texts.n, n))
