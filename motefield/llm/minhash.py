@@ -217,6 +217,10 @@ def rare_pairs(texts: DataFrame, shingle: int, share: int) -> DataFrame:
     the first shingle that a pair at the share has in common is among the first n - ceil(t n) + 1 of the larger set and the
     first n - ceil(2 t n / (1 + t)) + 1 of the smaller one, and enough shingles follow it in both. Frequent shingles are
     salted: rows of the smaller side are dealt out, those of the larger side go to each salt.
+
+    Shingles of one group only are left out before the match. Of the others, rows of the shingle's largest group meet only
+    rows of other groups. As no group is larger, pairs within the rest are fewer than these, so at most about half of the
+    rows made are of one group, however large the groups are.
     """
     shift = np.uint64(64 - COUNTERS)
 
@@ -262,9 +266,15 @@ def rare_pairs(texts: DataFrame, shingle: int, share: int) -> DataFrame:
         return fn
 
     rows = staged(per_text(texts, make, "token long, salt int, id long, comp long, n long, rest long, small boolean", "_text", rows=False), "rare-shingles")
-    x, y = (rows.where(F.col("small") == side).select("token", "salt", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "comp", "n", "rest")])
-            for side, k in ((True, "x"), (False, "y")))
-    met = x.join(y, ["token", "salt"]).where(
+    sizes = rows.where("not small and salt = 0").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
+    shared_by = sizes.groupBy("token").agg(F.max(F.struct("n", "comp"))["comp"].alias("largest"), F.count(F.lit(1)).alias("groups"))
+    rows = rows.join(staged(shared_by.where("groups > 1").select("token", "largest"), "shared-shingles"), "token").withColumn(
+        "large", F.col("comp") == F.col("largest")).drop("largest")
+    side = lambda small, k, *more: rows.where(F.col("small") == small).select(
+        "token", "salt", *more, *[F.col(c).alias(f"{c}_{k}") for c in ("id", "comp", "n", "rest")])
+    x = side(True, "x", F.col("large").alias("kind"))
+    y = side(False, "y", F.explode(F.when(F.col("large"), F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False)))).alias("kind"))
+    met = x.join(y, ["token", "salt", "kind"]).where(
         (F.col("comp_x") != F.col("comp_y")) & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("id_x") < F.col("id_y"))))
         & (100 * F.col("n_x") >= share * F.col("n_y"))
         & ((100 + share) * F.least("rest_x", "rest_y") >= share * (F.col("n_x") + F.col("n_y"))))
