@@ -9,6 +9,8 @@ the *shape* of a page (labels without text) is small and most pages of a host sh
    host's pages have in the same slot is constant, so part of the template; other texts vary;
 3. content is what varies, outside of elements that by name are not content (`DROP_TAGS`, `DROP_NAMES`). Where
    a shape has an article or main element, only what is inside; else runs of mostly links are left out too.
+   Inside, a name drops an element only if it is a listed word or made of such words and neutral ones (`NEUTRAL`):
+   ``social-share`` goes, ``related-work`` and ``share-price`` stay.
    Names do not drop what frames the content: html, body, main, an element around all main elements (without
    one: all outer articles), nor an article unless another has no such name. ``has-sidebar`` is not a sidebar.
 
@@ -17,14 +19,17 @@ holds a third of all pages costs its distinct shapes. Pages meet their wrapper i
 a key is hot.
 
 Null html is empty and gives an empty text. A null or odd url is host "". Truncated and malformed pages are
-parsed as browsers do as far as blocks go: unclosed elements end with their parent. Repeated rows are treated
-alike. Columns other than id, url and html are not read.
+parsed as browsers do as far as blocks go: unclosed elements end with their parent, script, style and the like (`CODE`)
+without an end tag hold the rest of the page, and of others that are left out (`RAW`) only the tag goes then. Formulas
+and what ``object`` holds are text. Elements may be nested to any depth. Repeated rows are treated alike. Columns other than id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+import sys
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +45,8 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol option p pre section select summary table tbody td tfoot th "
     "thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe xmp noembed noframes object svg math".split())
+CODE = frozenset("script style textarea xmp".split())
+RAW = CODE | frozenset("title noscript template iframe noembed noframes svg annotation annotation-xml".split())
 #: an element of the key's name ends open ones of the first set, up to one of the second
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -53,21 +59,24 @@ DROP_NAMES = frozenset(
     "sidebar complementary footer contentinfo masthead comment comments reply replies disqus respond cookie cookies consent gdpr notice "
     "notices alert share sharing social related recommended newsletter subscribe signup login popup modal overlay toolbar pagination pager "
     "search skip".split())
+#: words that say nothing of what an element is
+NEUTRAL = frozenset("area bar block box button buttons container count form icons item items link links list panel section slot thread unit widget wrap wrapper".split())
 CONTENT_TAGS = frozenset(("article", "main"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
+_NAMES = re.compile(r"[a-z]+(?:[-_][a-z]+)*")
 #: a class that says what an element has or lacks is one word: it names no such element
 _MODIFIED = re.compile(r"(?:has|no|with|without)[-_].*|.*[-_]off")
 
 
 def label_of(tag: str, attrs: str) -> str:
-    """Tag with the words of its class, id and role; digits are left out."""
+    """Tag with the names of its class, id and role; digits are left out."""
     if "=" not in attrs:
         return tag
     names = [c for m in _ATTR.finditer(attrs) for c in (m[2] or m[3] or m[4] or "").lower().split()]
-    words = sorted({w for c in names for w in (["".join(_NAME.findall(c))] if _MODIFIED.fullmatch(c) else _NAME.findall(c))} - {""})
+    words = sorted({w for c in names for w in (["".join(_NAME.findall(c))] if _MODIFIED.fullmatch(c) else _NAMES.findall(c))} - {""})
     return ".".join([tag, *words])
 
 
@@ -124,7 +133,9 @@ def parse(page: str) -> list:
             if not m[3].endswith("/"):
                 stop = re.compile(f"</{re.escape(tag)}", re.I).search(page, at)
                 if stop is None:
-                    break
+                    if tag in CODE:
+                        break
+                    continue
                 close_at = page.find(">", stop.end())
                 at = end if close_at < 0 else close_at + 1
             continue
@@ -159,6 +170,10 @@ def parse(page: str) -> list:
 
 def shape_of(root: list) -> tuple[str, list[int], list[str]]:
     """The folded shape, and for each text run its leaf in the shape and the text, in page order."""
+    level, depth = [root], 0
+    while level:
+        level, depth = [c for n in level if type(n) is list for c in n[1]], depth + 1
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 3 * depth + 1000))
 
     def walk(node):
         """(shape, leaves in it, runs as (leaf, text)); childless elements are left out"""
@@ -208,40 +223,115 @@ def read_shape(shape: str) -> tuple:
     return node()
 
 
+def _deep(shape: str) -> None:
+    """Lets the walks below call themselves once or twice per level of a shape."""
+    level = most = 0
+    for c in re.findall(r"[()]", shape):
+        level += 1 if c == "(" else -1
+        most = max(most, level)
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 3 * most + 1000))
+
+
+def _kinds(root: tuple, known: dict, kinds: dict) -> None:
+    """Numbers equal subtrees alike; ``kinds``: (number, nodes) by id of the node."""
+    todo = [(root, False)]
+    while todo:
+        node, ready = todo.pop()
+        if ready or not node[1]:
+            key = node[0], tuple(kinds[id(c)][0] for c in node[1])
+            kinds[id(node)] = known.setdefault(key, len(known)), 1 + sum(kinds[id(c)][1] for c in node[1])
+        else:
+            todo.append((node, True))
+            todo += [(c, False) for c in node[1]]
+
+
 def tree_match(a: tuple, b: tuple) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching: size of the largest top-down order-preserving match, and its pairs of leaves."""
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
+    """Simple tree matching: size of the largest top-down order-preserving match, and its pairs of leaves.
+
+    Equal subtrees match whole. Of others, each pair of different kinds is aligned once; an alignment of m and n children
+    takes m passes over rows of n numbers and keeps every square root of m-th row, the others are made again on the way back.
+    """
+    known: dict[tuple, int] = {}
+    kinds: dict[int, tuple[int, int]] = {}
+    _kinds(a, known, kinds)
+    _kinds(b, known, kinds)
+    memo: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+    none = np.zeros((0, 2), np.int64)
+
+    def leaves(x):
+        todo, out = [x], []
+        while todo:
+            n = todo.pop()
+            todo += reversed(n[1])
+            if not n[1] and n[0].startswith("#"):
+                out.append(n[2] - x[2])
+        return np.repeat(np.array(out, np.int64)[:, None], 2, axis=1)
+
+    def align(x, y):
+        m, n = len(x[1]), len(y[1])
+        (cx, ix, jx), (cy, iy, jy) = (np.unique([kinds[id(c)][0] for c in z[1]], return_index=True, return_inverse=True) for z in (x, y))
+        worth = np.zeros((len(cx), len(cy)), np.int64)
+        for i, p in enumerate(ix):
+            for j, q in enumerate(iy):
+                if x[1][p][0] == y[1][q][0]:
+                    worth[i, j] = match(x[1][p], y[1][q])[0]
+        if not worth.any():
+            return 1, none
+
+        def row(before, i):
+            out = np.zeros(n + 1, np.int64)
+            out[1:] = np.maximum.accumulate(np.maximum(before[1:], before[:-1] + worth[jx[i]][jy]))
+            return out
+
+        step = isqrt(m) + 1
+        now, saved = np.zeros(n + 1, np.int64), []
+        for i in range(m):
+            if i % step == 0:
+                saved.append(now)
+            now = row(now, i)
+        size, i, j, pairs = int(now[n]) + 1, m, n, []
+        while i and j:
+            low = (i - 1) // step * step
+            rows = [saved[low // step]]
+            for k in range(low, i):
+                rows.append(row(rows[-1], k))
+            while i > low and j:
+                best = rows[i - low]
+                if best[j] == rows[i - 1 - low][j]:
+                    i -= 1
+                elif best[j] == best[j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    p, q = x[1][i], y[1][j]
+                    pairs.append(match(p, q)[1] + [p[2] - x[2], q[2] - y[2]])
+        return size, np.concatenate([none, *reversed(pairs)])
 
     def match(x, y):
+        """Size, and pairs of leaves counted from the first of each."""
         if x[0] != y[0]:
-            return 0, []
-        key = id(x), id(y)
+            return 0, none
+        key = kinds[id(x)][0], kinds[id(y)][0]
         if key not in memo:
-            if not x[1] and not y[1]:
-                memo[key] = 1, [(x[2], y[2])] if x[0].startswith("#") else []
+            if key[0] == key[1]:
+                memo[key] = kinds[id(x)][1], leaves(x)
+            elif not x[1] or not y[1]:
+                memo[key] = 1, none
             else:
-                m, n = len(x[1]), len(y[1])
-                best = [[0] * (n + 1) for _ in range(m + 1)]
-                for i in range(1, m + 1):
-                    for j in range(1, n + 1):
-                        best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + match(x[1][i - 1], y[1][j - 1])[0])
-                i, j, pairs = m, n, []
-                while i and j:
-                    if best[i][j] == best[i - 1][j]:
-                        i -= 1
-                    elif best[i][j] == best[i][j - 1]:
-                        j -= 1
-                    else:
-                        i, j = i - 1, j - 1
-                        pairs = match(x[1][i], y[1][j])[1] + pairs
-                memo[key] = best[m][n] + 1, pairs
+                memo[key] = align(x, y)
         return memo[key]
 
-    return match(a, b)
+    size, pairs = match(a, b)
+    return size, [tuple(p) for p in pairs.tolist()]
 
 
-def _named(label: str) -> bool:
-    return not DROP_NAMES.isdisjoint(label.split(".")[1:])
+def _named(label: str, inside: bool = False) -> bool:
+    """Does a name mark what is not content? Inside of content all words of the name must."""
+    for name in label.split(".")[1:]:
+        words = {w for w in re.split("[-_]", name) if len(w) > 1}
+        if words & DROP_NAMES and (not inside or words <= DROP_NAMES | NEUTRAL):
+            return True
+    return False
 
 
 def _dropped(label: str, inside: bool) -> bool:
@@ -281,6 +371,8 @@ def wrapper(shape: str, seed: str) -> tuple[tuple[int, ...], tuple[bool, ...]]:
     """Per leaf of the shape: its slot in the seed (-1: none), and whether it may be content."""
     if not shape:
         return (), ()
+    _deep(shape)
+    _deep(seed)
     tree = read_shape(shape)
     slots = [-1] * tree[3]
     for x, y in tree_match(tree, read_shape(seed))[1]:
@@ -294,7 +386,7 @@ def wrapper(shape: str, seed: str) -> tuple[tuple[int, ...], tuple[bool, ...]]:
             keep[first] = not dropped
             inside_any.append((first, inside and not dropped, label == "#a"))
             return
-        named = _named(label) and label.split(".")[0] not in ("html", "body") and id(node) not in free
+        named = _named(label, inside) and label.split(".")[0] not in ("html", "body") and id(node) not in free
         dropped = dropped or named or _dropped(label, inside)
         inside = inside or (label.split(".")[0] in CONTENT_TAGS and not dropped)
         for c in children:

@@ -262,3 +262,46 @@ def test_names_do_not_drop_what_frames_the_content(page):
     shape, leaf, runs = extract.shape_of(extract.parse(page))
     keep = extract.wrapper(shape, shape)[1]
     assert [r for k, r in zip(leaf, runs) if keep[k]] == ["own"]
+
+
+def _plain_match(x, y):
+    """Simple tree matching as it is defined, without any shortcut."""
+    if x[0] != y[0]:
+        return 0
+    best = [[0] * (len(y[1]) + 1) for _ in range(len(x[1]) + 1)]
+    for i, p in enumerate(x[1]):
+        for j, q in enumerate(y[1]):
+            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + _plain_match(p, q))
+    return best[-1][-1] + 1
+
+
+def test_tree_matching_against_brute_force():
+    rng = random.Random(6)
+
+    def tree(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return "#"
+        return f"{rng.choice('abc')}({' '.join(tree(depth - 1) for _ in range(rng.randint(1, 4)))})"
+
+    def labels(node, path=()):
+        path = (*path, node[0])
+        return {node[2]: path} if not node[1] else {k: v for c in node[1] for k, v in labels(c, path).items()}
+
+    for _ in range(300):
+        a, b = extract.read_shape(f"r({tree(4)} {tree(4)})"), extract.read_shape(f"r({tree(4)} {tree(4)})")
+        size, pairs = extract.tree_match(a, b)
+        assert size == _plain_match(a, b)
+        x, y = labels(a), labels(b)
+        assert all(x[i] == y[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_deep_and_long_pages(spark):
+    """5 000 unclosed blocks, 10 000 alternating ones against a seed of 9 000, elements without an end tag."""
+    long = lambda n, more: "<body>" + "".join(f"<h2>head {k}</h2><p>text {k}</p>" for k in range(n // 2)) + more + "</body>"
+    pages = [(1, "http://a/1", "<div>" * 5000 + "deep"), (2, "http://b/1", long(10_000, "<h3>x</h3>")), (3, "http://b/2", long(9_000, "<pre>y</pre>")),
+             (4, "http://c/1", "<p>before <svg><path> after</p><p>tail"), (5, "http://c/2", "<p>a <math><mi>x</mi></math> b <object>fallback</object></p><title>t"),
+             (6, "http://d/1", "<article><section class='related-work'>r</section><h2 class='share-price'>s</h2><div class='social-share'>no</div><p>t</p></article>")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.id: r.text for r in extract.main_text(df).collect()}
+    assert got[1] == "deep" and got[4] == "before after\ntail" and got[5] == "a x b fallback\nt" and got[6] == "r\ns\nt"
+    assert got[2].count("\n") == 10_000 and got[3].count("\n") == 9_000
