@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from motefield.functions.kernels import kernel_values
+from motefield.functions.kernels import NORMS, kernel_values
 from motefield.operators.camera import Camera, literal
 from motefield.operators.splat import EDGE, projected
 
@@ -26,6 +26,7 @@ for _name in (__name__, kernel_values.__module__):
     cloudpickle.register_pickle_by_value(sys.modules[_name])
 
 AT_ONCE = 1 << 18  # pixels of discs worked on at a time
+WIDE = 4  # discs whose box holds more than one of so many pixels of the screen are drawn on the whole screen
 
 
 def _expand(start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -52,7 +53,14 @@ class Grid:
     def add(self, cx, cy, rx, ry, a, q) -> None:
         seen = (cx + rx >= -EDGE) & (cx - rx <= self.width - 1 + EDGE)
         row, rows = _span(cy, ry, self.height)
-        rows = np.where(seen, rows, 0)
+        cols = _span(cx, rx, self.width)[1]
+        # rows without a quantity count nowhere, and discs of odd radii are left to the rows
+        wide = seen & (rows * cols * WIDE > len(self.hit)) & np.isfinite(rx) & np.isfinite(ry) & (rx > 0) & (ry > 0)
+        if q is not None:
+            wide &= ~np.isnan(q)
+        if wide.any():
+            self._wide(*(v[wide] for v in (cx, cy, rx, ry, a)), None if q is None else q[wide])
+        rows = np.where(seen & ~wide, rows, 0)
         at = 0
         upto = np.cumsum(rows)
         while at < len(rows):  # pixel rows of some discs at a time; one disc has at most ``height``
@@ -63,6 +71,34 @@ class Grid:
             self._rows(py, dy * dy, disc, cx, rx, a, q)
             at = to
 
+    def _wide(self, cx, cy, rx, ry, a, q) -> None:
+        """Discs over much of the screen: kernel values of all its pixels, a few discs at a time, summed by one product."""
+        weights = np.stack([a] if q is None else [a, a * q, a * q * q])
+        step = max(1, AT_ONCE // 8 // len(self.hit))
+        space = np.empty((3, step, len(self.hit)))
+        for at in range(0, len(cx), step):
+            to = slice(at, at + step)
+            dx = (np.arange(self.width) - cx[to, None]) / rx[to, None]
+            dy = (np.arange(self.height) - cy[to, None]) / ry[to, None]
+            r, value, cube = space[:, : len(dx)]
+            np.add((dx * dx)[:, None, :], (dy * dy)[:, :, None], out=r.reshape(len(dx), self.height, self.width))
+            if not self.hit.all():
+                self.hit |= (r <= 1.0).any(axis=0)
+            if self.kernel == "cubic_spline":  # both pieces end at zero
+                np.sqrt(r, out=r)
+                np.maximum(np.subtract(1.0, r, out=cube), 0.0, out=cube)
+                np.multiply(cube, cube, out=value)
+                value *= cube
+                np.maximum(np.subtract(0.5, r, out=cube), 0.0, out=cube)
+                np.multiply(cube, cube, out=r)
+                r *= cube
+                r *= 4.0
+                value -= r
+                value *= 2.0 * NORMS["cubic_spline"]
+            else:
+                value = kernel_values(self.kernel, np.minimum(r, 1.0)) * (r <= 1.0)
+            self.sums += weights[:, to] @ value
+
     def _rows(self, py, dy2, disc, cx, rx, a, q) -> None:
         col, cols = _span(cx[disc], rx[disc] * np.sqrt(np.maximum(1.0 - dy2, 0.0)), self.width)
         upto = np.cumsum(cols)
