@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from motefield.functions.photometry import BANDS, RGB_BANDS, attenuated, kappa, marker_radius, psf_shade
 from motefield.operators.camera import Camera, in_depth_range, literal, ndc, view
 from motefield.operators.ordering import bounds_of, in_bucket, neighbour_row
+from motefield.operators.raster import painted
 from motefield.operators.splat import EDGE, cut_pixels, cut_rows, projected
 
 
@@ -31,13 +32,20 @@ def extinction_rgb(stars: DataFrame, luminosity: str = "luminosity", column: str
     return stars.withColumns({f"l_{c}": attenuated(lum, col, kappa(b)) for c, b in zip("rgb", RGB_BANDS)})
 
 
-def star_discs(stars: DataFrame, cam: Camera, size: str, world_radius: float, exponent: float = 0.5,
-               keep: Sequence[str] = ()) -> DataFrame:
-    """One row per star and covered pixel with ``r2``; a disc never shrinks below two pixels."""
+def disc_shapes(stars: DataFrame, cam: Camera, size: str, world_radius: float, exponent: float = 0.5,
+                keep: Sequence[str] = ()) -> DataFrame:
+    """Centre and radii of each star in pixels; a disc never shrinks below two pixels."""
     c = literal(cam)
     depth = view(c, F.col("x"), F.col("y"), F.col("z"))["depth"]
     radius = marker_radius(F.col(size), world_radius, exponent, depth, cam.focal, cam.height)
-    shape = projected(stars, c, F.lit(1.0), radius, keep=keep)
+    return projected(stars, c, F.lit(1.0), radius, keep=keep)
+
+
+def star_discs(stars: DataFrame, cam: Camera, size: str, world_radius: float, exponent: float = 0.5,
+               keep: Sequence[str] = ()) -> DataFrame:
+    """One row per star and covered pixel with ``r2``."""
+    c = literal(cam)
+    shape = disc_shapes(stars, cam, size, world_radius, exponent, keep)
     px = cut_pixels(cut_rows(shape, c.width, c.height), c.width)
     return px.where(F.col("r2") <= 1.0).select(*keep, "px", "py", "r2")
 
@@ -72,6 +80,15 @@ def over_in_order(hits: DataFrame, order: str, alpha: float) -> DataFrame:
     parts = cut.groupBy("px", "py", "_b").agg(
         *[F.sum(F.col(c) * F.col("w")).alias(c) for c in "rgb"], F.count(F.lit(1)).alias("n")
     )
+    return _folded(parts, alpha)
+
+
+def _folded(parts: DataFrame, alpha: float) -> DataFrame:
+    """Ranges ``_b`` of the draw order per pixel, premultiplied and with ``n`` discs each, put over one another."""
+    if alpha >= 1.0:
+        last = F.max_by(F.struct("r", "g", "b"), F.col("_b")).alias("c")
+        return parts.groupBy("px", "py").agg(last).select("px", "py", "c.r", "c.g", "c.b", F.lit(1.0).alias("cover"))
+    keep = 1.0 - alpha
     later = Window.partitionBy("px", "py").orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("t", F.pow(F.lit(keep), F.coalesce(F.sum("n").over(later), F.lit(0)).cast("double")))
     return parts.groupBy("px", "py").agg(
@@ -83,12 +100,9 @@ def over_in_order(hits: DataFrame, order: str, alpha: float) -> DataFrame:
 def marker_overlay(stars: DataFrame, cam: Camera, world_radius: float, order: str, size: str = "luminosity",
                    exponent: float = 0.5, border=(1.0, 1.0, 1.0), border_frac: float = 0.2, opacity: float = 1.0,
                    fill=("fill_r", "fill_g", "fill_b")) -> DataFrame:
-    """Filled discs with a border ring, blended in draw order."""
-    hits = star_discs(stars, cam, size, world_radius, exponent, keep=[order, *fill])
-    inner = max(0.0, 1.0 - border_frac)
-    rgb = [F.when(F.sqrt("r2") <= inner, F.col(f)).otherwise(F.lit(float(b))).alias(c)
-           for f, b, c in zip(fill, border, "rgb")]
-    return over_in_order(hits.select("px", "py", order, *rgb), order, opacity)
+    """Filled discs with a border ring, blended in draw order. Discs are sorted and drawn inside the tasks, see `painted`."""
+    shape = disc_shapes(stars, cam, size, world_radius, exponent, keep=[order, *fill])
+    return _folded(painted(shape, cam, order, fill, [float(b) for b in border], max(0.0, 1.0 - border_frac), opacity), opacity)
 
 
 def blend(image: DataFrame, overlay: DataFrame, additive: bool = False) -> DataFrame:

@@ -161,3 +161,77 @@ def splat_raster(df: DataFrame, cam: Camera, mass: Column | str = "mass", hsml:
     parts = shape.mapInArrow(run, "px int, py int, " + ", ".join(f"{n} double" for n in names[2:]))
     order = [c for c in ("num", "den", "sq") if c in names]
     return parts.groupBy("px", "py").agg(*[F.sum(c).alias(c) for c in order])
+
+
+class Canvas:
+    """Discs drawn one over the other: premultiplied colours, which of them are known (not null), and the number of discs per pixel."""
+
+    def __init__(self, width: int, height: int, alpha: float, inner: float, border: Sequence[float]):
+        self.alpha, self.inner, self.border = alpha, inner, border
+        self.rgb, self.known = np.zeros((3, height, width)), np.zeros((3, height, width), bool)
+        self.n = np.zeros((height, width), np.int64)
+
+    def draw(self, cx: float, cy: float, rx: float, ry: float, fill: Sequence[float | None], blank: bool) -> None:
+        """One disc with its border ring; a ``blank`` one has no colour at all."""
+        height, width = self.n.shape
+        y0, y1 = max(np.ceil(cy - ry - EDGE), 0), min(np.floor(cy + ry + EDGE), height - 1)
+        x0, x1 = max(np.ceil(cx - rx - EDGE), 0), min(np.floor(cx + rx + EDGE), width - 1)
+        if not (y0 <= y1 and x0 <= x1):
+            return
+        box = slice(int(y0), int(y1) + 1), slice(int(x0), int(x1) + 1)
+        dx, dy = (np.arange(x0, x1 + 1) - cx) / rx, (np.arange(y0, y1 + 1) - cy) / ry
+        r2 = dx * dx + (dy * dy)[:, None]
+        hit = r2 <= 1.0
+        inside = np.sqrt(r2) <= self.inner
+        self.n[box] += hit
+        for c, (f, b) in enumerate(zip(fill, self.border)):
+            rgb, known = self.rgb[c][box], self.known[c][box]
+            at = ~inside if f is None else True
+            color = np.where(inside, 0.0 if f is None else f, b)
+            if self.alpha >= 1.0:
+                np.copyto(rgb, color, where=hit)
+                np.copyto(known, at & (not blank), where=hit)
+            else:
+                color *= self.alpha
+                if f is None:
+                    color[inside] = 0.0
+                np.multiply(rgb, 1.0 - self.alpha, out=rgb, where=hit)
+                np.add(rgb, color, out=rgb, where=hit)
+                known |= hit & at
+
+    def batch(self, part: int) -> pa.RecordBatch:
+        py, px = np.nonzero(self.n)
+        colors = [pa.array(self.rgb[c][py, px], mask=~self.known[c][py, px]) for c in range(3)]
+        arrays = [pa.array(px.astype(np.int32)), pa.array(py.astype(np.int32)), pa.array(np.full(len(px), part, np.int32)), *colors, pa.array(self.n[py, px])]
+        return pa.RecordBatch.from_arrays(arrays, ["px", "py", "_b", "r", "g", "b", "n"])
+
+
+def painted(shape: DataFrame, cam: Camera, order: str, fill: Sequence[str], border: Sequence[float], inner: float, alpha: float) -> DataFrame:
+    """Discs of `projected` drawn in ascending ``order``, by ranges of it: ``px, py, _b, r, g, b`` (premultiplied) and ``n``, the
+    number of discs, per pixel and range.
+
+    Discs, not their pixels, are sorted; each task draws its range on a canvas of its own. Where ``order`` ties, geometry decides.
+    A null order is below all others; opaque discs with one have no colour.
+    """
+    width, height = cam.width, cam.height
+    colors = [f"_f{i}" for i in range(3)]
+    discs = shape.select(F.col(order).alias("_order"), *[F.col(f).cast("double").alias(c) for f, c in zip(fill, colors)], "cx", "cy", "rx", "ry")
+    discs = discs.where(F.col("cx").isNotNull() & F.col("cy").isNotNull() & ~F.isnan("cx") & ~F.isnan("cy") & ~F.isnan("rx") & ~F.isnan("ry"))
+    keys = ["_order", "rx", "ry", "cx", "cy", *colors]
+    tasks = discs.sparkSession.sparkContext.defaultParallelism
+    discs = discs.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).select(
+        F.spark_partition_id().alias("part"), F.col("_order").isNull().alias("blank"), "cx", "cy", "rx", "ry", *colors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        canvas = part = None
+        for batch in batches:
+            if batch.num_rows:
+                canvas = canvas or Canvas(width, height, alpha, inner, border)
+                part, blank, *geometry = (batch.column(c).to_pylist() for c in ("part", "blank", "cx", "cy", "rx", "ry"))
+                part = part[0]
+                for none, *at, f in zip(blank, *geometry, zip(*(batch.column(c).to_pylist() for c in colors))):
+                    canvas.draw(*at, f, none)
+        if canvas is not None:
+            yield canvas.batch(part)
+
+    return discs.mapInArrow(run, "px int, py int, _b int, r double, g double, b double, n long")

@@ -21,6 +21,35 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def stars(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(k), *map(float, rng.uniform(0, 1, 3)), float(10 ** rng.uniform(-2, 5)), *map(float, rng.uniform(0, 1, 3))) for k in rng.permutation(300)]
+    rows += [(None, 0.5, 0.5, 0.9, 1e4, 0.1, 0.2, 0.3), (301, None, 0.5, 0.9, 1e4, 0.1, 0.2, 0.3), (302, 0.2, 0.5, 0.9, 1e3, None, 0.2, 0.3),
+             (303, 0.5, 0.5, 1.6, 1e4, 0.1, 0.2, 0.3), (304, 0.6, 0.5, 0.9, None, 0.1, 0.2, 0.3)]
+    return spark.createDataFrame(rows, "sid long, x double, y double, z double, luminosity double, fill_r double, fill_g double, fill_b double")
+
+
+@pytest.mark.parametrize("alpha", [1.0, 0.6])
+def test_markers_are_drawn_without_a_row_per_pixel(spark, alpha):
+    s = stars(spark).repartition(5)
+    got = overlay.marker_overlay(s, CAM, 1e-3, "sid", opacity=alpha)
+    assert "Generate" not in plan(got) and "MapInArrow" in plan(got)
+    hits = overlay.star_discs(s, CAM, "luminosity", 1e-3, keep=["sid", "fill_r", "fill_g", "fill_b"])
+    rgb = [F.when(F.sqrt("r2") <= 0.8, F.col(f"fill_{c}")).otherwise(F.lit(1.0)).alias(c) for c in "rgb"]
+    want = overlay.over_in_order(hits.select("px", "py", "sid", *rgb), "sid", alpha)
+    a, b = ({(r.px, r.py): (r.r, r.g, r.b, r.cover) for r in df.collect()} for df in (got, want))
+    assert a.keys() == b.keys() and len(a) > 500
+    nan = lambda rows: [[math.nan if v is None else v for v in rows[k]] for k in b]
+    np.testing.assert_allclose(nan(a), nan(b), rtol=1e-9, atol=1e-12)
+
+
+def test_an_opaque_marker_without_an_order_has_no_colour(spark):
+    one = stars(spark).where("sid is null")
+    got = overlay.marker_overlay(one, CAM, 1e-3, "sid").collect()
+    assert got and all(r.r is None and r.cover == 1.0 for r in got)
+    assert overlay.marker_overlay(one.limit(0), CAM, 1e-3, "sid").count() == 0
+
+
 def test_wide_discs_are_not_cut_to_rows(monkeypatch):
     rng = np.random.default_rng(5)
     n = 200
