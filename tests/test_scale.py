@@ -50,6 +50,22 @@ def test_an_opaque_marker_without_an_order_has_no_colour(spark):
     assert overlay.marker_overlay(one.limit(0), CAM, 1e-3, "sid").count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 9, 200])
+def test_ranges_are_found_by_halving(spark, n):
+    keys = [None, float("nan"), float("-inf"), *np.random.default_rng(n).integers(0, 50, 300).astype(float).tolist()]
+    df = spark.createDataFrame([(k,) for k in keys], "k double")
+    bounds = np.sort(np.random.default_rng(n + 1).integers(0, 50, n - 1)).astype(float)
+    cut = ordering.in_bucket(df, "k", F.lit(bounds.tolist()).cast("array<double>"), n)
+    assert "lambda" not in plan(cut)
+    for r in cut.collect():
+        assert r._b == (0 if r.k is None else len(bounds) if math.isnan(r.k) else np.searchsorted(bounds, r.k, "left"))
+
+
+def test_no_ranges_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "k double, w double")
+    assert ordering.numbered(df, ["k"]).count() == 0
+
+
 def test_wide_discs_are_not_cut_to_rows(monkeypatch):
     rng = np.random.default_rng(5)
     n = 200
