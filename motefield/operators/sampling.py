@@ -72,9 +72,14 @@ def refinement_levels(df: DataFrame, key: str, sizes: list[int], seed: int = 0)
     3.5 tables.
     """
     n = sizes[-1]
-    u = order_key(key, seed)
-    first = sum((F.when(u < s / n, 0).otherwise(1) for s in sizes[:-1]), F.lit(0))
-    levels = F.sequence(first.cast("int"), F.lit(len(sizes) - 1))
-    out = df.withColumn("level", F.explode(levels))
+    # the number of shares up to the hash, by halving: the hash is made once a row, not once a level
+    steps = [1 << k for k in reversed(range(len(sizes).bit_length()))]
+    shares = F.lit([s / n for s in sizes[:-1]] + [float("inf")] * (2 * steps[0] - len(sizes)))
+    out = df.withColumn("_u", order_key(key, seed)).withColumn("_first", F.lit(0))
+    for step in steps:
+        below = F.col("_u") < F.get(shares, F.col("_first") + (step - 1))
+        out = out.withColumn("_first", F.when(below, F.col("_first")).otherwise(F.col("_first") + step))
+    levels = F.sequence(F.least(F.col("_first"), F.lit(len(sizes) - 1)), F.lit(len(sizes) - 1))
+    out = out.withColumn("level", F.explode(levels)).drop("_u", "_first")
     strides = F.array(*[F.lit(n / s) for s in sizes])
     return out.withColumn("stride", F.get(strides, F.col("level")))

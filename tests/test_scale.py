@@ -66,6 +66,18 @@ def test_no_ranges_of_an_empty_table(spark):
     assert ordering.numbered(df, ["k"]).count() == 0
 
 
+def test_refinement_hashes_a_row_once(spark):
+    sizes = sampling.refinement_sizes(20_000)
+    df = spark.range(20_000).select(F.col("id").alias("pid")).unionByName(spark.sql("SELECT cast(null AS long) AS pid"))
+    levels = sampling.refinement_levels(df, "pid", sizes)
+    assert plan(levels).count("md5(") == 1
+    got = levels.groupBy("pid").agg(F.min("level").alias("first"), F.count(F.lit(1)).alias("n")).join(
+        df.withColumn("u", sampling.order_key("pid")), "pid").toPandas()
+    want = np.searchsorted(np.array(sizes[:-1]) / sizes[-1], got["u"], "right")
+    assert (got["first"] == want).all() and (got["n"] == len(sizes) - want).all()
+    assert [r.level for r in levels.where("pid is null").collect()] == [len(sizes) - 1]
+
+
 def test_wide_discs_are_not_cut_to_rows(monkeypatch):
     rng = np.random.default_rng(5)
     n = 200
