@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from motefield.operators.camera import Camera, meets
 
 ROWS = 1 << 22  # of a part: some 100 to 400 MB
+SORTED = 1 << 18  # rows that a task sorts, if parts are smaller
+PATHS = 4096  # directories that a view names; of more, the table is listed
 BITS = 20
 
 
@@ -46,15 +48,21 @@ def octave(h: Column) -> Column:
 def write_spatial(df: DataFrame, path: str, rows: int = ROWS) -> None:
     """Writes ``x, y, z, hsml, ptype`` and all other columns to ``path/rows``, bounds to ``path/bounds``.
 
-    Parts hold about ``rows`` rows. The cut is by range over type, octave, curve and position, so rows that share a cell of the
-    curve are still cut; only equal rows stay together.
+    Parts hold up to ``rows`` rows. The cut is by range over type, octave, curve and position, so rows that share a cell of the
+    curve are still cut. A task sorts one range and cuts it into parts by place, so that small parts do not make as many tasks,
+    each with a result and samples for the driver.
     """
     box = df.agg(*[f(F.col(a).cast("double")).alias(n + a) for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))], F.count(F.lit(1)).alias("n")).first()
     low = [box["lo" + a] or 0.0 for a in "xyz"]
     side = max((box["hi" + a] or 0.0) - v for a, v in zip("xyz", low)) or 1.0
     order = ["ptype", "octave", "_code", "x", "y", "z"]
     coded = df.withColumns({"octave": octave(F.col("hsml")), "_code": curve(low, side)})
-    cut = coded.repartitionByRange(max(1, -(-box["n"] // rows)), *order).withColumn("part", F.spark_partition_id())
+    tasks = max(1, -(-box["n"] // max(rows, SORTED)))
+    place = F.monotonically_increasing_id()  # the task's number from bit 33 on, the row's place in it below
+    cut = coded.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("_place", place)
+    in_task = F.floor(F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) / rows).cast("long")
+    part = F.shiftleft(F.shiftleft(F.shiftright("_place", 33), 20) + in_task, 2)
+    cut = cut.withColumn("part", part + F.pmod("octave", F.lit(4))).drop("_place")  # neighbouring octaves share no part
     cut = cut.sortWithinPartitions("ptype", "part", *order[1:]).drop("_code")
     cut.write.partitionBy("ptype", "part").parquet(f"{path}/rows")
     found = _rows(df.sparkSession, path, cut.schema).groupBy("ptype", "part", "octave").agg(
@@ -93,9 +101,10 @@ def read_view(spark: SparkSession, path: str, cam: Camera, types: Sequence[int]
         bounds = bounds.where(F.col("ptype").isin([int(t) for t in types]))
     sees = meets(cam, *({a: F.col(n + a) for a in "xyz"} for n in ("lo", "hi")), F.col("h"))
     seen = bounds.where((F.col("octave") > -1001) & sees).select("ptype", "part", "octave", "h").collect()
-    rows = _rows(spark, path)
     if not seen:
-        return rows.where(F.lit(False)).drop("octave", "part")
+        return _rows(spark, path).where(F.lit(False)).drop("octave", "part")
+    folders = sorted({f"{path}/rows/ptype={r['ptype']}/part={r['part']}" for r in seen})
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*folders) if len(folders) <= PATHS else _rows(spark, path)
     rows = rows.where(F.col("ptype").isin(sorted({r["ptype"] for r in seen})) & F.col("part").isin(sorted({r["part"] for r in seen})))
     lengths: dict[int, float] = {}
     for r in seen:

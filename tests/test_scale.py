@@ -78,6 +78,16 @@ def test_refinement_hashes_a_row_once(spark):
     assert [r.level for r in levels.where("pid is null").collect()] == [len(sizes) - 1]
 
 
+def test_small_parts_do_not_make_as_many_tasks(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame(pd.DataFrame(rng.uniform(0, 1, (3000, 3)), columns=list("xyz")).assign(hsml=0.01, mass=1.0, ptype=rng.integers(0, 2, 3000)))
+    spatial.write_spatial(df, str(tmp_path / "s"), rows=20)
+    files = [p.name for p in (tmp_path / "s" / "rows").rglob("part-*.parquet")]
+    assert len(files) >= 150 and len({f.split("-")[1] for f in files}) <= spark.sparkContext.defaultParallelism
+    assert spark.read.parquet(str(tmp_path / "s" / "rows")).count() == 3000
+    assert spark.read.parquet(str(tmp_path / "s" / "bounds")).groupBy("part").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] <= 20
+
+
 def test_wide_discs_are_not_cut_to_rows(monkeypatch):
     rng = np.random.default_rng(5)
     n = 200
