@@ -19,11 +19,14 @@ def fresh(spark, name):
 @query("i01_streaming_map", ctes("particle", more=sql_map(CAM, qty="temperature")) + """
 SELECT px, py, round(num/1e5, 2) AS num, round(den, 2) AS den, round(sq/1e10, 2) AS sq FROM accum""")
 def i01(spark, folder):
-    """The particles come in four files, two a batch; each batch writes the tiles it touches."""
+    """The particles come in four deliveries, two a batch; each batch writes the tiles it touches.
+
+    A delivery is one file, or as many as a quarter of the table has splits: no task holds more than about a split."""
     path = fresh(spark, "live")
     table = raw(spark, folder, "lineitem")
-    table.repartition(4, "l_orderkey").write.parquet(f"{path}/in")
-    base = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
+    files = -(-table.rdd.getNumPartitions() // 4)
+    table.repartition(4 * files, "l_orderkey", "l_linenumber").write.parquet(f"{path}/in")
+    base = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2 * files).parquet(f"{path}/in")
     stream = spark.sql(PARTICLE.replace("FROM lineitem", "FROM {base}"), base=base)
     a = run_updates(live_map(stream, CAM, qty="temperature"), path, CAM.height, tiles=8)
     return a.select("px", "py", F.round(F.col("num") / 1e5, 2).alias("num"), F.round("den", 2).alias("den"), F.round(F.col("sq") / 1e10, 2).alias("sq"))

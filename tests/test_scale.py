@@ -88,6 +88,26 @@ def test_small_parts_do_not_make_as_many_tasks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s" / "bounds")).groupBy("part").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] <= 20
 
 
+def test_a_stream_has_as_many_files_as_its_table_has_splits(spark, tmp_path, monkeypatch):
+    n = 4000
+    k = F.col("id")
+    lines = spark.range(0, n, 1, 10).select(
+        k.alias("l_orderkey"), (k * 7 % 101).alias("l_partkey"), (k * 3 % 17).alias("l_suppkey"), (k % 7).cast("int").alias("l_linenumber"),
+        F.lit(2.0).alias("l_quantity"), (k * 1.5).alias("l_extendedprice"), F.lit(0.02).alias("l_discount"))
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", 1 << 27)  # a split per file
+    try:
+        monkeypatch.setattr(streams, "fresh", lambda spark, name: str(tmp_path / name))
+        got = streams.i01(spark, str(tmp_path))
+        files = list((tmp_path / "live" / "in").glob("part-*.parquet"))
+        assert len(files) == 12 and sum(pq.read_metadata(f).num_rows for f in files) == n
+        assert {p.name for p in (tmp_path / "live" / "map").glob("batch=*")} == {"batch=0", "batch=1"}
+        whole = splat(streams.raw(spark, str(tmp_path), "lineitem").transform(lambda b: spark.sql(streams.PARTICLE.replace("FROM lineitem", "FROM {b}"), b=b)), streams.CAM)
+        assert got.count() == whole.count()
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_wide_discs_are_not_cut_to_rows(monkeypatch):
     rng = np.random.default_rng(5)
     n = 200
