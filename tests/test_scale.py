@@ -108,6 +108,31 @@ def test_a_stream_has_as_many_files_as_its_table_has_splits(spark, tmp_path, mon
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+@pytest.mark.parametrize("small", [0, 1 << 40])
+def test_sight_lines_make_no_row_per_pair(spark, monkeypatch, small):
+    monkeypatch.setattr(sightline, "SMALL", small)
+    rng = np.random.default_rng(4)
+    gas = pd.DataFrame(rng.uniform(0, 1, (800, 3)), columns=list("xyz")).assign(mass=rng.uniform(1, 2, 800), hsml=10 ** rng.uniform(-2, 0.3, 800), pid=np.arange(800))
+    eye, s = np.array([0.5, 0.45, 0.55]), rng.uniform(0, 1, (40, 3))
+    odd = [(None, 0.5, 0.5, 1.0, 0.2, -1), (0.4, 0.5, 0.5, None, 0.0, -2)]
+    g = spark.createDataFrame([tuple(map(float, r[:5])) + (int(r[5]),) for r in gas.itertuples(index=False)] + odd, "x double, y double, z double, mass double, hsml double, pid long")
+    t = spark.createDataFrame(pd.DataFrame(s, columns=list("xyz")).assign(sid=[f"s{k}" for k in range(40)]))
+    out = sightline.columns(g, t, eye.tolist())
+    assert "MapInArrow" in plan(out)
+    got = {r.sid: (r["column"], r.n_gas) for r in out.collect()}
+    for k in range(40):
+        ray = eye - s[k]
+        d = np.linalg.norm(ray)
+        rel = gas[list("xyz")].to_numpy() - s[k]
+        along = rel @ ray / d
+        b2 = (rel * rel).sum(1) - along * along
+        h2 = gas.hsml.to_numpy() ** 2
+        hit = (along > 0) & (along < d) & (b2 < h2)
+        want = (gas.mass * 3 / math.pi / h2 * (1 - b2 / h2) ** 2)[hit].sum()
+        assert got[f"s{k}"][1] == hit.sum()
+        assert got[f"s{k}"][0] == pytest.approx(want, rel=1e-9)
+
+
 def test_wide_discs_are_not_cut_to_rows(monkeypatch):
     rng = np.random.default_rng(5)
     n = 200
